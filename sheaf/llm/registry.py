@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import bpe, chat, exact_dedup, simhash
 
-MODULES = (exact_dedup,)
+MODULES = (bpe, exact_dedup, chat, simhash)
 
 
 def queries() -> dict:
