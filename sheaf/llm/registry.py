@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, simhash
+from . import bpe, chat, exact_dedup, neighbours, packing, simhash
 
-MODULES = (bpe, exact_dedup, chat, simhash)
+MODULES = (bpe, packing, exact_dedup, neighbours, chat, simhash)
 
 
 def queries() -> dict:
