@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -31,11 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def write_table(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write df as a table in the shared folder and read it again."""
+def write_table(df: DataFrame, label: str, *by: str) -> DataFrame:
+    """Cut the lineage: write df as a table in the shared folder, in folders of the columns `by`, and read it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sheaf-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     free_shuffles(spark)
     return out
@@ -43,8 +44,6 @@ def write_table(df: DataFrame, label: str) -> DataFrame:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more."""
-    import gc
-
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

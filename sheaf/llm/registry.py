@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, neighbours, packing, simhash
+from . import bpe, chat, exact_dedup, neighbours, packing, simhash, substring
 
-MODULES = (bpe, packing, exact_dedup, neighbours, chat, simhash)
+MODULES = (bpe, packing, exact_dedup, neighbours, chat, simhash, substring)
 
 
 def queries() -> dict:
