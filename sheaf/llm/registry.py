@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, neighbours, packing, simhash, substring
+from . import bpe, chat, ctw, exact_dedup, neighbours, packing, simhash, substring
 
-MODULES = (bpe, packing, exact_dedup, neighbours, chat, simhash, substring)
+MODULES = (substring, bpe, packing, ctw, exact_dedup, neighbours, chat, simhash)
 
 
 def queries() -> dict:
