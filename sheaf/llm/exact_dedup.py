@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import read_table, salted_lookup
+from .common import read_table, salted_lookup, write_table
 
 #: Characters of a text that the second step hashes.
 PREFIX_CHARS = 64
@@ -43,6 +43,7 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).alias("_doc"), text.alias("_text"), *[c.alias(f"_c_{k}") for k, c in carry.items()])
     rows = rows.join(ids, F.col("_doc").eqNullSafe(F.col("_id")), "left")
     rows = rows.select("_doc", F.when(F.col("_survives"), F.octet_length("_text")).alias("_len"), F.when(F.col("_survives"), F.sha2(F.col("_text").cast("binary"), 256)).alias("_full"), *[f"_c_{k}" for k in carry])
+    rows = write_table(rows, "exact")  # without texts; read twice below
     # one of the rows that repeat an id is told apart by its place among them
     rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_doc", "_full").orderBy("_doc")))
     groups = rows.where("_full is not null").groupBy("_len", "_full").agg(F.max("_doc").alias("_keep"), F.count("*").alias("_size"))
