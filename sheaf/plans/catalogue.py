@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import integrity, lists, retrieval, text  # noqa: F401  they register their queries
+from .base import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
