@@ -33,7 +33,7 @@ def ingest(files: DataFrame, readers: dict[str, Callable], encoder: Callable, st
 
 def watch(spark: SparkSession, folder: str, readers: dict[str, Callable], encoder: Callable, store: str, checkpoint: str) -> StreamingQuery:
     """Ingest files as they come into a folder; a file is taken once."""
-    files = spark.readStream.format("binaryFile").load(folder)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
     files = files.select("path", "length", "modificationTime", file_kind(F.col("path")).alias("kind"), "content")
     return files.writeStream.foreachBatch(lambda batch, _: ingest(batch, readers, encoder, store)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
