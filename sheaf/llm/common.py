@@ -38,10 +38,18 @@ def write_table(df: DataFrame, label: str, *by: str) -> DataFrame:
     path = f"{shared_dir(spark)}/sheaf-{label}-{uuid.uuid4().hex}"
     df.write.partitionBy(*by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
     free_shuffles(spark)
     return out
 
 
+def discard(table: DataFrame, folder: str = "") -> None:
+    """Delete a table of write_table(), or one of its folders, that no plan still to run reads."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{table.table_path}/{folder}".rstrip("/"))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more."""
     gc.collect()

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import TEXT, Chunk, blob, by_part, cut, grouped, opened, part_of, unblob
-from .common import parts, read_table, write_table
+from .common import discard, parts, read_table, write_table
 
 #: Bytes of context.
 DEPTH = 5
@@ -245,6 +245,8 @@ def score_texts(docs: DataFrame, learn: Column, text_col: str = "text", id_col:
             yield GRAMS, chunk, part, blob(value[np.searchsorted(every, own)])
 
     gram_replies = write_table(grouped(of_kind(GRAMS), "part", score_grams), "scoring-grams")
+    for kind in (WORDS, GRAMS):  # answered
+        discard(cuts, f"kind={kind}")
 
     def scored(_: int, rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         counts, values = {}, {}
