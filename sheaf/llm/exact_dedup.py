@@ -50,7 +50,7 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     groups = groups.where("_size > 1")
     out = salted_lookup(rows, groups, ["_len", "_full"], "_doc")
     keep = F.when(F.col("_size").isNull(), F.col("_doc")).otherwise(F.col("_keep"))
-    return out.select(F.col("_doc").alias(id_col), keep.alias("keep_id"), F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"), (keep.eqNullSafe(F.col("_doc")) & (F.col("_nth") == 1)).alias("kept"), *[F.col(f"_c_{k}").alias(k) for k in carry])
+    return out.select(F.col("_doc").alias(id_col), keep.alias("keep_id"), F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"), (keep.eqNullSafe(F.col("_doc")) & (F.col("_full").isNull() | (F.col("_nth") == 1))).alias("kept"), *[F.col(f"_c_{k}").alias(k) for k in carry])
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
