@@ -219,7 +219,29 @@ def stars(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"groups did not settle in {rounds} rounds")
 
 
-def simhash_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", ngram: int = 4, max_bits: int = 4) -> DataFrame:
+def similar_links(edges: DataFrame, values: DataFrame, docs: DataFrame, text_col: str, id_col: str, ngram: int, least: float) -> DataFrame:
+    """Links whose documents share `least` of the distinct shingles that either holds; a fingerprint stands for its smallest id.
+
+    values: columns fp and _least (that id). Only linked documents are read for it.
+    """
+    ends = [values.select(F.col("fp").alias(c), F.col("_least").alias(f"_{c}")) for c in ("u", "v")]
+    pairs = write_table(edges.join(ends[0], "u").join(ends[1], "v"), "near-pairs")
+    members = pairs.select(F.col("_u").alias("_m")).union(pairs.select("_v")).distinct().hint("shuffle_hash")
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text")).join(members, F.col("_id") == F.col("_m"), "left_semi")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t, ngram)).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["_id", "_set"])
+
+    held = write_table(rows.mapInArrow(sets, f"_id {rows.schema['_id'].dataType.simpleString()}, _set array<long>"), "near-shingles")
+    for c in ("u", "v"):
+        pairs = pairs.join(held.select(F.col("_id").alias(f"_{c}"), F.col("_set").alias(f"_set_{c}")), f"_{c}")
+    both = F.size(F.array_intersect("_set_u", "_set_v"))
+    return pairs.where(both >= least * (F.size("_set_u") + F.size("_set_v") - both)).select("u", "v").distinct()
+
+
+def simhash_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", ngram: int = 4, max_bits: int = 4, min_similarity: float | None = None) -> DataFrame:
     """One row for each row of docs: id, fingerprint (16 hex digits), component_id.
 
     Fingerprints of max_bits differing bits or fewer are linked; component_id is the smallest id that links
@@ -229,7 +251,10 @@ def simhash_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     """
     rows = write_table(fingerprints(docs, text_col, id_col, ngram).withColumnRenamed(id_col, "_id"), "fingerprints")
     values = rows.groupBy("fp").agg(F.min("_id").alias("_least"), F.count("*").alias("_n"))
-    root = stars(links(values.select("fp"), max_bits))
+    edges = links(values.select("fp"), max_bits)
+    if min_similarity is not None:
+        edges = similar_links(edges, values, docs, text_col, id_col, ngram, min_similarity)
+    root = stars(edges)
     ends = root.select(F.col("u").alias("fp"), "root").union(root.select(F.col("root").alias("fp"), "root")).distinct()
     grouped = values.join(ends, "fp", "left").where("root is not null or _n > 1").withColumn("root", F.coalesce("root", "fp"))
     least = grouped.groupBy("root").agg(F.min("_least").alias("component_id"))

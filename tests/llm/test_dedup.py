@@ -144,3 +144,13 @@ def test_stages_on_trouble(spark, tmp_path):
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in left.collect()}
     for _, stage in stages.STAGES:
         assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_near_copies_must_share_shingles(spark):
+    base = " ".join(f"w{i * 7919 % 1000}" for i in range(400))
+    rows = [(1, base), (2, base.replace("w0 ", "changed ")), (3, "other " * 3), (4, base[: len(base) // 2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.simhash_groups(docs, ngram=5, max_bits=20, min_similarity=0.8).collect()}
+    assert found == {1: 1, 2: 1, 3: 3, 4: 4}
+    loose = {r.doc_id: r.component_id for r in simhash.simhash_groups(docs.where("doc_id <> 3"), ngram=5, max_bits=40).collect()}
+    assert loose[4] == 1
