@@ -42,6 +42,10 @@ class KeywordIndex:
         terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw_idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw_idf")).alias("idf"))
         return cls(postings, terms, corpus)
 
+    def persist(self) -> KeywordIndex:
+        """Keep the tables for several searches; a large index is better saved."""
+        return KeywordIndex(self.postings.persist(), self.terms.persist(), self.corpus.persist())
+
     def save(self, path: str) -> KeywordIndex:
         """Write the tables, postings in folders by a hash of the term, and read them from there."""
         spark = self.postings.sparkSession

@@ -29,7 +29,7 @@ _HYBRID_SQL = f"""{_BM25_SQL}, {_NEAR_SQL},
 
 
 def _index(spark, sf_dir):
-    return KeywordIndex.build(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return KeywordIndex.build(table(spark, sf_dir, "documents"), "doc_id", "text").persist()
 
 
 def _vectors(spark, sf_dir):
