@@ -40,7 +40,7 @@ TEMPLATES = (
 )
 
 
-def _word_list(text):
+def _word_list(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
@@ -61,7 +61,8 @@ def _word_shingles(words: Column) -> Column:
 
 def template_table(spark: SparkSession, templates) -> DataFrame:
     """Rows (template, license, class, hashes); templates without a shingle are left out."""
-    rows = spark.createDataFrame([(i, *t) for i, t in enumerate(templates)], "template int, license string, text string")
+    listed = [F.struct(F.lit(i).alias("template"), F.lit(name).alias("license"), F.lit(text).alias("text")) for i, (name, text) in enumerate(templates or [("", "")])]
+    rows = spark.range(1).select(F.explode(F.array(*listed)).alias("_t")).select("_t.*")
     rows = rows.withColumn("hashes", F.array_distinct(_shingles(F.col("text"))))
     size = F.ceil(F.log2(F.size("hashes").cast("double")))
     return rows.where(F.size("hashes") > 0).select("template", "license", F.pow(F.lit(2.0), size).cast("int").alias("class"), "hashes")

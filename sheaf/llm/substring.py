@@ -235,5 +235,16 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+ORACLE = {
+    "op1_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS ws FROM documents),
+        p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20),
+        h AS (SELECT doc_id, i, row_number() OVER (PARTITION BY sha256(array_to_string(ws[i:i + 19], ' ')) ORDER BY doc_id, i) AS nth FROM p),
+        g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM h WHERE nth > 1),
+        r AS (SELECT doc_id, list(j) AS js FROM g GROUP BY doc_id)
+        SELECT w.doc_id, len(ws) AS n_words, coalesce(len(js), 0) AS n_removed,
+               sha256(array_to_string(CASE WHEN js IS NULL THEN ws ELSE list_filter(ws, lambda x, k: NOT list_contains(js, k)) END, ' ')) AS kept_sha256
+        FROM w LEFT JOIN r ON w.doc_id = r.doc_id
+    """
+}
 QUERIES = {"op1_substring_dedup": op1_substring_dedup}
-ORACLE: dict[str, str] = {}
