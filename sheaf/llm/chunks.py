@@ -7,7 +7,10 @@ between tasks are few and large, and a key that many documents share is sent onc
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -105,6 +108,12 @@ def by_part(part: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
             yield p, slice(int(bounds[p]), int(bounds[p + 1]))
 
 
+def trim() -> None:
+    """Give memory that Python has freed back to the system, where its C library can."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class Rows:
     """Collects rows of SCHEMA and gives them out in batches of some megabytes."""
 
@@ -134,6 +143,7 @@ def cut(docs: DataFrame, text_col: str, id_col: str, carry: list[str], ask: Call
         for kind, part, data in ask(Chunk(batch)):
             out.add(kind, chunk, part, data)
         out.add(TEXT, chunk, -1, sealed(batch))
+        trim()
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, out, held, size = TaskContext.get().partitionId() << 32, Rows(), [], 0
@@ -174,8 +184,6 @@ def grouped(rows: DataFrame, key: str, reduce: Callable[[int, Iterator[tuple[int
                 yield tuple(batch.column(c)[r].as_py() for c in range(4))
 
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from itertools import groupby
-
         out = Rows()
         for k, own in groupby(stream(batches), key=lambda r: r[column]):
             for made in reduce(k, own):
@@ -184,6 +192,7 @@ def grouped(rows: DataFrame, key: str, reduce: Callable[[int, Iterator[tuple[int
                 else:
                     out.add(*made)
                     yield from out.flush()
+            trim()
         yield from out.flush(0)
 
     return dealt.mapInArrow(reduced, schema or SCHEMA)

@@ -131,12 +131,23 @@ def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"".join(bytes([END]) * depth + t + bytes([END]) for t in texts), np.uint8)
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
     at = np.concatenate([[0], np.cumsum(sizes)])
-    skip = np.repeat(np.arange(1, len(texts) + 1) * depth, sizes)
-    place = np.arange(int(at[-1])) + skip
-    codes = data[place].astype(np.uint64)
+    scored = np.ones(len(data), bool)
+    for j in range(depth):
+        scored[at[:-1] + np.arange(len(texts)) * depth + j] = False
+    codes = data[depth:].astype(np.uint64)
     for j in range(1, depth + 1):
-        codes |= data[place - j].astype(np.uint64) << np.uint64(8 * (depth - j) + 8)
-    return codes, at
+        part = data[depth - j : len(data) - j].astype(np.uint64)
+        part <<= np.uint64(8 * (depth - j) + 8)
+        codes |= part
+    return codes[scored[depth:]], at
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and where each value is among them; in less memory than numpy's."""
+    found = np.sort(values)
+    if len(found):
+        found = found[np.concatenate([[True], found[1:] != found[:-1]])]
+    return found, np.searchsorted(found, values).astype(np.int32)
 
 
 def gram_part(codes: np.ndarray, depth: int, n: int) -> np.ndarray:
@@ -150,15 +161,15 @@ class Asked:
     def __init__(self, chunk: Chunk, depth: int, n_parts: int):
         texts = [t.lower() for t in chunk.texts]
         words, self.word_at = chunk.words(lower=True)
-        self.words, self.word_of = np.unique(words, return_inverse=True)
+        self.words, self.word_of = distinct(words)
         self.word_part = part_of(self.words, n_parts)
         codes, self.gram_at = grams(texts, depth)
-        codes, of = np.unique(codes, return_inverse=True)
+        codes, of = distinct(codes)
         part = gram_part(codes, depth, n_parts)
         turn = np.argsort(part, kind="stable")
         self.grams, self.gram_part = codes[turn], part[turn]
-        back = np.empty(len(turn), np.int64)
-        back[turn] = np.arange(len(turn))
+        back = np.empty(len(turn), np.int32)
+        back[turn] = np.arange(len(turn), dtype=np.int32)
         self.gram_of = back[of]
 
 
