@@ -148,7 +148,7 @@ def cut(docs: DataFrame, text_col: str, id_col: str, carry: list[str], ask: Call
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, out, held, size = TaskContext.get().partitionId() << 32, Rows(), [], 0
         for batch in batches:
-            lengths = pc.binary_length(batch.column(1)).to_pylist()
+            lengths = [n + 64 for n in pc.binary_length(batch.column(1)).to_pylist()]  # a row takes space without a text too
             first = 0
             for i, n in enumerate(lengths):
                 if size and size + n > CHUNK:
@@ -160,8 +160,6 @@ def cut(docs: DataFrame, text_col: str, id_col: str, carry: list[str], ask: Call
                 size += n
             if first < len(lengths):
                 held.append(batch.slice(first))
-                if sum(b.num_rows for b in held) and size == 0:
-                    size = 1
         if held:
             done(held, chunk, out)
         yield from out.flush(0)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts, read_table, salted_lookup, small_batches, write_table
+from .common import discard, parts, read_table, salted_lookup, small_batches, write_table
 
 SEED = 42
 LEAF = 32
@@ -211,18 +211,19 @@ def stars(edges: DataFrame, rounds: int = 50) -> DataFrame:
         large = salted_lookup(both, least(both), ["u"], "v").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         found = salted_lookup(large, least(large), ["u"], "v")
         small = found.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(found.select("u", F.col("m").alias("v"))).distinct()
-        pairs = write_table(small, "stars")
+        done, pairs = pairs, write_table(small, "stars")
         after = state(pairs)
+        discard(done)
         if after == before:
             return pairs.select("u", F.col("v").alias("root"))
         before = after
     raise RuntimeError(f"groups did not settle in {rounds} rounds")
 
 
-def similar_links(edges: DataFrame, values: DataFrame, docs: DataFrame, text_col: str, id_col: str, ngram: int, least: float) -> DataFrame:
+def similar_links(edges: DataFrame, values: DataFrame, docs: DataFrame, text_col: str, id_col: str, ngram: int, least: float) -> tuple[DataFrame, list[DataFrame]]:
     """Links whose documents share `least` of the distinct shingles that either holds; a fingerprint stands for its smallest id.
 
-    values: columns fp and _least (that id). Only linked documents are read for it.
+    values: columns fp and _least (that id). Only linked documents are read for it. Also gives the tables that the links read.
     """
     ends = [values.select(F.col("fp").alias(c), F.col("_least").alias(f"_{c}")) for c in ("u", "v")]
     pairs = write_table(edges.join(ends[0], "u").join(ends[1], "v"), "near-pairs")
@@ -235,10 +236,11 @@ def similar_links(edges: DataFrame, values: DataFrame, docs: DataFrame, text_col
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["_id", "_set"])
 
     held = write_table(rows.mapInArrow(sets, f"_id {rows.schema['_id'].dataType.simpleString()}, _set array<long>"), "near-shingles")
+    spent = [pairs, held]
     for c in ("u", "v"):
         pairs = pairs.join(held.select(F.col("_id").alias(f"_{c}"), F.col("_set").alias(f"_set_{c}")), f"_{c}")
     both = F.size(F.array_intersect("_set_u", "_set_v"))
-    return pairs.where(both >= least * (F.size("_set_u") + F.size("_set_v") - both)).select("u", "v").distinct()
+    return pairs.where(both >= least * (F.size("_set_u") + F.size("_set_v") - both)).select("u", "v").distinct(), spent
 
 
 def simhash_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", ngram: int = 4, max_bits: int = 4, min_similarity: float | None = None) -> DataFrame:
@@ -251,10 +253,12 @@ def simhash_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     """
     rows = write_table(fingerprints(docs, text_col, id_col, ngram).withColumnRenamed(id_col, "_id"), "fingerprints")
     values = rows.groupBy("fp").agg(F.min("_id").alias("_least"), F.count("*").alias("_n"))
-    edges = links(values.select("fp"), max_bits)
+    edges, spent = links(values.select("fp"), max_bits), []
     if min_similarity is not None:
-        edges = similar_links(edges, values, docs, text_col, id_col, ngram, min_similarity)
+        edges, spent = similar_links(edges, values, docs, text_col, id_col, ngram, min_similarity)
     root = stars(edges)
+    for table in spent:
+        discard(table)
     ends = root.select(F.col("u").alias("fp"), "root").union(root.select(F.col("root").alias("fp"), "root")).distinct()
     grouped = values.join(ends, "fp", "left").where("root is not null or _n > 1").withColumn("root", F.coalesce("root", "fp"))
     least = grouped.groupBy("root").agg(F.min("_least").alias("component_id"))

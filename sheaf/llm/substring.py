@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import ASK, DONE, TELL, TEXT, Chunk, blob, by_part, cut, gram_hashes, grouped, opened, part_of, unblob
-from .common import parts, read_table, write_table
+from .common import discard, parts, read_table, write_table
 
 MIN_WORDS = 20
 #: Blocks of a path, and bits of each block's digest.
@@ -90,9 +90,11 @@ def deep_nodes(high: np.ndarray, low: np.ndarray, ids: np.ndarray, place: np.nda
     return order[(i != i[first]) | (p != p[first])]
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_words: int = MIN_WORDS, carry: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_words: int = MIN_WORDS, carry: list[str] | None = None, keep_text: bool = False) -> DataFrame:
     """One row for each row of docs: id (long), n_words, n_removed, kept (words left, joined by one space), and `carry`.
 
+    keep_text: the text as it was comes along too, as column original (null counts as empty).
+
     A word goes if a window of min_words words that holds it has the same words as one that starts earlier: in
     a document of a smaller id, or earlier in the same one. Windows are judged on the input. Words lie between ASCII
     white space and are compared as they are. A null text has no words; a null id counts as the largest. Rows that
@@ -126,6 +128,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
 
     asked = cuts.where(F.col("kind") == ASK).select("kind", "chunk", "part", "data")
     told = write_table(grouped(asked, "part", counted), "substring-samples")
+    discard(cuts, f"kind={ASK}")
     full = spark.sparkContext.broadcast(_over_full(cuts))  # two flags for each of BUCKETS buckets
 
     def sent(chunk_id: int, rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -182,6 +185,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
                 yield TELL, chunks[p], part, blob(starts[again[s]])
 
     gone = write_table(grouped(grouped(texts.unionByName(told), "chunk", sent), "part", subtree), "substring-repeats")
+    discard(told)
 
     def finished(_: int, rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         starts: list[np.ndarray] = []
@@ -201,14 +205,15 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
             removed = np.diff(total[at])
             kept = [b" ".join([x for x, d in zip(w, drop[a:].tolist(), strict=False) if not d] if r else w) for w, r, a in zip(words, removed.tolist(), at.tolist(), strict=False)]
             columns = [chunk.batch.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array(removed, pa.int64()), pa.array([k.decode() for k in kept], pa.string())]
+            columns += [chunk.batch.column(1).cast(pa.string())] * keep_text
             for i in range(0, len(words), 256):
                 yield pa.RecordBatch.from_arrays([c.slice(i, 256) for c in [*columns, *(chunk.batch.column(2 + j) for j in range(len(carry)))]], names)
             starts = []
 
-    names = ["_id", "n_words", "n_removed", "kept", *[f"_c_{i}" for i in range(len(carry))]]
-    schema = ", ".join(f"`{n}` {t}" for n, t in zip(names, ["long", "long", "long", "string", *wanted], strict=True))
+    names = ["_id", "n_words", "n_removed", "kept", *["original"] * keep_text, *[f"_c_{i}" for i in range(len(carry))]]
+    schema = ", ".join(f"`{n}` {t}" for n, t in zip(names, ["long", "long", "long", "string", *["string"] * keep_text, *wanted], strict=True))
     out = grouped(texts.unionByName(gone), "chunk", finished, schema)
-    return out.select(F.col("_id").alias(id_col), "n_words", "n_removed", "kept", *[F.col(f"_c_{i}").alias(c) for i, c in enumerate(carry)])
+    return out.select(F.col("_id").alias(id_col), "n_words", "n_removed", "kept", *["original"] * keep_text, *[F.col(f"_c_{i}").alias(c) for i, c in enumerate(carry)])
 
 
 def _over_full(cuts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
