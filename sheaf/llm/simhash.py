@@ -7,10 +7,14 @@ hierarchical index: values are sorted by Gray rank, leaves and upper nodes hold
 below share, and pairs of nodes whose shared bits differ too much are pruned together, adding differences
 level by level. A task returns a spanning forest of its links, never all pairs. Groups then come from
 large-star and small-star rounds over tables in the shared folder.
+
+Where linked texts must share a part of their shingles too, units of equal fingerprint and equal shingle set are joined
+first, and their pairs are found exactly by the rarest shingles that they share, not by the index.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -29,6 +33,13 @@ FRONT = 200_000
 LEAF_PAIRS = 1_000
 #: Shingles whose bits are counted at once.
 COUNTED = 100_000
+#: A unit in so many is sampled for common shingles, of which so many are known.
+SAMPLED = 16
+COMMON = 200_000
+#: Pairs of units held before repeated ones are dropped.
+PAIRS = 1_000_000
+#: Allowed below a bound that is computed in floating point.
+ROUNDING = 1e-9
 
 
 def shingle_hashes(text: bytes, ngram: int) -> np.ndarray:
@@ -220,27 +231,136 @@ def stars(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"groups did not settle in {rounds} rounds")
 
 
-def similar_links(edges: DataFrame, values: DataFrame, docs: DataFrame, text_col: str, id_col: str, ngram: int, least: float) -> tuple[DataFrame, list[DataFrame]]:
-    """Links whose documents share `least` of the distinct shingles that either holds; a fingerprint stands for its smallest id.
+def shingle_sets(docs: DataFrame, text_col: str, id_col: str, ngram: int) -> DataFrame:
+    """Columns: _id, fp, _set (the distinct shingles' hashes, sorted), _unit (a hash of both); a null text has no shingles."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            fp, held, unit = [], [], []
+            for t in batch.column(1):
+                hashes = shingle_hashes(t.as_py(), ngram)
+                fp.append(majority(hashes))
+                held.append(np.unique(hashes))
+                unit.append(xxh64_intdigest(held[-1].tobytes(), fp[-1]))
+            ends = np.cumsum([0, *map(len, held)]).astype(np.int32)
+            values = np.concatenate([np.zeros(0, np.uint64), *held]).view(np.int64)
+            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, unit)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), longs[0], pa.ListArray.from_arrays(ends, values), longs[1]], ["_id", "fp", "_set", "_unit"])
+
+    return rows.mapInArrow(sets, f"_id {rows.schema['_id'].dataType.simpleString()}, fp long, _set array<long>, _unit long")
+
+
+def listed(column: pa.ListArray) -> list[np.ndarray]:
+    """The arrays of a column of lists."""
+    values, at = np.asarray(column.values), np.asarray(column.offsets)
+    return [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def candidates(rows: DataFrame, max_bits: int, least: float) -> DataFrame:
+    """Pairs (u, v) of units, among them all that share `least` of the shingles that either holds and differ in max_bits or fewer.
 
-    values: columns fp and _least (that id). Only linked documents are read for it. Also gives the tables that the links read.
+    Shingles have one order for all units, common ones last. Two sets that share so much have a shingle in common among the
+    first 1 - least of each, and by the places of the first such one enough shingles follow (prefix and positional filters).
+    The order loses no pair, whatever it is; a sample finds common shingles, which would bring many pairs to no use.
     """
-    ends = [values.select(F.col("fp").alias(c), F.col("_least").alias(f"_{c}")) for c in ("u", "v")]
-    pairs = write_table(edges.join(ends[0], "u").join(ends[1], "v"), "near-pairs")
-    members = pairs.select(F.col("_u").alias("_m")).union(pairs.select("_v")).distinct().hint("shuffle_hash")
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text")).join(members, F.col("_id") == F.col("_m"), "left_semi")
+    spark = rows.sparkSession
+    sample = rows.where(F.pmod("_unit", F.lit(SAMPLED)) == 0).select(F.explode("_set").alias("_s")).groupBy("_s").agg(F.count("*").alias("_n"))
+    seen = sample.where("_n > 2").orderBy(F.desc("_n"), "_s").limit(COMMON).orderBy("_s").toArrow()
+    common, times = (np.concatenate([np.asarray(seen.column(c)), np.zeros(1, np.int64)]) for c in ("_s", "_n"))
+    sent = spark.sparkContext.broadcast((common, times))  # COMMON shingles at most
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, times = sent.value
+        for batch in batches:
+            out = [np.zeros(0, np.int64)], [0]
+            sizes = np.zeros(len(batch), np.int64)
+            for i, held in enumerate(listed(batch.column(2))):
+                at = np.searchsorted(common[:-1], held)
+                n = sizes[i] = len(held)
+                order = np.lexsort((held, np.where(common[at] == held, times[at], 0)))
+                out[0].append(held[order[: n - math.ceil(least * n - ROUNDING) + 1]])
+                out[1].append(len(out[0][-1]))
+            taken = np.array(out[1][1:], np.int64)
+            of = np.repeat(np.arange(len(batch)), taken)
+            place = np.arange(len(of)) - np.repeat(np.cumsum(taken) - taken, taken)
+            columns = [np.concatenate(out[0]), np.asarray(batch.column(0))[of], np.asarray(batch.column(1))[of], sizes[of].astype(np.int32), place.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["_s", "_unit", "fp", "_size", "_place"])
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [tuple(np.asarray(c) for c in b.columns) for b in batches]
+        if got:
+            u, v = sharing(*(np.concatenate(c) for c in zip(*got, strict=True)), max_bits, least)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    keyed = rows.select("_unit", "fp", "_set").mapInArrow(first, "_s long, _unit long, fp long, _size int, _place int")
+    return keyed.repartition(parts(spark), "_s").mapInArrow(paired, "u long, v long").distinct()
+
+
+def sharing(shingle: np.ndarray, unit: np.ndarray, fp: np.ndarray, size: np.ndarray, place: np.ndarray, max_bits: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of units with a shingle in common after which enough may follow, of max_bits differing bits or fewer."""
+    order = np.lexsort((unit, size, shingle))
+    once = np.concatenate([[True], (shingle[order][1:] != shingle[order][:-1]) | (unit[order][1:] != unit[order][:-1])])[: len(order)]
+    order = order[once]
+    shingle, unit, fp, size, place = (x[order] for x in (shingle, unit, fp.view(np.uint64), size.astype(np.int64), place))
+    starts = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]])[: len(shingle)])
+    nth = np.arange(len(shingle)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(shingle)]])))
+    pairs, new, n, step = np.zeros((2, 0), np.int64), [], 0, 0
+    at = np.arange(len(shingle))
+    while True:
+        step += 1
+        at = at[nth[at] >= step]
+        at = at[size[at - step] >= least * size[at] - ROUNDING]  # units of a shingle stand by size
+        if len(at):
+            b = at - step
+            enough = np.minimum(size[at] - place[at], size[b] - place[b]) * (1 + least) >= least * (size[at] + size[b]) - ROUNDING
+            a, b = (x[enough & (np.bitwise_count(fp[at] ^ fp[b]) <= max_bits)] for x in (at, b))
+            new.append(np.stack([np.maximum(unit[a], unit[b]), np.minimum(unit[a], unit[b])]))
+            n += len(a)
+        if n > PAIRS or not len(at):
+            pairs, new, n = np.unique(np.concatenate([pairs, *new], axis=1), axis=1), [], 0
+        if not len(at):
+            return pairs[0], pairs[1]
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def verified(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs of units that share `least` of the shingles that either holds; sets are read for their units alone."""
+    members = pairs.select(F.col("u").alias("_m")).union(pairs.select("v")).distinct().hint("shuffle_hash")
+    held = rows.join(members, F.col("_unit") == F.col("_m"), "left_semi").groupBy("_unit").agg(F.first("_set").alias("_set"))
+    for c in ("u", "v"):
+        pairs = pairs.join(held.select(F.col("_unit").alias(c), F.col("_set").alias(f"_set_{c}")).hint("merge"), c)
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(shingle_hashes(t, ngram)).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["_id", "_set"])
+            close = []
+            for x, y in zip(listed(batch.column(2)), listed(batch.column(3)), strict=True):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                close.append(both >= least * (len(x) + len(y) - both) - ROUNDING)
+            yield batch.select(["u", "v"]).filter(pa.array(close, pa.bool_()))
+
+    return pairs.select("u", "v", "_set_u", "_set_v").mapInArrow(checked, "u long, v long")
 
-    held = write_table(rows.mapInArrow(sets, f"_id {rows.schema['_id'].dataType.simpleString()}, _set array<long>"), "near-shingles")
-    spent = [pairs, held]
+
+def similar_links(rows: DataFrame, max_bits: int, least: float) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (u, v) between units that connect all that are linked: max_bits differing bits or fewer, `least` of the shingles in common.
+
+    rows: a written table with the columns of shingle_sets(). Two pairs of each unit are verified first; of the others only
+    those that these leave unconnected. Also gives the tables that the links read.
+    """
+    pairs = write_table(candidates(rows, max_bits, least), "near-pairs")
+    few = pairs.groupBy("u").agg(F.min("v").alias("a"), F.max("v").alias("b")).select("u", F.explode(F.array_distinct(F.array("a", "b"))).alias("v"))
+    sure = write_table(verified(few, rows, least), "near-first")
+    root = stars(sure)
+    discard(sure)
+    left = pairs.join(few, ["u", "v"], "left_anti")
     for c in ("u", "v"):
-        pairs = pairs.join(held.select(F.col("_id").alias(f"_{c}"), F.col("_set").alias(f"_set_{c}")), f"_{c}")
-    both = F.size(F.array_intersect("_set_u", "_set_v"))
-    return pairs.where(both >= least * (F.size("_set_u") + F.size("_set_v") - both)).select("u", "v").distinct(), spent
+        left = left.join(root.select(F.col("u").alias(c), F.col("root").alias(f"_root_{c}")), c, "left")
+    left = left.where(F.coalesce("_root_u", "u") != F.coalesce("_root_v", "v")).select("u", "v")
+    more = write_table(verified(write_table(left, "near-left"), rows, least), "near-more")
+    return root.select("u", F.col("root").alias("v")).union(more), [pairs, more]
 
 
 def simhash_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", ngram: int = 4, max_bits: int = 4, min_similarity: float | None = None) -> DataFrame:
@@ -250,20 +370,26 @@ def simhash_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     reach, its own included. Null and empty texts have fingerprint 0 and are linked like any other. A null id
     is passed over in component_id, unless its group has no other. Rows that repeat an id are one row each.
     An empty table gives an empty result; other columns are ignored.
+    min_similarity: linked texts must also share this part, above 0, of the distinct shingles that either holds. No such pair
+    is passed over, with max_bits of 64 whatever their fingerprints.
     """
-    rows = write_table(fingerprints(docs, text_col, id_col, ngram).withColumnRenamed(id_col, "_id"), "fingerprints")
-    values = rows.groupBy("fp").agg(F.min("_id").alias("_least"), F.count("*").alias("_n"))
-    edges, spent = links(values.select("fp"), max_bits), []
-    if min_similarity is not None:
-        edges, spent = similar_links(edges, values, docs, text_col, id_col, ngram, min_similarity)
+    if min_similarity is None:
+        rows = write_table(fingerprints(docs, text_col, id_col, ngram).withColumnRenamed(id_col, "_id"), "fingerprints").withColumn("_unit", F.col("fp"))
+        edges, spent = links(rows.select("fp").distinct(), max_bits), []
+    else:
+        held = write_table(shingle_sets(docs, text_col, id_col, ngram), "near-shingles")
+        edges, spent = similar_links(held, max_bits, min_similarity)
+        rows = write_table(held.select("_id", "fp", "_unit"), "fingerprints")
+        spent.append(held)
     root = stars(edges)
     for table in spent:
         discard(table)
-    ends = root.select(F.col("u").alias("fp"), "root").union(root.select(F.col("root").alias("fp"), "root")).distinct()
-    grouped = values.join(ends, "fp", "left").where("root is not null or _n > 1").withColumn("root", F.coalesce("root", "fp"))
+    values = rows.groupBy("_unit").agg(F.min("_id").alias("_least"), F.count("*").alias("_n"))
+    ends = root.select(F.col("u").alias("_unit"), "root").union(root.select(F.col("root").alias("_unit"), "root")).distinct()
+    grouped = values.join(ends, "_unit", "left").where("root is not null or _n > 1").withColumn("root", F.coalesce("root", "_unit"))
     least = grouped.groupBy("root").agg(F.min("_least").alias("component_id"))
-    shared = salted_lookup(grouped, least, ["root"], "fp").select("fp", "component_id", F.lit(True).alias("_shared"))
-    out = salted_lookup(rows, shared, ["fp"], "_id")
+    shared = salted_lookup(grouped, least, ["root"], "_unit").select("_unit", "component_id", F.lit(True).alias("_shared"))
+    out = salted_lookup(rows, shared, ["_unit"], "_id")
     return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("_shared"), F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
 
 

@@ -154,3 +154,44 @@ def test_near_copies_must_share_shingles(spark):
     assert found == {1: 1, 2: 1, 3: 3, 4: 4}
     loose = {r.doc_id: r.component_id for r in simhash.simhash_groups(docs.where("doc_id <> 3"), ngram=5, max_bits=40).collect()}
     assert loose[4] == 1
+
+
+def hub_and_copies(n=200, words=300, changes=6):
+    """Rows of a text and copies: each shares 0.8 of its shingles of five words with the text, and less with the other copies."""
+    rng = np.random.default_rng(5)
+    hub = [f"h{k}" for k in range(words)]
+    copies = []
+    for i in range(n):
+        own = list(hub)
+        for k in rng.choice(words // 10, changes, replace=False):
+            own[10 * k + rng.integers(3, 7)] = f"c{i}x{k}"
+        copies.append(" ".join(own))
+    return [(i, t) for i, t in enumerate([*copies[: n // 2], " ".join(hub), *copies[n // 2 :]])]
+
+
+def shingled(text, n=5):
+    w = text.lower().split()
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def brute_near(rows, bits, share=0.8, n=5):
+    sets, fp = [shingled(t, n) for _, t in rows], [fingerprint(t, n) for _, t in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if group[a] != group[b] and (fp[a] ^ fp[b]).bit_count() <= bits and both >= share * (len(sets[a]) + len(sets[b]) - both) - 1e-9:
+                x, y = group[a], group[b]
+                group = [min(x, y) if g in (x, y) else g for g in group]
+    least = {}
+    for (i, _), g in zip(rows, group, strict=True):
+        least[g] = min(i, least.get(g, i))
+    return {i: least[g] for (i, _), g in zip(rows, group, strict=True)}
+
+
+@pytest.mark.parametrize("bits", [8, 12, 64])
+def test_similar_links_within_bits_are_all_tested(spark, bits):
+    rows = hub_and_copies()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r.doc_id: r.component_id for r in simhash.simhash_groups(docs, ngram=5, max_bits=bits, min_similarity=0.8).collect()}
+    assert found == brute_near(rows, bits)
