@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chunks import trim
 from .common import discard, parts, read_table, salted_lookup, small_batches, write_table
 
 SEED = 42
@@ -34,8 +35,10 @@ LEAF_PAIRS = 1_000
 #: Shingles whose bits are counted at once.
 COUNTED = 100_000
 #: A unit in so many is sampled for common shingles, of which so many are known.
-SAMPLED = 16
-COMMON = 200_000
+SAMPLED = 8
+COMMON = 500_000
+#: Shingles that a pair must have in common among the first of each, or all that it needs if fewer.
+SHARED = 8
 #: Pairs of units held before repeated ones are dropped.
 PAIRS = 1_000_000
 #: Allowed below a bound that is computed in floating point.
@@ -250,6 +253,7 @@ def shingle_sets(docs: DataFrame, text_col: str, id_col: str, ngram: int) -> Dat
             values = np.concatenate([np.zeros(0, np.uint64), *held]).view(np.int64)
             longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, unit)]
             yield pa.RecordBatch.from_arrays([batch.column(0), longs[0], pa.ListArray.from_arrays(ends, values), longs[1]], ["_id", "fp", "_set", "_unit"])
+        trim()
 
     return rows.mapInArrow(sets, f"_id {rows.schema['_id'].dataType.simpleString()}, fp long, _set array<long>, _unit long")
 
@@ -263,13 +267,13 @@ def listed(column: pa.ListArray) -> list[np.ndarray]:
 def candidates(rows: DataFrame, max_bits: int, least: float) -> DataFrame:
     """Pairs (u, v) of units, among them all that share `least` of the shingles that either holds and differ in max_bits or fewer.
 
-    Shingles have one order for all units, common ones last. Two sets that share so much have a shingle in common among the
-    first 1 - least of each, and by the places of the first such one enough shingles follow (prefix and positional filters).
+    Shingles have one order for all units, common ones last. Two sets that share so much have SHARED shingles in common among the
+    first 1 - least and SHARED of each, and by the places of these enough shingles follow (prefix and positional filters).
     The order loses no pair, whatever it is; a sample finds common shingles, which would bring many pairs to no use.
     """
     spark = rows.sparkSession
     sample = rows.where(F.pmod("_unit", F.lit(SAMPLED)) == 0).select(F.explode("_set").alias("_s")).groupBy("_s").agg(F.count("*").alias("_n"))
-    seen = sample.where("_n > 2").orderBy(F.desc("_n"), "_s").limit(COMMON).orderBy("_s").toArrow()
+    seen = sample.where("_n > 1").orderBy(F.desc("_n"), "_s").limit(COMMON).orderBy("_s").toArrow()
     common, times = (np.concatenate([np.asarray(seen.column(c)), np.zeros(1, np.int64)]) for c in ("_s", "_n"))
     sent = spark.sparkContext.broadcast((common, times))  # COMMON shingles at most
 
@@ -282,33 +286,41 @@ def candidates(rows: DataFrame, max_bits: int, least: float) -> DataFrame:
                 at = np.searchsorted(common[:-1], held)
                 n = sizes[i] = len(held)
                 order = np.lexsort((held, np.where(common[at] == held, times[at], 0)))
-                out[0].append(held[order[: n - math.ceil(least * n - ROUNDING) + 1]])
+                out[0].append(held[order[: n - math.ceil(least * n - ROUNDING) + SHARED]])
                 out[1].append(len(out[0][-1]))
             taken = np.array(out[1][1:], np.int64)
             of = np.repeat(np.arange(len(batch)), taken)
             place = np.arange(len(of)) - np.repeat(np.cumsum(taken) - taken, taken)
             columns = [np.concatenate(out[0]), np.asarray(batch.column(0))[of], np.asarray(batch.column(1))[of], sizes[of].astype(np.int32), place.astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["_s", "_unit", "fp", "_size", "_place"])
+        trim()
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [tuple(np.asarray(c) for c in b.columns) for b in batches]
         if got:
-            u, v = sharing(*(np.concatenate(c) for c in zip(*got, strict=True)), max_bits, least)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+            columns = [np.concatenate(c) for c in zip(*got, strict=True)]
+            got.clear()
+            found = sharing(*columns, max_bits, least)
+            del columns
+            trim()
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["u", "v", "_need", "_n"])
 
     keyed = rows.select("_unit", "fp", "_set").mapInArrow(first, "_s long, _unit long, fp long, _size int, _place int")
-    return keyed.repartition(parts(spark), "_s").mapInArrow(paired, "u long, v long").distinct()
+    return keyed.repartition(parts(spark), "_s").mapInArrow(paired, "u long, v long, _need long, _n long").groupBy("u", "v", "_need").agg(F.sum("_n").alias("_n")).where("_n >= _need").select("u", "v")
 
 
-def sharing(shingle: np.ndarray, unit: np.ndarray, fp: np.ndarray, size: np.ndarray, place: np.ndarray, max_bits: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of units with a shingle in common after which enough may follow, of max_bits differing bits or fewer."""
+def sharing(shingle: np.ndarray, unit: np.ndarray, fp: np.ndarray, size: np.ndarray, place: np.ndarray, max_bits: int, least: float) -> tuple[np.ndarray, ...]:
+    """Pairs of units (u, v) of max_bits differing bits or fewer, how many shingles they need in common, and how many of those given they have.
+
+    Only such shingles count as may be among the first SHARED in common: enough follow in both.
+    """
     order = np.lexsort((unit, size, shingle))
     once = np.concatenate([[True], (shingle[order][1:] != shingle[order][:-1]) | (unit[order][1:] != unit[order][:-1])])[: len(order)]
     order = order[once]
     shingle, unit, fp, size, place = (x[order] for x in (shingle, unit, fp.view(np.uint64), size.astype(np.int64), place))
     starts = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]])[: len(shingle)])
     nth = np.arange(len(shingle)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(shingle)]])))
-    pairs, new, n, step = np.zeros((2, 0), np.int64), [], 0, 0
+    pairs, times, new, n, step = np.zeros((3, 0), np.int64), np.zeros(0, np.int64), [], 0, 0
     at = np.arange(len(shingle))
     while True:
         step += 1
@@ -316,19 +328,25 @@ def sharing(shingle: np.ndarray, unit: np.ndarray, fp: np.ndarray, size: np.ndar
         at = at[size[at - step] >= least * size[at] - ROUNDING]  # units of a shingle stand by size
         if len(at):
             b = at - step
-            enough = np.minimum(size[at] - place[at], size[b] - place[b]) * (1 + least) >= least * (size[at] + size[b]) - ROUNDING
-            a, b = (x[enough & (np.bitwise_count(fp[at] ^ fp[b]) <= max_bits)] for x in (at, b))
-            new.append(np.stack([np.maximum(unit[a], unit[b]), np.minimum(unit[a], unit[b])]))
+            both = np.ceil(least / (1 + least) * (size[at] + size[b]) - ROUNDING).astype(np.int64)
+            enough = SHARED - 1 + np.minimum(size[at] - place[at], size[b] - place[b]) >= both
+            a, b, both = (x[enough & (np.bitwise_count(fp[at] ^ fp[b]) <= max_bits)] for x in (at, b, both))
+            new.append(np.stack([np.maximum(unit[a], unit[b]), np.minimum(unit[a], unit[b]), np.minimum(both, SHARED)]))
             n += len(a)
         if n > PAIRS or not len(at):
-            pairs, new, n = np.unique(np.concatenate([pairs, *new], axis=1), axis=1), [], 0
+            every = np.concatenate([pairs, *new], axis=1)
+            weight = np.concatenate([times, np.ones(every.shape[1] - len(times), np.int64)])
+            order = np.lexsort(every[::-1])
+            every, weight, new, n = every[:, order], weight[order], [], 0
+            heads = np.flatnonzero(np.concatenate([[True], (every[:, 1:] != every[:, :-1]).any(0)])[: len(order)])
+            pairs, times = every[:, heads], np.add.reduceat(weight, heads) if len(heads) else weight
         if not len(at):
-            return pairs[0], pairs[1]
+            return *pairs, times
 
 
 def verified(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     """Those of the pairs of units that share `least` of the shingles that either holds; sets are read for their units alone."""
-    members = pairs.select(F.col("u").alias("_m")).union(pairs.select("v")).distinct().hint("shuffle_hash")
+    members = write_table(pairs.select(F.col("u").alias("_m")).union(pairs.select("v")).distinct(), "near-members")
     held = rows.join(members, F.col("_unit") == F.col("_m"), "left_semi").groupBy("_unit").agg(F.first("_set").alias("_set"))
     for c in ("u", "v"):
         pairs = pairs.join(held.select(F.col("_unit").alias(c), F.col("_set").alias(f"_set_{c}")).hint("merge"), c)
@@ -340,6 +358,7 @@ def verified(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 close.append(both >= least * (len(x) + len(y) - both) - ROUNDING)
             yield batch.select(["u", "v"]).filter(pa.array(close, pa.bool_()))
+        trim()
 
     return pairs.select("u", "v", "_set_u", "_set_v").mapInArrow(checked, "u long, v long")
 

@@ -195,3 +195,18 @@ def test_similar_links_within_bits_are_all_tested(spark, bits):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     found = {r.doc_id: r.component_id for r in simhash.simhash_groups(docs, ngram=5, max_bits=bits, min_similarity=0.8).collect()}
     assert found == brute_near(rows, bits)
+
+
+def test_near_finds_all_that_share_enough(spark):
+    rows = hub_and_copies()
+    rng = np.random.default_rng(8)
+    for i in range(60):  # pairs around the share wanted, and short texts
+        own = [f"p{i}w{k}" for k in range(rng.integers(5, 120))]
+        rows.append((1000 + 2 * i, " ".join(own)))
+        for _ in range(rng.integers(1, 3)):
+            own[rng.integers(0, len(own))] = "x"
+        rows.append((1001 + 2 * i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    expected = brute_near(rows, 64)
+    assert 1 < len({expected[i] for i, _ in rows[201:]}) < 120
+    assert {r.doc_id for r in stages.near(spark, docs, "").collect()} == set(expected.values())
