@@ -210,3 +210,11 @@ def test_near_finds_all_that_share_enough(spark):
     expected = brute_near(rows, 64)
     assert 1 < len({expected[i] for i, _ in rows[201:]}) < 120
     assert {r.doc_id for r in stages.near(spark, docs, "").collect()} == set(expected.values())
+
+
+def test_equal_fingerprints_must_share_shingles(spark):
+    line = " ".join(f"line{k}" for k in range(11))
+    rows = [(i, " ".join([line] * 100) + " " + " ".join(f"d{i}x{k}" for k in range(80))) for i in range(6)]
+    assert len({fingerprint(t, 5) for _, t in rows}) < 6
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert stages.near(spark, docs, "").count() == 6
