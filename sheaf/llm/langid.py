@@ -142,6 +142,18 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     return docs.mapInArrow(predicted, f"{kinds}, lang_pred string, score double")
 
 
+def lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rows of docs whose text has a letter, by the rule of Model.predict()."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([bool(t and _LETTER.search(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def remainder(column: str = "doc_id", n: int = 3) -> Column:
     """crc32 of an id as text, modulo n."""
     return F.crc32(F.col(column).cast("string")) % n

@@ -218,3 +218,8 @@ def test_equal_fingerprints_must_share_shingles(spark):
     assert len({fingerprint(t, 5) for _, t in rows}) < 6
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert stages.near(spark, docs, "").count() == 6
+
+
+def test_no_labels_drop_no_text(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "12 !", None), (3, None, None), (4, "日本語", None)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in stages.language_id(spark, docs, "").collect()} == {1, 4}
