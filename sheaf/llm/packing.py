@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cached_property
@@ -41,20 +42,29 @@ class LibraryEncoder:
     """Ids that the tokenizers library gives for a file of byte-level BPE, by tiktoken, which is several times faster.
 
     Both merge the pair of the lowest rank first, and here a merge's rank is that of the entry it makes; tests hold
-    them against each other. Special tokens' strings are ordinary text.
+    them against each other. Added tokens' strings give their ids with added_tokens, as the library has it unless told
+    otherwise (the leftmost and of these the longest first), else they are ordinary text.
     """
 
-    def __init__(self, data: bytes, pattern: str):
+    def __init__(self, data: bytes, pattern: str, added_tokens: bool = False):
         import tiktoken
 
         told = json.loads(data)
         special, signs = {t["id"] for t in told["added_tokens"]}, byte_signs()
         ranks = {bytes(signs[c] for c in piece): i for piece, i in told["model"]["vocab"].items() if i not in special}
         self.library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.added = {t["content"]: t["id"] for t in told["added_tokens"]} if added_tokens else {}
+        if added_tokens and any(t.get(k) for t in told["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that take single words or strip spaces are not supported")
+        self.split = re.compile("|".join(re.escape(c) for c in sorted(self.added, key=len, reverse=True))) if self.added else None
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         for text in texts:
-            yield np.array(self.library.encode_ordinary(text), np.uint32)
+            ids, at = [], 0
+            for found in self.split.finditer(text) if self.split else ():
+                ids += [*self.library.encode_ordinary(text[at : found.start()]), self.added[found[0]]]
+                at = found.end()
+            yield np.array(ids + self.library.encode_ordinary(text[at:]), np.uint32)
 
 
 class LibrarySource:
@@ -62,20 +72,20 @@ class LibrarySource:
 
     _built: dict[str, LibraryEncoder] = {}
 
-    def __init__(self, spark: SparkSession, path: str, pattern: str):
+    def __init__(self, spark: SparkSession, path: str, pattern: str, added_tokens: bool = False):
         with open(path, "rb") as f:  # the driver reads it; its size is that of a vocabulary
             data = f.read()
-        self.digest, self.pattern = hashlib.sha256(data + pattern.encode()).hexdigest(), pattern
+        self.digest, self.pattern, self.added_tokens = hashlib.sha256(data + pattern.encode() + bytes([added_tokens])).hexdigest(), pattern, added_tokens
         self.data = spark.sparkContext.broadcast(data)
 
     @cached_property
     def encoder(self) -> LibraryEncoder:
         if self.digest not in self._built:
-            self._built[self.digest] = LibraryEncoder(self.data.value, self.pattern)
+            self._built[self.digest] = LibraryEncoder(self.data.value, self.pattern, self.added_tokens)
         return self._built[self.digest]
 
     def __getstate__(self) -> dict:
-        return {"digest": self.digest, "pattern": self.pattern, "data": self.data}
+        return {"digest": self.digest, "pattern": self.pattern, "added_tokens": self.added_tokens, "data": self.data}
 
 
 def cuts(n: int, capacity: int) -> list[int]:
@@ -83,14 +93,15 @@ def cuts(n: int, capacity: int) -> list[int]:
     return [0] if n <= capacity else sorted({0, *range(n % capacity, n, capacity)})
 
 
-def pieces(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id", pattern: str = PATTERN, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id", pattern: str = PATTERN, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, added_tokens: bool = False) -> DataFrame:
     """One row for each piece: id, piece, start, length, ids_crc32, and with with_ids the ids (little-endian, unsigned 32 bits).
 
     A null text counts as empty and is one piece of the end id alone. Repeated rows are documents of their own; an
     empty table gives an empty result; other columns are ignored. path: a tokenizers file that the driver can read.
+    added_tokens: give the file's added tokens their ids, as the library does by default; else their strings are ordinary text.
     """
     small_batches(docs.sparkSession)
-    source = LibrarySource(docs.sparkSession, path, pattern)
+    source = LibrarySource(docs.sparkSession, path, pattern, added_tokens)
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +216,7 @@ def pack_documents(docs: DataFrame, path: str, **options) -> DataFrame:
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
 
 
 QUERIES = {"op4_pack": op4_pack}

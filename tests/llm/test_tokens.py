@@ -111,3 +111,13 @@ def test_lengths_out_of_range(spark):
 def test_digests(spark):
     out = bpe.op3_bpe(spark, "/root/testdata/sf0.001").limit(20).collect()
     assert all(len(r.ids_sha256) == 64 for r in out) and hashlib.sha256(b"").hexdigest()
+
+
+def test_added_tokens_as_the_library_has_them(spark):
+    tokenizer = Tokenizer.from_file(JSON)
+    rows = [(0, "a <|endoftext|> b"), (1, "<|endoftext|><|endoftext|>x"), (2, "<|endoftext|"), (3, ""), (4, "l'été  <|endoftext|>\n y" * 300)]
+    expected = {i: np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4") for i, t in rows}
+    assert expected[0].tolist() == [64, 220, 50256, 275, 2]
+    found = packing.pieces(spark.createDataFrame(rows, "doc_id long, text string"), JSON, with_ids=True, added_tokens=True).collect()
+    for i, ids in expected.items():
+        assert b"".join(bytes(r.ids) for r in sorted((r for r in found if r.doc_id == i), key=lambda r: r.piece)) == ids.tobytes()
