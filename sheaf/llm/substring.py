@@ -3,11 +3,15 @@
 1. Each chunk samples its word positions: of the short word sequences in a window of min_words, the one of the
    smallest hash. Equal windows choose equal samples, so a window whose sample occurs once has no copy and
    its suffix needs no place in a tree. Samples are counted over all chunks.
-2. The suffixes that are left are cut to min_words, as a path of word blocks, and dealt by a prefix of that path. A prefix
-   is one block; where too many suffixes share it, two blocks, and then the whole path, so that groups fit in memory.
-   Of a chunk's suffixes with one path only the first is sent; the others repeat it.
-3. In a group the suffix tree comes from the sorted paths and what neighbours share. Internal nodes at full depth are the
-   repeats; all their leaves but the first go back to their chunks, which drop the words below them.
+2. The suffixes that are left are cut to min_words and dealt by a prefix of their words. A prefix is SHORT words; where too
+   many suffixes share it, LONG words, and then the whole path, so that groups fit in memory. Of a chunk's suffixes with
+   one path only the first is sent; the others repeat it.
+3. In a group the suffixes are sorted by their words, and the words that neighbours have in common are the depths of the suffix
+   tree's internal nodes. Nodes of min_words or more are the repeats; all their leaves but the first go back to their
+   chunks, which drop the words below them; words in a row that go make up the maximal repeats.
+
+A path is the first ORDERED words, a byte of each word's hash, by which suffixes are sorted, and a 64-bit hash of all
+min_words words. Two paths are one if both agree. Sequences that differ in one word alone never have one hash.
 """
 
 from __future__ import annotations
@@ -23,9 +27,9 @@ from .chunks import ASK, DONE, TELL, TEXT, Chunk, blob, by_part, cut, gram_hashe
 from .common import discard, parts, read_table, write_table
 
 MIN_WORDS = 20
-#: Blocks of a path, and bits of each block's digest.
-BLOCKS = 4
-BITS = 24
+#: Words by which suffixes are sorted, and words of a short and of a long prefix.
+ORDERED = 8
+SHORT, LONG = 3, 6
 #: Buckets in which prefixes are counted, and how many times the mean a bucket may hold before its prefix grows.
 BUCKETS = 4096
 FULL = 4
@@ -64,29 +68,41 @@ class Windows:
         return least, values, counts
 
     def paths(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The two halves of each suffix's path."""
-        edges = [self.n * i // BLOCKS for i in range(BLOCKS + 1)]
-        digest = []
-        for a, b in zip(edges, edges[1:], strict=False):
-            digest.append(gram_hashes(self.words, b - a)[starts + a] >> np.uint64(64 - BITS))
-        bits = np.uint64(BITS)
-        return digest[0] << bits | digest[1], digest[2] << bits | digest[3]
+        """Each suffix's first words, a byte of each, and the hash of all its words."""
+        high = np.zeros(len(starts), np.uint64)
+        for k in range(min(ORDERED, self.n)):
+            high |= self.words[starts + k] >> np.uint64(56) << np.uint64(8 * (ORDERED - 1 - k))
+        return high, gram_hashes(self.words, self.n)[starts]
+
+
+def prefixes(high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The short and the long prefix of paths."""
+    return high >> np.uint64(8 * (ORDERED - SHORT)), high >> np.uint64(8 * (ORDERED - LONG))
 
 
 def prefix_buckets(high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of prefixes of one block and of two."""
-    spread = (high * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(52)
-    return (high >> np.uint64(2 * BITS - 12)).astype(np.int64), spread.astype(np.int64)
+    """Buckets of short and of long prefixes."""
+    return tuple((p * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(52)).astype(np.int64) for p in prefixes(high))
+
+
+def common_prefixes(high: np.ndarray, low: np.ndarray, n: int) -> np.ndarray:
+    """Words that each of the sorted paths has in common with the one before: n if all, else up to ORDERED; 0 for the first."""
+    depth = np.zeros(len(high), np.int64)
+    differ = high[1:] ^ high[:-1]
+    _, bits = np.frexp((differ >> np.uint64(8 * (ORDERED // 2))).astype(float))
+    _, rest = np.frexp((differ & np.uint64((1 << 8 * (ORDERED // 2)) - 1)).astype(float))
+    bits = np.where(bits > 0, bits + 8 * (ORDERED // 2), rest)
+    depth[1:] = np.where((differ == 0) & (low[1:] == low[:-1]), n, ORDERED - (bits + 7) // 8)
+    return depth
 
 
-def deep_nodes(high: np.ndarray, low: np.ndarray, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Leaves that repeat an earlier one: a suffix tree's nodes at full depth, by the common prefixes of sorted paths."""
+def deep_nodes(high: np.ndarray, low: np.ndarray, ids: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+    """Leaves below internal nodes of n words, but for each node's first: neighbours below a node share n words or more."""
     order = np.lexsort((place, ids, low, high))
     if not len(order):
         return order
-    h, l, i, p = high[order], low[order], ids[order], place[order]
-    node = np.concatenate([[True], (h[1:] != h[:-1]) | (l[1:] != l[:-1])])
-    first = np.maximum.accumulate(np.where(node, np.arange(len(h)), 0))
+    i, p = ids[order], place[order]
+    first = np.maximum.accumulate(np.where(common_prefixes(high[order], low[order], n) < n, np.arange(len(order)), 0))
     return order[(i != i[first]) | (p != p[first])]
 
 
@@ -159,7 +175,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
             high, low = high[order], low[order]
             one, two = prefix_buckets(high)
             over_one, over_two = full.value
-            prefix = np.where(~over_one[one], high >> np.uint64(BITS), np.where(~over_two[two], high, high * np.uint64(31) + low))
+            short, long = prefixes(high)
+            prefix = np.where(~over_one[one], short, np.where(~over_two[two], long, high * np.uint64(31) + low))
             part = part_of((prefix + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), n_parts)
             turn = np.argsort(part, kind="stable")
             base = int(chunk.ids[0]) if len(chunk.ids) else 0
@@ -180,7 +197,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
         if held:
             of = np.repeat(np.arange(len(held)), [len(h[0]) for h in held])
             high, low, ids, place, starts = (np.concatenate(c) for c in zip(*held, strict=True))
-            again = np.sort(deep_nodes(high, low, ids, place))
+            again = np.sort(deep_nodes(high, low, ids, place, min_words))
             for p, s in by_part(of[again], len(chunks)):
                 yield TELL, chunks[p], part, blob(starts[again[s]])
 
@@ -217,7 +234,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
 
 
 def _over_full(cuts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Which buckets of prefixes of one block and of two hold FULL times the mean or more."""
+    """Which buckets of short and of long prefixes hold FULL times the mean or more."""
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, BUCKETS), np.int64)
