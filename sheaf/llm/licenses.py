@@ -4,7 +4,8 @@ Words are runs of letters and digits in lower case; five in a row are a shingle.
 class of the least power of two c >= s; windows of that class are 2c shingles long and start every c, so each
 stretch of c shingles lies whole in one of them. A window that holds a template to MIN_CONTAINMENT has a Jaccard similarity of
 at least J = 0.8 s / (2c + 0.2 s) >= 0.19 to it (s > c/2), and with BANDS bands of one row they share a band with a probability
-of at least 1 - (1 - J)^BANDS, over 0.9999. A window without any template's shingle has containment 0 and gets no signature.
+of at least 1 - (1 - J)^BANDS, over 0.9999. It also holds over 0.4 c shingles of templates; a filter of FILTER_BITS bits, the same size
+for any number of templates, finds windows that can't, which get no signature.
 """
 
 from __future__ import annotations
@@ -19,7 +20,9 @@ from .common import read_table
 SHINGLE = 5
 MIN_CONTAINMENT = 0.8
 BANDS = 48
-#: Short notices by which licenses are commonly declared: (license, text).
+#: Bits of the filter of shingles that templates have, a power of two of 64 at least; a shingle has two of them.
+FILTER_BITS = 1 << 16
+#: Texts by which licenses are commonly declared or granted: (license, text).
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -37,6 +40,24 @@ TEMPLATES = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC0-1.0", "Released under CC0 1.0 Universal Public Domain Dedication."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("BSD", """Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""),
+    ("BSD", """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""),
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"""),
 )
 
 
@@ -73,6 +94,26 @@ def signature(hashes: str):
     return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, j))))
 
 
+def shingle_filter(hashes: list[int]) -> Column:
+    """A literal array of FILTER_BITS bits, by 64, with two bits set for each hash."""
+    words = [0] * (FILTER_BITS // 64)
+    for h in hashes:
+        for bit in (h % FILTER_BITS, h // FILTER_BITS % FILTER_BITS):
+            words[bit // 64] |= 1 << bit % 64
+    return F.array(*[F.lit(w - (w >> 63 << 64)).cast("long") for w in words])
+
+
+def passes(bits: Column, h: Column) -> Column:
+    """Whether both bits of a hash are set."""
+
+    def bit(at: Column) -> Column:
+        word = F.get(bits, F.shiftright(at, 6).cast("int"))
+        return F.call_function("shiftrightunsigned", word, at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    low = F.lit(FILTER_BITS - 1)
+    return bit(h.bitwiseAND(low)) & bit(F.shiftright(h, FILTER_BITS.bit_length() - 1).bitwiseAND(low))
+
+
 def license_matches(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", templates=TEMPLATES) -> DataFrame:
     """One row for each document and license found in it: id, license, containment (of the best window), first_word (of the first window that matches).
 
@@ -84,14 +125,15 @@ def license_matches(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     known = template_table(spark, templates)
     found = known.collect()  # as many rows as templates
     classes = sorted({r["class"] for r in found}) or [1]
-    every = F.array(*[F.lit(h) for h in sorted({h for r in found for h in r["hashes"]})]) if found else F.array().cast("array<bigint>")
+    bits = shingle_filter([h for r in found for h in r["hashes"]])
 
-    def of_class(hashes: Column, c: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(hashes) - 1, F.lit(c)), lambda s: F.struct(F.lit(c).alias("class"), s.alias("start"), F.slice(hashes, s + 1, 2 * c).alias("w")))
+    def of_class(hashes: Column, seen: Column, c: int) -> Column:
+        starts = F.transform(F.sequence(F.lit(0), F.size(hashes) - 1, F.lit(c)), lambda s: F.struct(F.lit(c).alias("class"), s.alias("start"), F.slice(hashes, s + 1, 2 * c).alias("w")))
+        return F.filter(starts, lambda x: F.size(F.filter(F.slice(seen, x["start"] + 1, 2 * c), lambda y: y)) > int(0.4 * c))
 
     def windows(hashes: Column) -> Column:
-        own = F.flatten(F.array(*[of_class(hashes, c) for c in classes]))
-        return F.when(F.arrays_overlap(hashes, every), F.filter(own, lambda x: F.arrays_overlap(x["w"], every)))
+        own = lambda seen: F.flatten(F.array(*[of_class(hashes, seen, c) for c in classes]))
+        return F.when(F.exists(hashes, lambda h: passes(bits, h)), let(F.transform(hashes, lambda h: passes(bits, h)), own))
 
     rows = docs.select(F.col(id_col).alias("_id"), F.explode(let(_shingles(F.col(text_col)), windows)).alias("_x"))
     rows = rows.select("_id", F.col("_x.class").alias("class"), F.col("_x.start").alias("start"), F.array_distinct("_x.w").alias("w"))
@@ -108,7 +150,8 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    values = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES))
+    quoted = lambda t: t.replace("'", "''")
+    values = ", ".join(f"({i}, '{name}', '{quoted(text)}')" for i, (name, text) in enumerate(TEMPLATES))
     words = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
     shingles = f"SELECT *, list_transform(range(1, len(ws) - {SHINGLE - 2}), lambda i: array_to_string(ws[i:i + {SHINGLE - 1}], ' ')) AS sh FROM"
     return f"""

@@ -66,3 +66,21 @@ def test_licenses(spark):
     assert found[1, "MIT"] == (1.0, 0) and found[2, "Apache-2.0"][0] == 1.0 and 2990 < found[2, "Apache-2.0"][1] <= 3001
     assert found[6, "GPL-3.0"][0] == 1.0 and {d for d, _ in found} == {1, 2, 6}
     assert licenses.license_matches(empty(spark)).count() == 0 == licenses.license_matches(documents(spark, rows), templates=()).count()
+
+
+def test_long_licenses(spark):
+    whole = {name: text for name, text in licenses.TEMPLATES if len(text.split()) > 25}
+    assert len(whole) >= 9
+    rows = [(i, "some words before it " * (i % 4) + text.upper().replace(",", " ,\n") + " and after" * i) for i, text in enumerate(whole.values())]
+    torn = whole["MIT"].split()
+    rows += [(100, " ".join(w for k, w in enumerate(torn) if k % 60 != 30)), (101, " ".join(torn[: len(torn) // 4][::-1]))]
+    found = {(r.doc_id, r.license): r.containment for r in licenses.license_matches(documents(spark, rows)).collect()}
+    assert all(found[i, name] == 1.0 for i, name in enumerate(whole))
+    assert 0.8 <= found[100, "MIT"] <= 1 and 101 not in {d for d, _ in found}
+
+
+def test_filter_admits_all_of_its_hashes(spark):
+    hashes = [-(2**63), -1, 0, 5, 2**63 - 1, 0x123456789ABCDEF]
+    bits = licenses.shingle_filter(hashes)
+    rows = spark.createDataFrame([(h,) for h in [*hashes, 6, 7, -9]], "h long").select(licenses.passes(bits, F.col("h"))).collect()
+    assert [r[0] for r in rows][:6] == [True] * 6 and not all(r[0] for r in rows)
