@@ -39,6 +39,28 @@ def test_presence_kernel():
     assert len(a) == len(grams(b"abc  abd")) and len(np.intersect1d(a, b)) == len(grams(b"abc  abd") & grams(b"abcabd"))
 
 
+def test_language_model_is_ridge_regression_on_nystroem_features():
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("abcde" if i % 2 else "defgh"), rng.integers(3, 30))) for i in range(40)]
+    labels = ["x" if i % 2 else "y" for i in range(40)]
+    model = langid.Model([langid.presence(t.encode()) for t in texts], labels, landmarks=10)
+    grams = lambda t: {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    marks = [t for lang in ("x", "y") for t in [t for t, own in zip(texts, labels, strict=True) if own == lang][:5]]
+    held = set().union(*map(grams, marks))
+    kernel = lambda a, b: np.array([[len(grams(s) & grams(t)) / math.sqrt(len(grams(s)) * len(grams(t) & held)) for t in b] for s in a])
+    values, vectors = np.linalg.eigh(kernel(marks, marks))
+    half = vectors / np.sqrt(values)
+    x = kernel(texts, marks) @ half
+    y = np.where(np.array(labels)[:, None] == np.array(["x", "y"]), 1.0, -1.0)
+    w = half @ np.linalg.solve(x.T @ x + langid.RIDGE * len(texts) * np.eye(x.shape[1]), x.T @ y)
+    asked = ["".join(rng.choice(list("abcdefgh"), 12)) for _ in range(30)]
+    value = kernel(asked, marks) @ w
+    names, scores = model.predict(asked)
+    assert names == [("x", "y")[k] for k in value.argmax(1)]
+    share = np.exp(langid.SHARP * value) / np.exp(langid.SHARP * value).sum(1, keepdims=True)
+    assert np.allclose(scores, share.max(1), atol=1e-3)
+
+
 def kt(n0, n1):
     return math.lgamma(n0 + 0.5) + math.lgamma(n1 + 0.5) - math.log(math.pi) - math.lgamma(n0 + n1 + 1)
 
@@ -145,6 +167,28 @@ def test_neighbours_trouble(spark):
     assert neighbours.nearest_neighbours(nothing, nothing).count() == 0 == neighbours.nearest_neighbours(table, nothing).count()
 
 
+def test_neighbours_prune_cells(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL", 4)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((20, 24))[rng.integers(0, 20, 2000)] * 20 + rng.standard_normal((2000, 24))
+    table = vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    x = x.astype(np.float32).astype(float) if table.schema["embedding"].dataType.simpleString() == "array<float>" else x
+    found = neighbours.nearest_neighbours(table, table.where("vec_id % 100 = 0"), block=100).collect()
+    hits = 0
+    for q in range(0, 2000, 100):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len({r.vec_id for r in found if r.query_id == q} & set(np.argsort(d)[:10].tolist()))
+    assert len(found) == 200 and hits >= 0.95 * 200
+    points = x @ neighbours.projection(24, 10, 7)
+    cells = neighbours.Cells(points, 20, 10)
+    own = cells.of(points)
+    assert len(cells.low) == 20 and np.bincount(own).min() >= 4
+    assert ((points >= cells.low[own]) & (points <= cells.high[own])).all()
+    reach = [len(cells.within(p, 60.0)) for p in points[::100]]
+    assert np.mean(reach) < 10  # most cells are ruled out
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.floats(0.01, 0.999), st.integers(1, 40))
 def test_chi_square(p, m):
