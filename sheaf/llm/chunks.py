@@ -109,11 +109,31 @@ def by_part(part: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
 
 
 def trim() -> None:
-    """Give memory that Python has freed back to the system, where its C library can."""
+    """Give memory that Python and Arrow have freed back to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, rows: int) -> Iterator[list[np.ndarray]]:
+    """Columns of sorted batches without nulls, some `rows` rows at a time and all rows of equal first `keys` columns together."""
+    held, n, most = [], 0, rows
+    for batch in batches:
+        held.append([np.asarray(c) for c in batch.columns])
+        n += batch.num_rows
+        if n < most:
+            continue
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        other = np.any([c != c[-1] for c in columns[:keys]], axis=0)
+        end = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+        if end:
+            yield [c[:end] for c in columns]
+        held, n = [[c[end:].copy() for c in columns]], n - end
+        most = max(rows, 2 * n)
+    if n:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
 class Rows:
     """Collects rows of SCHEMA and gives them out in batches of some megabytes."""
 
@@ -170,11 +190,15 @@ def cut(docs: DataFrame, text_col: str, id_col: str, carry: list[str], ask: Call
 def grouped(rows: DataFrame, key: str, reduce: Callable[[int, Iterator[tuple[int, int, int, bytes]]], Iterator[tuple]], schema: str | None = None) -> DataFrame:
     """Deal rows of SCHEMA by `key` (chunk or part) and hand each key's rows, by kind and part or chunk, to `reduce`.
 
+    Keys are dealt by their numbers, not by a hash of them, so that as many parts as partitions go one to each.
     Without a schema `reduce` gives rows of SCHEMA; with one, record batches.
     """
     spark = rows.sparkSession
     column = 1 if key == "chunk" else 2
-    dealt = rows.repartition(parts(spark), key).sortWithinPartitions(key, "kind", "part", "chunk")
+    n = parts(spark)
+    # chunks are numbered within their input partition
+    number = F.col("part").cast("long") if key == "part" else F.shiftright("chunk", 32) + F.col("chunk").bitwiseAND(F.lit((1 << 32) - 1)) * F.lit(0x9E3779B1)
+    dealt = rows.repartitionById(n, F.pmod(number, F.lit(n)).cast("int")).sortWithinPartitions(key, "kind", "part", "chunk")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:

@@ -12,8 +12,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch that goes to Python; texts can be long, so this is far below Spark's default.
+#: Rows and bytes of one Arrow batch that goes to Python; texts can be long, so these are far below Spark's defaults.
 BATCH_ROWS = 512
+BATCH_BYTES = 8 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,10 +61,11 @@ def free_shuffles(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches to BATCH_ROWS rows at most in this session."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Hold Arrow batches to BATCH_ROWS rows and BATCH_BYTES bytes at most in this session; a longer row goes alone."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def parts(spark: SparkSession) -> int:
@@ -74,7 +76,8 @@ def parts(spark: SparkSession) -> int:
 def salted_lookup(rows: DataFrame, small: DataFrame, key: list[str], by: str, salts: int = 16) -> DataFrame:
     """Left join of rows with small (unique on key, null keys match), so that a hot key's rows go to `salts` tasks.
 
-    small has a row for each key and is repeated `salts` times; rows are dealt by a hash of `by`.
+    small has a row for each key and is repeated `salts` times; rows are dealt by a hash of `by`. Neither side is broadcast: both may
+    grow with the data.
     """
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
     right = small.withColumn("_r_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -82,4 +85,4 @@ def salted_lookup(rows: DataFrame, small: DataFrame, key: list[str], by: str, sa
     for k in key:
         right = right.withColumnRenamed(k, f"_r_{k}")
         on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return left.join(right, on, "left").drop("_salt", "_r_salt", *[f"_r_{k}" for k in key])
+    return left.join(right.hint("merge"), on, "left").drop("_salt", "_r_salt", *[f"_r_{k}" for k in key])

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .chunks import trim
 from .common import read_table, small_batches
 
 ORDERS = 3
@@ -46,6 +47,26 @@ def presence(text: bytes) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int32)
 
 
+class Slots:
+    """Where each n-gram's code is among a model's: one table, given back after a task, since workers live on and it is large."""
+
+    table, codes = None, np.zeros(0, np.int32)
+
+    @classmethod
+    def of(cls, codes: np.ndarray) -> np.ndarray:
+        if cls.table is None:
+            cls.table = np.full(sum(256**k for k in range(1, ORDERS + 1)), -1, np.int32)
+        if cls.codes is not codes:
+            cls.table[cls.codes] = -1
+            cls.table[codes] = np.arange(len(codes))
+            cls.codes = codes
+        return cls.table
+
+    @classmethod
+    def clear(cls) -> None:
+        cls.table, cls.codes = None, np.zeros(0, np.int32)
+
+
 class Model:
     """Landmarks and regression; predicts languages of texts."""
 
@@ -67,26 +88,21 @@ class Model:
             solved = np.linalg.solve(features.T @ features + RIDGE * len(samples) * np.eye(features.shape[1]), features.T @ target)
             self.weights = (half @ solved).astype(np.float32)
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in vars(self).items() if k != "_table"}
-
     def kernel(self, samples: list[np.ndarray]) -> np.ndarray:
         """Kernel of each text with each landmark."""
-        if "_table" not in vars(self):
-            self._table = np.full(sum(256**k for k in range(1, ORDERS + 1)), -1, np.int32)
-            self._table[self.codes] = np.arange(len(self.codes))
+        slots = Slots.of(self.codes)
         out = np.empty((len(samples), len(self.points)), np.float32)
         for i in range(0, len(samples), BATCH):
             own = samples[i : i + BATCH]
             held = np.zeros((len(own), len(self.codes)), np.float32)
             for r, s in enumerate(own):
-                at = self._table[s]
+                at = slots[s]
                 held[r, at[at >= 0]] = 1
             out[i : i + BATCH] = held @ self.points.T / np.sqrt(np.array([[max(1, len(s))] for s in own], np.float32) * self.sizes)
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Language and score of each text; UNKNOWN and 0 for a text without a letter."""
+        """Language and score of each text; UNKNOWN and 0 for a text without a letter. Of languages with one value the first by name is taken."""
         lettered = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.languages else []
         names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if lettered:
@@ -137,6 +153,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         for batch in batches:
             langs, scores = sent.value.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
+        Slots.clear()
+        trim()
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(predicted, f"{kinds}, lang_pred string, score double")

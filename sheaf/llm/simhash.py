@@ -1,15 +1,15 @@
 """SimHash near-duplicates: fingerprints, links of few differing bits, connected groups.
 
-Fingerprints that repeat are joined first, so the search sees each value once. Values are dealt by
-every choice of blocks that must agree by the pigeonhole rule (with max_bits + 2 blocks, two of them at
-least agree between linked values), so no link is lost. What shares such a key is searched by a Gray-order
-hierarchical index: values are sorted by Gray rank, leaves and upper nodes hold the bits that all values
-below share, and pairs of nodes whose shared bits differ too much are pruned together, adding differences
-level by level. A task returns a spanning forest of its links, never all pairs. Groups then come from
-large-star and small-star rounds over tables in the shared folder.
-
-Where linked texts must share a part of their shingles too, units of equal fingerprint and equal shingle set are joined
-first, and their pairs are found exactly by the rarest shingles that they share, not by the index.
+Fingerprints that repeat are joined first, so the search sees each value once. Values are dealt into wide groups by
+a few bits of every choice of blocks that must agree by the pigeonhole rule (of max_bits + 1 blocks, one at least agrees
+between linked values), so no link is lost; more bits, and then more blocks, are taken only as the values grow in number.
+Each group is searched by a Gray-order hierarchical index: values are sorted by Gray rank, leaves and upper nodes hold the
+bits that all values below share, and pairs of nodes whose shared bits differ too much are pruned together, adding
+differences level by level. A task returns a spanning forest of its links, never all pairs. Groups then come
+from large-star and small-star rounds over tables in the shared folder.
+
+Where linked texts must share a part of their shingles too, candidates of the index are verified, and similar.py finds
+those that fingerprints miss.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import trim
+from . import similar
+from .chunks import trim, whole_groups
 from .common import discard, parts, read_table, salted_lookup, small_batches, write_table
 
 SEED = 42
@@ -34,15 +35,13 @@ FRONT = 200_000
 LEAF_PAIRS = 1_000
 #: Shingles whose bits are counted at once.
 COUNTED = 100_000
-#: A unit in so many is sampled for common shingles, of which so many are known.
-SAMPLED = 8
-COMMON = 500_000
-#: Shingles that a pair must have in common among the first of each, or all that it needs if fewer.
-SHARED = 8
-#: Pairs of units held before repeated ones are dropped.
-PAIRS = 1_000_000
-#: Allowed below a bound that is computed in floating point.
-ROUNDING = 1e-9
+#: Rows of keys handled at once.
+ROWS = 500_000
+#: Values of one key of the index, on average, and from which on a key is cut into blocks.
+GROUP = 4096
+BLOCK = 200_000
+#: Differing bits up to which the index brings candidates, where linked texts must share shingles too.
+INDEX_BITS = 4
 
 
 def shingle_hashes(text: bytes, ngram: int) -> np.ndarray:
@@ -156,54 +155,68 @@ class GrayIndex:
         return label
 
 
-def spanning_links(choice: np.ndarray, masked: np.ndarray, values: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect, within each (choice, masked) key, just what values of max_bits differing bits connect."""
-    order = np.lexsort((gray_rank(values), masked, choice))
-    choice, masked, values = choice[order], masked[order], values[order]
+def spanning_links(keys: list[np.ndarray], values: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect, within each key, just what values of max_bits differing bits connect."""
+    order = np.lexsort((gray_rank(values), *keys))
+    keys, values = [k[order] for k in keys], values[order]
     if not len(values):
         return values, values
-    new = np.concatenate([[True], (choice[1:] != choice[:-1]) | (masked[1:] != masked[:-1])])
+    new = np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])
     starts = np.flatnonzero(new)
     sizes = np.diff(np.concatenate([starts, [len(values)]]))
     root = np.arange(len(values))
-    small = np.repeat(sizes <= LEAF, sizes)
-    place = np.arange(len(values)) - np.repeat(starts, sizes)
-    u, v = [], []
-    for step in range(1, LEAF):  # all pairs of small keys
-        at = np.flatnonzero(small & (place >= step))
-        if not len(at):
-            break
-        at = at[np.bitwise_count(values[at] ^ values[at - step]) <= max_bits]
-        u.append(at)
-        v.append(at - step)
-    if u:
-        root = components(len(values), np.concatenate(u), np.concatenate(v))
-    for k in np.flatnonzero(sizes > LEAF):
+    for k in np.flatnonzero(sizes > 1):
         s = slice(starts[k], starts[k] + sizes[k])
-        root[s] = starts[k] + GrayIndex(values[s]).groups(max_bits)
+        if sizes[k] > LEAF:
+            root[s] = starts[k] + GrayIndex(values[s]).groups(max_bits)
+        else:
+            near = np.nonzero(np.bitwise_count(values[s][:, None] ^ values[s]) <= max_bits)
+            root[s] = starts[k] + components(int(sizes[k]), *near)
     linked = root != np.arange(len(values))
     pairs = np.unique(np.stack([values[linked], values[root[linked]]]), axis=1)
     return pairs[0], pairs[1]
 
 
-def links(values: DataFrame, max_bits: int, blocks: int | None = None) -> DataFrame:
-    """Links (u, v) between the distinct longs in column fp that connect all values of max_bits differing bits or fewer."""
-    blocks = blocks or max_bits + 2
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    block = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(blocks)]
-    masks = [sum(block[i] for i in chosen) for chosen in combinations(range(blocks), blocks - max_bits)]
+def key_masks(n: int, max_bits: int, group: int) -> list[int]:
+    """Masks of which one at least agrees between any values of max_bits differing bits; n even values share a mask's bits with `group` others."""
+    wanted = max(0, math.ceil(math.log2(max(n, 1) / group)))
+    if not wanted:
+        return [0]
+    agree = 1
+    while 64 * agree // (max_bits + agree) < wanted and agree < 4:
+        agree += 1
+    blocks = max_bits + agree
+    edges, each = [64 * i // blocks for i in range(blocks + 1)], -(-wanted // agree)
+    low = [((1 << min(each, edges[i + 1] - edges[i])) - 1) << edges[i] for i in range(blocks)]
+    return [sum(low[i] for i in chosen) for chosen in combinations(range(blocks), agree)]
+
+
+def links(values: DataFrame, max_bits: int, group: int | None = None) -> DataFrame:
+    """Links (u, v) between the distinct longs in column fp that connect all values of max_bits differing bits or fewer.
+
+    group: values that share a key, if they were even (GROUP). A key of more than BLOCK values is cut into blocks, each two of which meet.
+    """
+    masks = key_masks(values.count(), max_bits, group or GROUP)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = values.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("choice", "masked"))
-    keyed = keyed.repartition(parts(values.sparkSession), "choice", "masked")
+    keyed = values.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("choice", "masked"))
+    full = write_table(keyed.groupBy("choice", "masked").agg(F.count("*").alias("_n")).where(F.col("_n") > BLOCK), "full-keys")
+    none = F.lit(0)
+    if full.isEmpty():
+        keyed = keyed.select("choice", "masked", none.alias("i"), none.alias("j"), "fp")
+    else:
+        blocks = F.ceil(F.coalesce("_n", F.lit(1)) / BLOCK).cast("int")
+        keyed = salted_lookup(keyed, full, ["choice", "masked"], "fp").select("choice", "masked", "fp", blocks.alias("_blocks"))
+        keyed = keyed.withColumn("_b", F.pmod(F.xxhash64("fp"), F.col("_blocks")).cast("int"))
+        keyed = keyed.select("*", F.explode(F.sequence(none, F.col("_blocks") - 1)).alias("_o")).select("choice", "masked", F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"), "fp")
+    key = ["choice", "masked", "i", "j"]
+    dealt = keyed.repartition(parts(values.sparkSession), *key).sortWithinPartitions(*key)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [tuple(np.asarray(c) for c in (b.column(1), b.column(2), b.column(0))) for b in batches]
-        if got:
-            choice, masked, fp = (np.concatenate(c) for c in zip(*got, strict=True))
-            u, v = spanning_links(choice, masked.view(np.uint64), fp.view(np.uint64), max_bits)
+        for *keys, fp in whole_groups(batches, len(key), ROWS):
+            u, v = spanning_links(keys, fp.view(np.uint64), max_bits)
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
-    return keyed.mapInArrow(linked, "u long, v long").distinct()
+    return dealt.mapInArrow(linked, "u long, v long").distinct()
 
 
 def stars(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -234,186 +247,96 @@ def stars(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"groups did not settle in {rounds} rounds")
 
 
-def shingle_sets(docs: DataFrame, text_col: str, id_col: str, ngram: int) -> DataFrame:
-    """Columns: _id, fp, _set (the distinct shingles' hashes, sorted), _unit (a hash of both); a null text has no shingles."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
-        for batch in batches:
-            fp, held, unit = [], [], []
-            for t in batch.column(1):
-                hashes = shingle_hashes(t.as_py(), ngram)
-                fp.append(majority(hashes))
-                held.append(np.unique(hashes))
-                unit.append(xxh64_intdigest(held[-1].tobytes(), fp[-1]))
-            ends = np.cumsum([0, *map(len, held)]).astype(np.int32)
-            values = np.concatenate([np.zeros(0, np.uint64), *held]).view(np.int64)
-            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, unit)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), longs[0], pa.ListArray.from_arrays(ends, values), longs[1]], ["_id", "fp", "_set", "_unit"])
-        trim()
-
-    return rows.mapInArrow(sets, f"_id {rows.schema['_id'].dataType.simpleString()}, fp long, _set array<long>, _unit long")
-
-
-def listed(column: pa.ListArray) -> list[np.ndarray]:
-    """The arrays of a column of lists."""
-    values, at = np.asarray(column.values), np.asarray(column.offsets)
-    return [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+def shingle_sets(ngram: int, by_bits: bool):
+    """A function from a column of texts (binary) to each one's distinct shingles' hashes and its unit, a hash of these.
 
+    A text without words has no shingles. by_bits: units hold one fingerprint each.
+    """
 
-def candidates(rows: DataFrame, max_bits: int, least: float) -> DataFrame:
-    """Pairs (u, v) of units, among them all that share `least` of the shingles that either holds and differ in max_bits or fewer.
+    def sets(column: pa.Array) -> Iterator[tuple[np.ndarray, int]]:
+        from xxhash import xxh64_intdigest
 
-    Shingles have one order for all units, common ones last. Two sets that share so much have SHARED shingles in common among the
-    first 1 - least and SHARED of each, and by the places of these enough shingles follow (prefix and positional filters).
-    The order loses no pair, whatever it is; a sample finds common shingles, which would bring many pairs to no use.
-    """
-    spark = rows.sparkSession
-    sample = rows.where(F.pmod("_unit", F.lit(SAMPLED)) == 0).select(F.explode("_set").alias("_s")).groupBy("_s").agg(F.count("*").alias("_n"))
-    seen = sample.where("_n > 1").orderBy(F.desc("_n"), "_s").limit(COMMON).orderBy("_s").toArrow()
-    common, times = (np.concatenate([np.asarray(seen.column(c)), np.zeros(1, np.int64)]) for c in ("_s", "_n"))
-    sent = spark.sparkContext.broadcast((common, times))  # COMMON shingles at most
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, times = sent.value
-        for batch in batches:
-            out = [np.zeros(0, np.int64)], [0]
-            sizes = np.zeros(len(batch), np.int64)
-            for i, held in enumerate(listed(batch.column(2))):
-                at = np.searchsorted(common[:-1], held)
-                n = sizes[i] = len(held)
-                order = np.lexsort((held, np.where(common[at] == held, times[at], 0)))
-                out[0].append(held[order[: n - math.ceil(least * n - ROUNDING) + SHARED]])
-                out[1].append(len(out[0][-1]))
-            taken = np.array(out[1][1:], np.int64)
-            of = np.repeat(np.arange(len(batch)), taken)
-            place = np.arange(len(of)) - np.repeat(np.cumsum(taken) - taken, taken)
-            columns = [np.concatenate(out[0]), np.asarray(batch.column(0))[of], np.asarray(batch.column(1))[of], sizes[of].astype(np.int32), place.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["_s", "_unit", "fp", "_size", "_place"])
-        trim()
+        for t in column:
+            hashes = shingle_hashes(t.as_py(), ngram)
+            held = np.unique(hashes)
+            unit = xxh64_intdigest(held.tobytes(), majority(hashes) if by_bits else 0)
+            yield held.view(np.int64), unit - (unit >> 63 << 64)
 
-    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [tuple(np.asarray(c) for c in b.columns) for b in batches]
-        if got:
-            columns = [np.concatenate(c) for c in zip(*got, strict=True)]
-            got.clear()
-            found = sharing(*columns, max_bits, least)
-            del columns
-            trim()
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["u", "v", "_need", "_n"])
+    return sets
 
-    keyed = rows.select("_unit", "fp", "_set").mapInArrow(first, "_s long, _unit long, fp long, _size int, _place int")
-    return keyed.repartition(parts(spark), "_s").mapInArrow(paired, "u long, v long, _need long, _n long").groupBy("u", "v", "_need").agg(F.sum("_n").alias("_n")).where("_n >= _need").select("u", "v")
 
+def unit_rows(docs: DataFrame, ngram: int, by_bits: bool) -> DataFrame:
+    """Of rows _id, _text (binary), _h: _id, _h, fp, _unit (as by shingle_sets()), _size."""
+    small_batches(docs.sparkSession)
 
-def sharing(shingle: np.ndarray, unit: np.ndarray, fp: np.ndarray, size: np.ndarray, place: np.ndarray, max_bits: int, least: float) -> tuple[np.ndarray, ...]:
-    """Pairs of units (u, v) of max_bits differing bits or fewer, how many shingles they need in common, and how many of those given they have.
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
 
-    Only such shingles count as may be among the first SHARED in common: enough follow in both.
-    """
-    order = np.lexsort((unit, size, shingle))
-    once = np.concatenate([[True], (shingle[order][1:] != shingle[order][:-1]) | (unit[order][1:] != unit[order][:-1])])[: len(order)]
-    order = order[once]
-    shingle, unit, fp, size, place = (x[order] for x in (shingle, unit, fp.view(np.uint64), size.astype(np.int64), place))
-    starts = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]])[: len(shingle)])
-    nth = np.arange(len(shingle)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(shingle)]])))
-    pairs, times, new, n, step = np.zeros((3, 0), np.int64), np.zeros(0, np.int64), [], 0, 0
-    at = np.arange(len(shingle))
-    while True:
-        step += 1
-        at = at[nth[at] >= step]
-        at = at[size[at - step] >= least * size[at] - ROUNDING]  # units of a shingle stand by size
-        if len(at):
-            b = at - step
-            both = np.ceil(least / (1 + least) * (size[at] + size[b]) - ROUNDING).astype(np.int64)
-            enough = SHARED - 1 + np.minimum(size[at] - place[at], size[b] - place[b]) >= both
-            a, b, both = (x[enough & (np.bitwise_count(fp[at] ^ fp[b]) <= max_bits)] for x in (at, b, both))
-            new.append(np.stack([np.maximum(unit[a], unit[b]), np.minimum(unit[a], unit[b]), np.minimum(both, SHARED)]))
-            n += len(a)
-        if n > PAIRS or not len(at):
-            every = np.concatenate([pairs, *new], axis=1)
-            weight = np.concatenate([times, np.ones(every.shape[1] - len(times), np.int64)])
-            order = np.lexsort(every[::-1])
-            every, weight, new, n = every[:, order], weight[order], [], 0
-            heads = np.flatnonzero(np.concatenate([[True], (every[:, 1:] != every[:, :-1]).any(0)])[: len(order)])
-            pairs, times = every[:, heads], np.add.reduceat(weight, heads) if len(heads) else weight
-        if not len(at):
-            return *pairs, times
-
-
-def verified(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs of units that share `least` of the shingles that either holds; sets are read for their units alone."""
-    members = write_table(pairs.select(F.col("u").alias("_m")).union(pairs.select("v")).distinct(), "near-members")
-    held = rows.join(members, F.col("_unit") == F.col("_m"), "left_semi").groupBy("_unit").agg(F.first("_set").alias("_set"))
-    for c in ("u", "v"):
-        pairs = pairs.join(held.select(F.col("_unit").alias(c), F.col("_set").alias(f"_set_{c}")).hint("merge"), c)
-
-    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            close = []
-            for x, y in zip(listed(batch.column(2)), listed(batch.column(3)), strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                close.append(both >= least * (len(x) + len(y) - both) - ROUNDING)
-            yield batch.select(["u", "v"]).filter(pa.array(close, pa.bool_()))
+            fp, unit, size = [], [], []
+            for t in batch.column(1):
+                hashes = shingle_hashes(t.as_py(), ngram)
+                held = np.unique(hashes)
+                fp.append(majority(hashes))
+                unit.append(xxh64_intdigest(held.tobytes(), fp[-1] if by_bits else 0))
+                size.append(len(held))
+            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, unit, size)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *longs], ["_id", "_h", "fp", "_unit", "_size"])
         trim()
 
-    return pairs.select("u", "v", "_set_u", "_set_v").mapInArrow(checked, "u long, v long")
+    return docs.select("_id", "_text", "_h").mapInArrow(marked, f"_id {docs.schema['_id'].dataType.simpleString()}, _h long, fp long, _unit long, _size long")
 
 
-def similar_links(rows: DataFrame, max_bits: int, least: float) -> tuple[DataFrame, list[DataFrame]]:
-    """Links (u, v) between units that connect all that are linked: max_bits differing bits or fewer, `least` of the shingles in common.
-
-    rows: a written table with the columns of shingle_sets(). Two pairs of each unit are verified first; of the others only
-    those that these leave unconnected. Also gives the tables that the links read.
-    """
-    pairs = write_table(candidates(rows, max_bits, least), "near-pairs")
-    few = pairs.groupBy("u").agg(F.min("v").alias("a"), F.max("v").alias("b")).select("u", F.explode(F.array_distinct(F.array("a", "b"))).alias("v"))
-    sure = write_table(verified(few, rows, least), "near-first")
-    root = stars(sure)
-    discard(sure)
-    left = pairs.join(few, ["u", "v"], "left_anti")
-    for c in ("u", "v"):
-        left = left.join(root.select(F.col("u").alias(c), F.col("root").alias(f"_root_{c}")), c, "left")
-    left = left.where(F.coalesce("_root_u", "u") != F.coalesce("_root_v", "v")).select("u", "v")
-    more = write_table(verified(write_table(left, "near-left"), rows, least), "near-more")
-    return root.select("u", F.col("root").alias("v")).union(more), [pairs, more]
+def indexed_clusters(rows: DataFrame, max_bits: int) -> DataFrame:
+    """Clusters (_unit, _hub, _size) of units whose fingerprints are equal or linked by the Gray index."""
+    units = rows.select("fp", "_unit", "_size").distinct()
+    first = units.groupBy("fp").agg(F.min("_unit").alias("_hub"), F.count("*").alias("_m"))
+    own = salted_lookup(units, first.where("_m > 1"), ["fp"], "_unit").where("_hub is not null").select("_unit", "_hub", "_size")
+    pairs = write_table(links(write_table(rows.select("fp").distinct(), "near-values"), max_bits).where("u <> v"), "near-indexed")
+    to = pairs.join(first.select(F.col("fp").alias("v"), "_hub"), "v").select("u", "_hub")
+    ends = pairs.select("v").distinct().join(first.select(F.col("fp").alias("v"), "_hub"), "v").select(F.col("v").alias("u"), "_hub")
+    near = to.union(ends).distinct()  # as many hubs as keys of the index at most for each value
+    return own.union(units.join(near, units["fp"] == near["u"]).select("_unit", "_hub", "_size"))
 
 
 def simhash_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", ngram: int = 4, max_bits: int = 4, min_similarity: float | None = None) -> DataFrame:
-    """One row for each row of docs: id, fingerprint (16 hex digits), component_id.
+    """One row for each row of docs: id, fingerprint (16 hex digits), component_id, kept, text_hash.
 
     Fingerprints of max_bits differing bits or fewer are linked; component_id is the smallest id that links
     reach, its own included. Null and empty texts have fingerprint 0 and are linked like any other. A null id
     is passed over in component_id, unless its group has no other. Rows that repeat an id are one row each.
     An empty table gives an empty result; other columns are ignored.
-    min_similarity: linked texts must also share this part, above 0, of the distinct shingles that either holds. No such pair
-    is passed over, with max_bits of 64 whatever their fingerprints.
+    kept: true for the document of the smallest id in each group (null last); rows alike in id and text stay or go together, and
+    so do, without min_similarity, all rows of one id. text_hash: with min_similarity the xxhash64 of the text, else 0.
+    min_similarity: linked texts must also share this part, above 0, of the distinct shingles that either holds. The Gray index brings
+    candidates of up to INDEX_BITS; an exact search by shingles brings all others, so that no such pair is passed over, with
+    max_bits of 64 whatever their fingerprints.
     """
     if min_similarity is None:
         rows = write_table(fingerprints(docs, text_col, id_col, ngram).withColumnRenamed(id_col, "_id"), "fingerprints").withColumn("_unit", F.col("fp"))
-        edges, spent = links(rows.select("fp").distinct(), max_bits), []
+        edges = links(rows.select("fp").distinct(), max_bits)
     else:
-        held = write_table(shingle_sets(docs, text_col, id_col, ngram), "near-shingles")
-        edges, spent = similar_links(held, max_bits, min_similarity)
-        rows = write_table(held.select("_id", "fp", "_unit"), "fingerprints")
-        spent.append(held)
+        text = F.coalesce(F.col(text_col), F.lit(""))
+        own = docs.select(F.col(id_col).alias("_id"), text.cast("binary").alias("_text"), F.xxhash64(text).alias("_h"))
+        by_bits = max_bits < 64
+        rows = write_table(unit_rows(own, ngram, by_bits), "fingerprints")
+        edges = similar.similar_links(own, rows, indexed_clusters(rows, min(INDEX_BITS, max_bits)), shingle_sets(ngram, by_bits), max_bits, min_similarity)
     root = stars(edges)
-    for table in spent:
-        discard(table)
-    values = rows.groupBy("_unit").agg(F.min("_id").alias("_least"), F.count("*").alias("_n"))
+    mark = F.col("_h") if "_h" in rows.columns else F.lit(0).cast("long")
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), mark.alias("mark")))
+    values = rows.groupBy("_unit").agg(first.alias("_first"), F.count("*").alias("_n"))
     ends = root.select(F.col("u").alias("_unit"), "root").union(root.select(F.col("root").alias("_unit"), "root")).distinct()
-    grouped = values.join(ends, "_unit", "left").where("root is not null or _n > 1").withColumn("root", F.coalesce("root", "_unit"))
-    least = grouped.groupBy("root").agg(F.min("_least").alias("component_id"))
-    shared = salted_lookup(grouped, least, ["root"], "_unit").select("_unit", "component_id", F.lit(True).alias("_shared"))
+    grouped = values.join(ends.hint("merge"), "_unit", "left").where("root is not null or _n > 1").withColumn("root", F.coalesce("root", "_unit"))
+    least = grouped.groupBy("root").agg(F.min("_first").alias("_least"))
+    shared = salted_lookup(grouped, least, ["root"], "_unit").select("_unit", "_least", F.lit(True).alias("_shared"))
     out = salted_lookup(rows, shared, ["_unit"], "_id")
-    return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("_shared"), F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
+    kept = F.col("_shared").isNull() | (F.col("_least.id").eqNullSafe(F.col("_id")) & (F.col("_least.mark") == mark))
+    group = F.when(F.col("_shared"), F.col("_least.id")).otherwise(F.col("_id"))
+    return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), group.alias("component_id"), kept.alias("kept"), mark.alias("text_hash"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_groups(read_table(spark, sf_dir, "documents"))
+    return simhash_groups(read_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 QUERIES = {"op10_simhash": op10_simhash}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trouble import documents, empty, texts
 from xxhash import xxh64_intdigest
 
-from sheaf.llm import exact_dedup, simhash, stages, substring
+from sheaf.llm import exact_dedup, similar, simhash, stages, substring
 from sheaf.llm.chunks import blob, unblob
 
 ROWS = [*enumerate(texts()), (5, texts()[5]), (9, "a b"), (9, "a b"), (None, "a b"), (70, "other text of doc 70"), (70, "and one more")]
@@ -119,6 +119,24 @@ def test_repeats_across_chunks_and_full_prefixes(spark, monkeypatch):
     assert sorted((r.n_words, r.n_removed, sha(r.kept.encode())) for r in found) == sorted(removed(rows))
 
 
+def test_common_prefixes_of_sorted_paths():
+    high = np.array([0x0101000000000000, 0x0101000000000000, 0x0101000000000000, 0x0102000000000000, 0x0201000000000000], np.uint64)
+    low = np.array([4, 4, 9, 9, 9], np.uint64)
+    assert substring.common_prefixes(high, low, 20).tolist() == [0, 20, 8, 1, 0]
+
+
+def test_windows_that_differ_in_one_word_are_apart(spark):
+    rng = np.random.default_rng(2)
+    base = [f"w{k}" for k in range(20)]
+    rows = []
+    for i in range(3000):
+        own = list(base)
+        own[rng.integers(0, 20)] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    found = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).where("n_removed > 0")
+    assert found.count() == 0
+
+
 def test_blobs():
     a, b = np.array([2**64 - 1, 0, 7], np.uint64), np.zeros(0, np.int64)
     x, y = unblob(blob(a, b))
@@ -223,3 +241,79 @@ def test_equal_fingerprints_must_share_shingles(spark):
 def test_no_labels_drop_no_text(spark):
     docs = spark.createDataFrame([(1, "some words", None), (2, "12 !", None), (3, None, None), (4, "日本語", None)], "doc_id long, text string, lang string")
     assert {r.doc_id for r in stages.language_id(spark, docs, "").collect()} == {1, 4}
+
+
+def test_near_hot_shingles_and_cut_clusters(spark, monkeypatch):
+    monkeypatch.setattr(similar, "SAMPLED", 1)
+    monkeypatch.setattr(similar, "HOT", 20)
+    monkeypatch.setattr(similar, "LOAD", 6000)
+    monkeypatch.setattr(similar, "ROWS", 300)
+    rows = hub_and_copies()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r.doc_id: r.component_id for r in simhash.simhash_groups(docs, ngram=5, max_bits=64, min_similarity=0.8).collect()}
+    assert found == brute_near(rows, 64)
+    chain = [(i, " ".join(f"w{k}" for k in range(12 * i, 12 * i + 200))) for i in range(30)]  # each shares 0.8 with the next alone
+    docs = spark.createDataFrame(chain, "doc_id long, text string").repartition(4)
+    assert {r.component_id for r in simhash.simhash_groups(docs, ngram=5, max_bits=64, min_similarity=0.8).collect()} == set(brute_near(chain, 64).values()) == {0}
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.integers(0, 2**32), st.floats(0.5, 0.95), st.booleans())
+def test_tile_links_connect_what_is_linked(seed, least, hub):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**40, 60)
+    sets = [np.unique(np.where(rng.random(60) < rng.random() * 0.3, rng.integers(0, 2**40, 60), base)[: rng.integers(30, 60)]) for _ in range(40)] + [np.zeros(0, np.int64)] * 2
+    n = len(sets)
+    near = np.array([[len(a) and len(np.intersect1d(a, b)) >= least * len(np.union1d(a, b)) - 1e-9 for b in sets] for a in sets], bool)
+    unit, fp = rng.permutation(n), np.zeros(n, np.uint64)
+    expected = simhash.components(n, *np.nonzero(near))
+    u, v = similar.tile_links(unit, fp, sets, np.zeros(n, int), int(unit[3]) if hub else -1, True, 64, least)
+    assert np.array_equal(simhash.components(n, np.array(u, int), np.array(v, int)), expected) and len(u) < n
+    block = rng.integers(0, 2, n)  # links within blocks come from other tiles
+    pairs = [similar.tile_links(unit[k], fp[k], [sets[i] for i in k], block[k], int(unit[3]), same, 64, least) + (k,) for k, same in ((np.flatnonzero((block == 0) | (np.arange(n) == 3)), True), (np.flatnonzero((block == 1) | (np.arange(n) == 3)), True), (np.arange(n), False))]  # the hub is in each
+    u, v = (np.concatenate([k[np.array(p[i], int)] for *p, k in pairs]) for i in (0, 1))
+    assert near[u, v].all() and np.array_equal(simhash.components(n, u, v), expected)
+
+
+@pytest.mark.parametrize(("n", "bits", "keys"), [(4000, 4, 1), (10_000, 4, 5), (4096 << 12, 4, 5), (4096 << 20, 4, 15), (4096 << 25, 4, 35), (100_000, 0, 1)])
+def test_key_masks(n, bits, keys):
+    masks = simhash.key_masks(n, bits, 4096)
+    assert len(masks) == keys and (n <= 4096 or min(m.bit_count() for m in masks) >= np.log2(n / 4096))
+    rng = np.random.default_rng(n)
+    for _ in range(200):
+        flipped = sum(1 << int(b) for b in rng.choice(64, bits, replace=False))
+        assert any(not m & flipped for m in masks)
+
+
+def test_links_of_many_small_and_of_cut_keys(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    v = np.unique(rng.integers(0, 2**63, 40)[rng.integers(0, 40, 600)] ^ (1 << rng.integers(0, 63, 600)) ^ (1 << rng.integers(0, 63, 600)))
+    values = spark.createDataFrame([(int(x),) for x in v], "fp long")
+    expected = simhash.components(len(v), *np.nonzero(np.bitwise_count(v[:, None] ^ v) <= 4))
+    for group, block in ((16, 200_000), (200, 50), (4096, 200_000)):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        found = simhash.links(values, 4, group).collect()
+        u, w = (np.searchsorted(v, [r[i] for r in found]) for i in (0, 1))
+        assert np.array_equal(simhash.components(len(v), u, w), expected)
+
+
+def test_index_is_built_on_whole_tables(spark, monkeypatch):
+    built = []
+    monkeypatch.setattr(simhash.GrayIndex, "__init__", (lambda f: lambda self, values: built.append(len(values)) or f(self, values))(simhash.GrayIndex.__init__))
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    fp = np.array([r.fp for r in simhash.fingerprints(docs, ngram=4).select("fp").distinct().collect()]).view(np.uint64)
+    masks = simhash.key_masks(len(fp), 4, simhash.GROUP)
+    keys = [np.concatenate(c) for c in zip(*[(np.full(len(fp), i), fp & np.uint64(m)) for i, m in enumerate(masks)], strict=True)]
+    simhash.spanning_links(keys, np.tile(fp, len(masks)), 4)
+    assert max(built) > 1000 and sum(built) > 0.9 * len(fp) * len(masks)
+
+
+def test_stages_keep_null_and_repeated_ids(spark):
+    rows = [(None, "one two three"), (None, "one two three"), (None, "four five six"), (None, "Four five six"), (5, "four  five six"), (5, "seven eight"), (5, "seven eight"), (6, "seven eight"), (7, None), (8, ""), (None, "")]
+    docs = documents(spark, rows).withColumns({c: F.lit(1) for c in ("_own", "_hash", "_key", "_unit", "_h", "_doc", "_row", "component_id")})
+    key = lambda d: sorted((str(r.doc_id), r.text) for r in d.select("doc_id", "text").collect())
+    assert key(stages.exact(spark, docs, "")) == [("5", "four  five six"), ("6", "seven eight"), ("8", ""), ("None", "Four five six"), ("None", "four five six"), ("None", "one two three")]
+    near = stages.near(spark, docs, "")
+    assert near.columns == docs.columns
+    assert key(near) == [("5", "four  five six"), ("5", "seven eight"), ("5", "seven eight"), ("7", None), ("None", "one two three"), ("None", "one two three")]
+    assert stages.packed(spark, docs, "").count() == len(rows) and stages.repeats(spark, docs, "").count() == len(rows)
