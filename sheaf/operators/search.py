@@ -32,10 +32,17 @@ class KeywordIndex:
 
     @classmethod
     def build(cls, chunks: DataFrame, key: str, text: str, tokenize: Callable[[Column], Column] = tokens) -> KeywordIndex:
-        """Chunks without a token count in the number of chunks and the mean length."""
-        rows = chunks.select(F.col(key).alias("id"), tokenize(F.col(text)).alias("_t"))
+        """Chunks without a token count in the number of chunks and the mean length. key names each chunk once.
+
+        Terms are counted within their row, by the lengths of runs in sorted tokens, so that only (term, chunk) pairs leave it.
+        """
+        rows = chunks.select(F.col(key).alias("id"), F.array_sort(tokenize(F.col(text))).alias("_t"))
         corpus = rows.agg(F.count("*").alias("n"), (F.sum(F.size("_t")) / F.count("*")).alias("avg_length"))
-        postings = rows.select("id", F.size("_t").alias("length"), F.explode("_t").alias("term")).groupBy("id", "term", "length").agg(F.count("*").alias("tf"))
+        # where a run of equal tokens starts, with the end of the row as the last
+        edges = F.filter(F.transform("_t", lambda t, i: F.when((i == 0) | (t != F.get("_t", i - 1)), i)), lambda i: i.isNotNull())
+        rows = rows.select("id", F.size("_t").alias("length"), "_t", edges.alias("_e"))
+        runs = F.transform("_e", lambda e, i: F.struct(F.get("_t", e).alias("term"), (F.coalesce(F.get("_e", i + 1), F.col("length")) - e).cast("long").alias("tf")))
+        postings = rows.select("id", "length", F.explode(runs).alias("_r")).select("id", "_r.term", "length", "_r.tf")
         raw = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus))  # one row
         raw = raw.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw_idf"))
         mean = raw.agg(F.avg("raw_idf").alias("mean_idf"))
@@ -55,6 +62,15 @@ class KeywordIndex:
         self.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
         return KeywordIndex(saved, spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/corpus"))
 
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> KeywordIndex:
+        """The tables of save()."""
+        return cls(spark.read.parquet(f"{path}/postings").drop("shard"), spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/corpus"))
+
+    def unpersist(self) -> None:
+        for table in (self.postings, self.terms, self.corpus):
+            table.unpersist()
+
 
 def bm25_scores(index: KeywordIndex, query: list[str]) -> DataFrame:
     """Raw scores (id, score) of chunks that hold a query term; a term counts as often as the query repeats it."""
@@ -62,7 +78,9 @@ def bm25_scores(index: KeywordIndex, query: list[str]) -> DataFrame:
     asked = _terms(spark, query).join(index.terms, "term").select("term", "times", "idf")
     hits = index.postings.join(F.broadcast(asked), "term").crossJoin(F.broadcast(index.corpus))  # as many terms as the query; one row
     weight = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    return hits.groupBy("id").agg(F.sum(weight).alias("score"))
+    # summed in the order of the terms, whatever order rows come in: equal chunks get equal scores
+    parts = F.array_sort(F.collect_list(F.struct("term", weight.alias("w"))))
+    return hits.groupBy("id").agg(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x["w"]).alias("score"))
 
 
 def _terms(spark: SparkSession, query: list[str]) -> DataFrame:

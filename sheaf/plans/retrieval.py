@@ -12,13 +12,13 @@ QUERY = ("the", "ndre", "of", "the", "Dingsda")
 _ASKED = ", ".join(f"('{w}')" for w in QUERY)
 #: Only the query's terms are joined to the postings; the statistics need all of them.
 _BM25_SQL = rf"""
-    WITH tok AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS w FROM documents),
-    tf AS (SELECT doc_id, w, count(*) AS f FROM tok GROUP BY doc_id, w), dl AS (SELECT doc_id, count(*) AS dl FROM tok GROUP BY doc_id),
+    WITH tok AS MATERIALIZED (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS w FROM documents),
+    tf AS MATERIALIZED (SELECT doc_id, w, count(*) AS f FROM tok GROUP BY doc_id, w), dl AS (SELECT doc_id, count(*) AS dl FROM tok GROUP BY doc_id),
     st AS (SELECT (SELECT count(*) FROM documents)::DOUBLE AS n, (SELECT count(*) FROM tok) / (SELECT count(*) FROM documents) AS avgdl),
-    raw AS (SELECT w, count(*) AS df, ln(max(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS i FROM tf, st GROUP BY w),
-    idf AS (SELECT w, df, CASE WHEN i < 0 THEN 0.25::DOUBLE * (SELECT avg(i) FROM raw) ELSE i END AS idf FROM raw),
+    raw AS MATERIALIZED (SELECT w, count(*) AS df, ln(max(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS i FROM tf, st GROUP BY w),
+    idf AS MATERIALIZED (SELECT w, df, CASE WHEN i < 0 THEN 0.25::DOUBLE * (SELECT avg(i) FROM raw) ELSE i END AS idf FROM raw),
     q AS (SELECT w, count(*) AS times FROM (VALUES {_ASKED}) v(w) GROUP BY w),
-    sc AS (SELECT tf.doc_id, sum(times * idf * f * 2.5::DOUBLE / (f + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS s FROM q JOIN idf USING (w) JOIN tf USING (w) JOIN dl ON dl.doc_id = tf.doc_id, st GROUP BY tf.doc_id),
+    sc AS (SELECT tf.doc_id, list_reduce(list(times * idf * f * 2.5::DOUBLE / (f + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)) ORDER BY w), lambda a, b: a + b) AS s FROM q JOIN idf USING (w) JOIN tf USING (w) JOIN dl ON dl.doc_id = tf.doc_id, st GROUP BY tf.doc_id),
     kw AS (SELECT doc_id AS id, s / (SELECT max(s) FROM sc) AS score, row_number() OVER (ORDER BY s DESC, doc_id) AS kw_rank FROM (SELECT * FROM sc ORDER BY s DESC, doc_id LIMIT 10) WHERE s > 0)"""
 _NEAR_SQL = """
     near AS (SELECT vec_id AS id, list_sum(list_transform(list_zip(embedding, (SELECT embedding FROM embeddings WHERE vec_id = 0)), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2)) AS distance FROM embeddings ORDER BY distance, id LIMIT 10),
