@@ -60,7 +60,11 @@ def resolve_identities(claims: DataFrame, users: DataFrame) -> DataFrame:
     out = claims
     for by in ("sso_subject", "username", "email"):
         found = users.where(F.col(by).isNotNull() & (F.col(by) != "")).select(F.col(by).alias(f"_{by}"), F.col("user_id").alias(f"_id_{by}"), F.col("email").alias(f"_email_{by}"))
-        out = out.join(found, F.col(by) == F.col(f"_{by}"), "left")
+        # a claim without a value stays where it is: a null key is not dealt to the task of an equal one
+        out = out.withColumn("_asked", F.nullif(F.col(by), F.lit("")))
+        some = out.where("_asked is not null").join(found, F.col("_asked") == F.col(f"_{by}"), "left")
+        none = out.where("_asked is null").select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema])
+        out = some.unionByName(none).drop("_asked")
     ids = [F.col(f"_id_{by}") for by in ("sso_subject", "username", "email")]
     how = F.when(ids[0].isNotNull(), "sso_subject").when(ids[1].isNotNull(), "username").when(ids[2].isNotNull(), "email")
     old = F.when(ids[0].isNotNull(), F.col("_email_sso_subject")).when(ids[1].isNotNull(), F.col("_email_username")).otherwise(F.col("_email_email"))

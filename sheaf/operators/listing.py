@@ -61,13 +61,20 @@ def page(tables: dict[str, DataFrame], spec: ListSpec, number: int = 1, size: in
     if number < 1 or not 1 <= size <= MAX_PAGE:
         raise ValueError(f"pages count from 1 and hold 1 to {MAX_PAGE} rows")
     rows = tables[spec.table].where(predicate(spec, **filters)).orderBy(*[F.col(c).desc() for c in spec.order]).offset((number - 1) * size).limit(size)
-    return label(rows, tables, spec)
+    return label(rows, tables, spec, few=True)
 
 
-def label(rows: DataFrame, tables: dict[str, DataFrame], spec: ListSpec) -> DataFrame:
-    """Add the columns of related rows by left joins on their keys."""
+def label(rows: DataFrame, tables: dict[str, DataFrame], spec: ListSpec, few: bool = False) -> DataFrame:
+    """Add the columns of related rows by left joins on their keys.
+
+    few: rows are a page at most, so their keys are sent to the related table, which is scanned but never moves.
+    """
+    keys = rows
     for x in spec.labels:
         other = tables[x.table].select(F.col(x.ref).alias("_ref"), F.col(x.column).alias(x.name))
+        if few:
+            wanted = keys.select(F.col(x.key).alias("_key"))  # MAX_PAGE rows at most
+            other = F.broadcast(other.join(F.broadcast(wanted), F.col("_ref") == F.col("_key"), "left_semi"))
         rows = rows.join(other, F.col(x.key) == F.col("_ref"), "left").drop("_ref")
     return rows.select(*spec.columns) if spec.columns else rows
 

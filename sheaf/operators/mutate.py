@@ -25,6 +25,10 @@ def _refuse(changes: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
     return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
 
 
+def _refuse_marked(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
+
+
 def _missing(changes: DataFrame, rules: Rules) -> tuple[DataFrame, list[Column]]:
     reasons = []
     for i, (column, table, key) in enumerate(rules.refs):
@@ -33,39 +37,62 @@ def _missing(changes: DataFrame, rules: Rules) -> tuple[DataFrame, list[Column]]
     return changes, reasons
 
 
-def _taken(changes: DataFrame, table: DataFrame, rules: Rules) -> tuple[DataFrame, list[Column]]:
-    reasons = []
-    for i, column in enumerate(rules.unique):
-        own = table.where(F.col(column).isNotNull()).groupBy(F.col(column).alias(f"_u{i}")).agg(F.min(rules.key).alias(f"_owner{i}"))
-        changes = changes.join(own, F.col(column) == F.col(f"_u{i}"), "left")
-        first = F.row_number().over(Window.partitionBy(column).orderBy(rules.key))
-        changes = changes.withColumn(f"_n{i}", first)
-        clash = (F.col(f"_owner{i}").isNotNull() & ~F.col(f"_owner{i}").eqNullSafe(F.col(rules.key))) | (F.col(column).isNotNull() & (F.col(f"_n{i}") > 1))
-        reasons.append(F.when(clash, f"409 {column}"))
-    return changes, reasons
+def _first(changes: DataFrame, key: str) -> DataFrame:
+    """Marks all but one change of a key in column _again; changes of one key are ordered by their columns."""
+    order = [F.col(c) for c in changes.columns if c != key] or [F.col(key)]
+    return changes.withColumn("_again", F.row_number().over(Window.partitionBy(key).orderBy(*order)) > 1)
+
+
+def _taken(changes: DataFrame, table: DataFrame, rules: Rules) -> DataFrame:
+    """Adds `reason` where a unique value is another row's, or an earlier change's of those without a reason; a null is free.
+
+    Columns are settled in turn, so a change that is refused holds no value. Rows without a value are not dealt by it.
+    """
+    for column in rules.unique:
+        if column not in changes.columns:
+            continue
+        own = table.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_u")).agg(F.min(rules.key).alias("_owner"), F.max(rules.key).alias("_other"))
+        live = F.col("reason").isNull() & F.col(column).isNotNull()
+        rest, rows = changes.where(~live), changes.where(live).join(own, F.col(column) == F.col("_u"), "left")
+        clash = F.coalesce((F.col("_owner") != F.col(rules.key)) | (F.col("_other") != F.col(rules.key)), F.lit(False))
+        rows = rows.withColumn("_clash", clash)
+        nth = F.row_number().over(Window.partitionBy(column).orderBy("_clash", rules.key))
+        rows = rows.withColumn("reason", F.when(F.col("_clash") | (nth > 1), f"409 {column}"))
+        changes = rest.unionByName(rows.select(*rest.columns))
+    return changes
 
 
 def insert(table: DataFrame, changes: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
-    """(new table, refused changes with a reason). Among changes with one unique value the smallest key wins."""
-    checked, late = _taken(changes, table, rules)
-    checked, lost = _missing(checked, rules)
-    ok, refused = _refuse(checked, F.coalesce(*late, *lost, F.lit(None).cast("string")))
-    return table.unionByName(ok.select(*table.columns)), refused.select(*changes.columns, "reason")
+    """(new table, refused changes with a reason).
+
+    A change is refused if its key is there already or comes again, if a reference leads nowhere, or if a unique value is taken;
+    the first that applies is the reason. Refused changes hold no value: of the others with one value the smallest key wins.
+    """
+    held = table.select(F.col(rules.key).alias("_held")).distinct()
+    checked, lost = _missing(_first(changes, rules.key).join(held, F.col(rules.key) == F.col("_held"), "left"), rules)
+    early = F.coalesce(F.when(F.col("_held").isNotNull() | F.col("_again"), f"409 {rules.key}"), *lost, F.lit(None).cast("string"))
+    ok, refused = _refuse_marked(_taken(checked.select(*changes.columns, early.alias("reason")), table, rules))
+    return table.unionByName(ok.select(*table.columns)), refused
 
 
 def update(table: DataFrame, changes: DataFrame, rules: Rules, clears: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Changes hold the key and new values; null leaves a value as it is, but for the columns in `clears`."""
-    checked, late = _taken(changes, table, rules) if rules.unique else (changes, [])
-    checked, lost = _missing(checked, Rules(rules.key, refs=tuple(r for r in rules.refs if r[0] in changes.columns)))
-    checked = checked.join(table.select(F.col(rules.key).alias("_key")), F.col(rules.key) == F.col("_key"), "left")
+    """Changes hold the key and new values; null leaves a value as it is, but for the columns in `clears`.
+
+    One change of a key is made; others of that key, changes of rows that are not there, of references that lead nowhere and of
+    unique values that are taken are refused. A value that a change gives up is free only afterwards.
+    """
+    rules = Rules(rules.key, tuple(c for c in rules.unique if c in changes.columns), tuple(r for r in rules.refs if r[0] in changes.columns), rules.parent)
+    held = table.select(F.col(rules.key).alias("_held")).distinct()
+    checked, lost = _missing(_first(changes, rules.key).join(held, F.col(rules.key) == F.col("_held"), "left"), rules)
     own = [F.when(F.col(rules.parent) == F.col(rules.key), f"400 {rules.parent}")] if rules.parent in changes.columns else []
-    ok, refused = _refuse(checked, F.coalesce(F.when(F.col("_key").isNull(), f"404 {rules.key}"), *late, *own, *lost))
+    early = F.coalesce(F.when(F.col("_held").isNull(), f"404 {rules.key}"), F.when(F.col("_again"), f"409 {rules.key}"), *own, *lost)
+    ok, refused = _refuse_marked(_taken(checked.select(*changes.columns, early.alias("reason")), table, rules))
     names = [c for c in changes.columns if c != rules.key]
     new = ok.select(F.col(rules.key).alias("_key"), F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in names])
     rows = table.join(new, F.col(rules.key) == F.col("_key"), "left")
     for c in names:
         rows = rows.withColumn(c, F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)) if c in clears else F.coalesce(f"_new_{c}", c))
-    return rows.select(*table.columns), refused.select(*changes.columns, "reason")
+    return rows.select(*table.columns), refused
 
 
 def delete(table: DataFrame, keys: DataFrame, key: str = "id", guards: tuple[tuple[DataFrame, str], ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -90,8 +117,9 @@ def replace_links(links: DataFrame, changes: DataFrame, owner: str) -> DataFrame
 
 
 def upsert(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Rows of changes take the place of rows of the same key."""
-    return table.join(changes.select(key), key, "left_anti").select(*table.columns).unionByName(changes.select(*table.columns))
+    """Rows of changes take the place of rows of the same key; of several changes of a key one is made, the first by its columns."""
+    new = _first(changes, key).where("not _again").select(*table.columns)
+    return table.join(new.select(key), key, "left_anti").select(*table.columns).unionByName(new)
 
 
 def toggle(table: DataFrame, keys: DataFrame, flag: str, key: str = "id", own: int | None = None) -> DataFrame:

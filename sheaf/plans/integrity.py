@@ -14,10 +14,11 @@ def q_in_use_units(spark, sf_dir):
     return integrity.in_use(t["issuing_units"], "id", (t["departments"].where("id < 12"), "issuing_unit_id")).select("id", "name")
 
 
-@query("q_deletable_units", "SELECT id, name FROM departments AS u WHERE NOT EXISTS (SELECT 1 FROM departments AS d WHERE d.parent_id = u.id) AND NOT EXISTS (SELECT 1 FROM positions AS p WHERE p.department_id = u.id)")
+@query("q_deletable_units", "SELECT id, name FROM departments AS u WHERE NOT EXISTS (SELECT 1 FROM departments AS d WHERE d.parent_id = u.id) AND NOT EXISTS (SELECT 1 FROM positions AS p WHERE p.department_id = u.id AND p.is_active AND p.id % 7 = 0)")
 def q_deletable_units(spark, sf_dir):
+    """Departments without children and without any of the active positions whose number is a multiple of seven: some are left at each size."""
     t = standins(spark, sf_dir, "departments", "positions")
-    return integrity.deletable(t["departments"], "id", (t["departments"], "parent_id"), (t["positions"], "department_id")).select("id", "name")
+    return integrity.deletable(t["departments"], "id", (t["departments"], "parent_id"), (t["positions"].where("is_active and id % 7 = 0"), "department_id")).select("id", "name")
 
 
 @query("q_missing_refs", """
@@ -75,10 +76,9 @@ _NEW = """SELECT id + 20 AS id, CASE WHEN id % 6 = 0 THEN code ELSE concat('X',
 
 
 @query("q_insert_rejects", f"""
-    WITH fresh AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY id) AS nth FROM ({_NEW}) AS n)
-    SELECT f.id, f.code, CASE WHEN (o.id IS NOT NULL AND o.id <> f.id) OR f.nth > 1 THEN '409 code' ELSE '404 issuing_unit_id' END AS reason
-    FROM fresh AS f LEFT JOIN departments AS o ON f.code = o.code
-    WHERE (o.id IS NOT NULL AND o.id <> f.id) OR f.nth > 1 OR f.issuing_unit_id NOT IN (SELECT id FROM issuing_units)""")
+    WITH early AS (SELECT *, CASE WHEN id IN (SELECT id FROM departments) THEN '409 id' WHEN issuing_unit_id NOT IN (SELECT id FROM issuing_units) THEN '404 issuing_unit_id' END AS why FROM ({_NEW}) AS n),
+    late AS (SELECT e.id, e.code, CASE WHEN o.id IS NOT NULL OR row_number() OVER (PARTITION BY e.code ORDER BY o.id IS NOT NULL, e.id) > 1 THEN '409 code' END AS why FROM early AS e LEFT JOIN departments AS o ON e.code = o.code WHERE e.why IS NULL)
+    SELECT id, code, why AS reason FROM early WHERE why IS NOT NULL UNION ALL SELECT id, code, why FROM late WHERE why IS NOT NULL""")
 def q_insert_rejects(spark, sf_dir):
     d, new = _new_departments(spark, sf_dir)
     rules = mutate.Rules(unique=("code",), refs=(("issuing_unit_id", standin(spark, sf_dir, "issuing_units"), "id"),))
