@@ -24,12 +24,20 @@ def _starts(text: Column, pattern: str, group: int) -> Column:
     return F.split(F.regexp_replace(text, pattern, f"{_MARK}${group}"), _MARK)
 
 
+def _offsets(pieces: Column) -> Column:
+    """Where each piece starts, if they follow each other from 0 on."""
+    none = F.struct(F.array().cast("array<int>").alias("a"), F.lit(0).alias("n"))
+    return F.aggregate(pieces, none, lambda x, p: F.struct(F.array_append(x["a"], x["n"]).alias("a"), (x["n"] + F.length(p)).alias("n")))["a"]
+
+
 def _trim(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
 
 
 def chunk_text(docs: DataFrame, text: str = "text", article: str = ARTICLE, clause: str = CLAUSE) -> DataFrame:
-    """A row for each chunk: the columns of docs but the text, chunk_index, content, dieu, khoan.
+    """A row for each chunk: the columns of docs but the text, content, dieu, khoan, chunk_at (its place) and chunk_start.
+
+    chunk_start: the character of the text, from 0, where the chunk's article, or its clause where it has one, starts.
 
     An article runs to the next; text before the first is dropped. An article with clauses gives a chunk for each
     clause, below the article's header; one without is a chunk. A text without articles is one chunk; an empty
@@ -38,16 +46,20 @@ def chunk_text(docs: DataFrame, text: str = "text", article: str = ARTICLE, clau
     keep = [c for c in docs.columns if c != text]
     rows = docs.where(F.col(text).isNotNull() & (F.col(text) != "")).select(*keep, F.col(text).alias("_text"), _starts(F.col(text), article, 1).alias("_parts"))
     whole = F.size("_parts") == 1
-    rows = rows.select(*keep, whole.alias("_whole"), F.posexplode(F.when(whole, F.array("_text")).otherwise(F.slice("_parts", 2, F.size("_parts")))).alias("_a", "_article"))
+    rows = rows.select(*keep, whole.alias("_whole"), _offsets(F.col("_parts")).alias("_o"), F.posexplode(F.when(whole, F.array("_text")).otherwise(F.slice("_parts", 2, F.size("_parts")))).alias("_a", "_article"))
+    rows = rows.withColumn("_o", F.when(F.col("_whole"), 0).otherwise(F.get("_o", F.col("_a") + 1)))
     rows = rows.withColumn("_article", F.when(F.col("_whole"), F.col("_article")).otherwise(_trim(F.col("_article"))))
     header = F.regexp_extract("_article", article, 1)
     rows = rows.withColumn("_header", header).withColumn("_clauses", F.when(F.col("_whole"), F.array(F.col("_article"))).otherwise(_starts(F.col("_article"), clause, 0)))
     split = F.size("_clauses") > 1
-    rows = rows.select(*keep, "_whole", "_a", "_article", "_header", split.alias("_split"), F.posexplode(F.when(split, F.slice("_clauses", 2, F.size("_clauses"))).otherwise(F.array("_article"))).alias("_c", "_clause"))
+    rows = rows.select(*keep, "_whole", "_a", "_o", "_article", "_header", split.alias("_split"), F.when(split, _offsets(F.col("_clauses"))).alias("_p"), F.posexplode(F.when(split, F.slice("_clauses", 2, F.size("_clauses"))).otherwise(F.array("_article"))).alias("_c", "_clause"))
     body = _trim(F.col("_clause"))
+    blank = F.length("_clause") - F.length(F.regexp_replace("_clause", r"(?U)\A\s+", ""))
+    start = F.col("_o") + F.when(F.col("_split"), F.get("_p", F.col("_c") + 1) + blank).otherwise(0)
     rows = rows.select(
         *keep,
         F.struct("_a", "_c").alias("_at"),
+        start.alias("chunk_start"),
         F.when(F.col("_split"), F.concat("_header", F.lit("\n"), body)).otherwise(F.col("_article")).alias("content"),
         F.when(~F.col("_whole"), F.regexp_extract("_header", r"(?U)\d+", 0)).alias("dieu"),
         F.when(F.col("_split"), F.regexp_extract("_clause", r"(?U)\d+", 0)).alias("khoan"),
@@ -66,17 +78,21 @@ def numbered(chunks: DataFrame, key: str) -> DataFrame:
 def chunk_metadata(docs: DataFrame, key: str, text: str = "text", **patterns: str) -> DataFrame:
     """Chunks with index, page, first line in the page and a preview.
 
-    Page and line come from where the chunk's first words stand in the text: after the last page mark before them
-    (page 1 without one), counting line feeds from there.
+    Page and line are those of chunk_start: after the last page mark before it (page 1 without one), counting lines from
+    the mark's next. A chunk carries where pages and lines start, not the text.
     """
-    chunks = numbered(chunk_text(docs.select(key, text), text, **patterns), key).join(docs.select(F.col(key).alias("_k"), F.col(text).alias("_text")), F.col(key) == F.col("_k"))
-    body = F.when(F.col("khoan").isNotNull(), F.regexp_replace("content", r"(?s)\A[^\n]*\n", "")).otherwise(F.col("content"))
-    before = F.substring("_text", F.lit(1), F.greatest(F.instr("_text", body), F.lit(1)) - 1)
-    pages = F.regexp_extract_all(before, F.lit(PAGE_MARK), F.lit(1))
-    page = F.when(F.size(pages) > 0, F.element_at(pages, -1).cast("int")).otherwise(1)
-    since = F.regexp_replace(before, r"(?s)\A.*" + PAGE_MARK + r"\n?", "")
-    line = F.length(since) - F.length(F.replace(since, F.lit("\n"), F.lit(""))) + 1
-    return chunks.select(key, "chunk_index", page.alias("page_number"), line.alias("start_line"), "dieu", "khoan", preview(F.col("content")).alias("content_preview"))
+    rows = docs.select(key, F.col(text).alias("_text"))
+    pieces = F.split(F.regexp_replace("_text", f"({PAGE_MARK})", f"{_MARK}$1"), _MARK)
+    numbers = F.regexp_extract_all("_text", F.lit(PAGE_MARK), F.lit(1))
+    lines = _offsets(F.transform(F.split("_text", "\n"), lambda x: F.concat(x, F.lit("\n"))))
+    marks = F.transform(F.slice(_offsets(pieces), 2, F.size(numbers) + 1), lambda at, i: F.struct(at.alias("at"), F.get(numbers, i).cast("int").alias("page")))
+    chunks = numbered(chunk_text(rows.select(key, "_text", marks.alias("_marks"), lines.alias("_lines")), "_text", **patterns), key)
+    last = F.element_at(F.filter("_marks", lambda m: m["at"] < F.col("chunk_start")), -1)
+    chunks = chunks.withColumn("_mark", F.when(F.exists("_marks", lambda m: m["at"] < F.col("chunk_start")), last))
+    # lines of the page: those that start behind the mark, but for the mark's own next
+    own = F.size(F.filter("_lines", lambda x: (x <= F.col("chunk_start")) & (x > F.coalesce(F.col("_mark.at"), F.lit(0)))))
+    line = F.greatest(own + F.when(F.col("_mark").isNull(), 1).otherwise(0), F.lit(1))
+    return chunks.select(key, "chunk_index", F.coalesce(F.col("_mark.page"), F.lit(1)).alias("page_number"), line.alias("start_line"), "dieu", "khoan", preview(F.col("content")).alias("content_preview"))
 
 
 def join_pages(pages: DataFrame, key: str, number: str, text: str, marked: bool = True) -> DataFrame:
@@ -90,7 +106,10 @@ def join_pages(pages: DataFrame, key: str, number: str, text: str, marked: bool
 
 
 def split_recursively(text: str, size: int = SIZE, overlap: int = OVERLAP, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Pieces of up to `size` characters that overlap by up to `overlap`, split at the first separator that a text holds."""
+    """Pieces of up to `size` characters that overlap by up to `overlap`, split at the first separator that a text holds.
+
+    A text of more than `size` characters is split, blanks at its ends included; pieces lose theirs afterwards.
+    """
     at = next(i for i, s in enumerate(separators) if s == "" or s in text)
     separator, finer = separators[at], separators[at + 1 :]
     units = list(text) if not separator else [(separator if i else "") + u for i, u in enumerate(text.split(separator))]

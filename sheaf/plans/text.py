@@ -22,16 +22,23 @@ def _lined(spark, sf_dir):
 
 _CHUNKS_SQL = f"""
     WITH lined AS ({_LINED_SQL}),
-    parts AS (SELECT doc_id, text, string_split(regexp_replace(text, '(?mi)^(Điều\\s+\\d+[:.]?)', chr(1) || '\\1', 'g'), chr(1)) AS a FROM lined),
-    articles AS (SELECT doc_id, true AS whole, 1 AS an, text AS article FROM parts WHERE len(a) = 1
-                 UNION ALL SELECT doc_id, false, unnest(range(2, len(a) + 1)), trim(unnest(a[2:]), chr(10) || ' ' || chr(13) || chr(9)) FROM parts WHERE len(a) > 1),
-    clauses AS (SELECT *, CASE WHEN whole THEN '' ELSE regexp_extract(article, '(?mi)^(Điều\\s+\\d+[:.]?)', 1) END AS header,
-                CASE WHEN whole THEN [article] ELSE string_split(regexp_replace(article, '(?m)^\\s*(\\d+[.)]|Khoản\\s+\\d+[.)]?)', chr(1) || '\\0', 'g'), chr(1)) END AS c FROM articles),
-    flat AS (SELECT doc_id, whole, header, false AS split, article AS body, an, 1 AS cn FROM clauses WHERE len(c) = 1
-             UNION ALL SELECT doc_id, whole, header, true, trim(unnest(c[2:]), chr(10) || ' ' || chr(13) || chr(9)), an, unnest(range(2, len(c) + 1)) FROM clauses WHERE len(c) > 1),
-    chunks AS (SELECT doc_id, an, cn, CASE WHEN split THEN header || chr(10) || body ELSE body END AS content,
-               CASE WHEN NOT whole THEN regexp_extract(header, '\\d+') END AS dieu, CASE WHEN split THEN regexp_extract(body, '\\d+') END AS khoan FROM flat)
+    {{steps}}
 """
+_CHUNK_STEPS = r"""
+    parts AS (SELECT doc_id, text, string_split(regexp_replace(text, '(?mi)^(Điều\s+\d+[:.]?)', chr(1) || '\1', 'g'), chr(1)) AS a FROM lined),
+    articles AS (SELECT doc_id, text, true AS whole, 1 AS an, 0 AS ao, text AS article FROM parts WHERE len(a) = 1
+                 UNION ALL SELECT doc_id, text, false, i, coalesce(list_sum(list_transform(a[:i - 1], lambda x: len(x))), 0), trim(a[i], chr(10) || ' ' || chr(13) || chr(9)) FROM (SELECT *, unnest(range(2, len(a) + 1)) AS i FROM parts WHERE len(a) > 1)),
+    clauses AS (SELECT *, CASE WHEN whole THEN '' ELSE regexp_extract(article, '(?mi)^(Điều\s+\d+[:.]?)', 1) END AS header,
+                CASE WHEN whole THEN [article] ELSE string_split(regexp_replace(article, '(?m)^\s*(\d+[.)]|Khoản\s+\d+[.)]?)', chr(1) || '\0', 'g'), chr(1)) END AS c FROM articles),
+    flat AS (SELECT doc_id, text, whole, header, false AS split, article AS body, an, 1 AS cn, ao AS start FROM clauses WHERE len(c) = 1
+             UNION ALL SELECT doc_id, text, whole, header, true, trim(c[i], chr(10) || ' ' || chr(13) || chr(9)), an, i, ao + list_sum(list_transform(c[:i - 1], lambda x: len(x))) + len(c[i]) - len(ltrim(c[i], chr(10) || ' ' || chr(13) || chr(9))) FROM (SELECT *, unnest(range(2, len(c) + 1)) AS i FROM clauses WHERE len(c) > 1)),
+    chunks AS (SELECT doc_id, an, cn, text[:start] AS before, CASE WHEN split THEN header || chr(10) || body ELSE body END AS content,
+               CASE WHEN NOT whole THEN regexp_extract(header, '\d+') END AS dieu, CASE WHEN split THEN regexp_extract(body, '\d+') END AS khoan FROM flat)
+"""
+
+
+_PAGED = """SELECT doc_id, array_join(transform(split(text, '\n'), (l, i) -> CASE WHEN i % 5 = 0 THEN concat('--- Page ', i div 5 + 1, ' ---\n', l) ELSE l END), '\n') AS text FROM {docs}"""
+_PAGED_SQL = "SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l, i: CASE WHEN (i - 1) % 5 = 0 THEN '--- Page ' || ((i - 1) // 5 + 1) || ' ---' || chr(10) || l ELSE l END), chr(10)) AS text FROM plain"
 
 
 @query("q_normalize_text", r"""
@@ -49,14 +56,17 @@ def q_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"))
 
 
-@query("q_chunk_text", _CHUNKS_SQL + " SELECT doc_id, content, dieu, khoan FROM chunks")
+@query("q_chunk_text", _CHUNKS_SQL.format(steps=_CHUNK_STEPS) + " SELECT doc_id, content, dieu, khoan FROM chunks")
 def q_chunk_text(spark, sf_dir):
     return chunking.chunk_text(_lined(spark, sf_dir)).select("doc_id", "content", "dieu", "khoan")
 
 
-@query("q_chunk_metadata", _CHUNKS_SQL + " SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY an, cn) - 1 AS chunk_index, 1 AS page_number, dieu, khoan, substr(content, 1, 300) AS content_preview FROM chunks")
+@query("q_chunk_metadata", f"WITH plain AS ({_LINED_SQL}), lined AS ({_PAGED_SQL}), {_CHUNK_STEPS}" + r"""
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY an, cn) - 1 AS chunk_index, coalesce(CAST(regexp_extract_all(before, '--- Page (\d+) ---', 1)[-1] AS INT), 1) AS page_number,
+           len(string_split(regexp_replace(before, '(?s)^.*--- Page \d+ ---\n?', ''), chr(10))) AS start_line, dieu, khoan, substr(content, 1, 300) AS content_preview FROM chunks""")
 def q_chunk_metadata(spark, sf_dir):
-    return chunking.chunk_metadata(_lined(spark, sf_dir), "doc_id").select("doc_id", "chunk_index", "page_number", "dieu", "khoan", "content_preview")
+    paged = spark.sql(_PAGED, docs=_lined(spark, sf_dir))
+    return chunking.chunk_metadata(paged, "doc_id").select("doc_id", "chunk_index", "page_number", "start_line", "dieu", "khoan", "content_preview")
 
 
 @query("q_recursive_split")

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text
 from ..functions.values import file_kind
-from ..operators.chunking import join_pages
 from .schemas import CHUNKS, HISTORY, VECTORS
 
 UNSUPPORTED = "unsupported file type"
@@ -37,7 +36,10 @@ def folder_size(spark: SparkSession, path: str) -> DataFrame:
 
 
 def page_texts(files: DataFrame, readers: dict[str, Callable[[bytes], list[str]]]) -> DataFrame:
-    """A row for each page: path, page_no (from 1), text, error. readers: from a kind of file to the texts of its pages."""
+    """A row for each page: path, kind, page_no (from 1), text, error. readers: from a kind of file to the texts of its pages.
+
+    A file without pages gives one row without a page number, text and error.
+    """
     rows = files.select("path", "kind", "content")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,26 +47,40 @@ def page_texts(files: DataFrame, readers: dict[str, Callable[[bytes], list[str]]
             out = []
             for path, kind, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind not in readers:
-                    out.append((path, None, None, UNSUPPORTED))
+                    out.append((path, kind, None, None, UNSUPPORTED))
                     continue
                 try:
-                    out += [(path, i, t, None) for i, t in enumerate(readers[kind](content), 1)]
+                    out += [(path, kind, i, t, None) for i, t in enumerate(readers[kind](content), 1)] or [(path, kind, None, None, None)]
                 except Exception as e:  # noqa: BLE001  one bad file is a row, not a failed job
-                    out.append((path, None, None, str(e)))
-            path, page, text, error = zip(*out, strict=True) if out else ((),) * 4
-            yield pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(page, pa.int32()), pa.array(text, pa.string()), pa.array(error, pa.string())], ["path", "page_no", "text", "error"])
+                    out.append((path, kind, None, None, str(e)))
+            columns = zip(*out, strict=True) if out else ((),) * 5
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["path", "kind", "page_no", "text", "error"])
 
-    return rows.mapInArrow(read, "path string, page_no int, text string, error string")
+    return rows.mapInArrow(read, "path string, kind string, page_no int, text string, error string")
 
 
 def extract_text(files: DataFrame, readers: dict[str, Callable[[bytes], list[str]]]) -> DataFrame:
-    """A row for each file: path, text, error. Pages of a pdf are normalised and marked; an image is normalised."""
+    """A row for each file: path, text, error. Pages of a pdf are normalised and marked; an image is normalised.
+
+    Each file is read once. A file without pages has an empty text; one that can't be read, a null text and an error.
+    """
     pages = page_texts(files, readers).withColumn("text", normalize_text(F.col("text")))
-    kinds = files.select("path", "kind")
-    good = pages.where("error is null").join(kinds, "path")
-    texts = join_pages(good.where("kind = 'pdf'"), "path", "page_no", "text").unionByName(good.where("kind <> 'pdf'").select("path", "text"))
-    failed = pages.where("error is not null").select("path", F.lit(None).cast("string").alias("text"), "error")
-    return texts.withColumn("error", F.lit(None).cast("string")).unionByName(failed)
+    mark = F.concat(F.lit("--- Page "), F.col("page_no").cast("string"), F.lit(" ---\n"))
+    piece = F.when(F.col("page_no").isNotNull(), F.struct(F.col("page_no").alias("n"), F.concat(F.when(F.col("kind") == "pdf", mark).otherwise(F.lit("")), "text").alias("t")))
+    found = pages.groupBy("path").agg(F.array_sort(F.collect_list(piece)).alias("_p"), F.max("error").alias("error"))
+    return found.select("path", F.when(F.col("error").isNull(), F.array_join(F.transform("_p", lambda p: p["t"]), "\n\n")).alias("text"), "error")
+
+
+def pdf_reader() -> Callable[[bytes], list[str]]:
+    """A reader of the text layer of PDFs by pypdf, where it is installed."""
+    try:
+        from pypdf import PdfReader
+    except ImportError as e:
+        raise RuntimeError("pypdf is not installed; pass a reader of your own") from e
+    import io
+
+    return lambda content: [page.extract_text() or "" for page in PdfReader(io.BytesIO(content)).pages]
 
 
 def read_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

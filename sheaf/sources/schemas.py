@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 _STAMPS = "is_active boolean, created_at timestamp_ntz, updated_at timestamp_ntz"
-#: Tables in the order in which a snapshot is restored: parents before children.
+#: Names and types of columns, and tables in the order in which a snapshot is restored: parents before children.
 TABLES = {
     "permission_groups": f"id long, name string, code string, description string, {_STAMPS}",
     "system_functions": f"id long, name string, code string, module string, description string, {_STAMPS}",
