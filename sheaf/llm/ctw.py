@@ -143,11 +143,14 @@ def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct values, and where each value is among them; in less memory than numpy's."""
-    found = np.sort(values)
-    if len(found):
-        found = found[np.concatenate([[True], found[1:] != found[:-1]])]
-    return found, np.searchsorted(found, values).astype(np.int32)
+    """Sorted distinct values, and where each value is among them; in less memory and time than numpy's."""
+    order = np.argsort(values)
+    found = values[order]
+    head = np.ones(len(found), bool)
+    np.not_equal(found[1:], found[:-1], out=head[1:])
+    of = np.empty(len(found), np.int32)
+    of[order] = np.cumsum(head, dtype=np.int32) - 1
+    return found[head], of
 
 
 def gram_part(codes: np.ndarray, depth: int, n: int) -> np.ndarray:
@@ -181,7 +184,7 @@ def merged(rows: Iterator[tuple]) -> tuple[list[int], list[np.ndarray], np.ndarr
         chunks.append(chunk)
         keys.append(np.cumsum(step, dtype=np.uint64))
         counts.append(n.astype(float))
-    every, of = np.unique(np.concatenate(keys), return_inverse=True)
+    every, of = distinct(np.concatenate(keys))
     return chunks, keys, every, np.bincount(of, np.concatenate(counts), len(every))
 
 
