@@ -118,3 +118,20 @@ def test_export_without_a_workbook_library(spark, tmp_path):
     except ImportError:
         with pytest.raises(RuntimeError):
             snapshot.write_workbook(rows, f"{tmp_path}/x.xlsx")
+
+
+def test_changes_of_one_key_and_refused_changes(spark):
+    from sheaf.operators import mutate
+
+    table = spark.createDataFrame([(1, "a", 7), (2, "b", 7)], "id long, code string, ref long")
+    refs = spark.createDataFrame([(7,)], "id long")
+    rules = mutate.Rules(unique=("code",), refs=(("ref", refs, "id"),))
+    new = spark.createDataFrame([(1, "x", 7), (3, "c", 9), (4, "c", 7), (5, "c", 7), (6, None, 7), (6, None, 7), (8, "a", None), (9, None, 7)], "id long, code string, ref long")
+    rows, refused = mutate.insert(table, new, rules)
+    assert sorted(r.id for r in rows.collect()) == [1, 2, 4, 6, 9]
+    assert sorted((r.id, r.reason) for r in refused.collect()) == [(1, "409 id"), (3, "404 ref"), (5, "409 code"), (6, "409 id"), (8, "409 code")]
+    changes = spark.createDataFrame([(1, "y"), (1, "z"), (2, "a"), (9, "q")], "id long, code string")
+    rows, refused = mutate.update(table, changes, rules)
+    assert sorted((r.id, r.code) for r in rows.collect()) == [(1, "y"), (2, "b")]
+    assert sorted((r.id, r.reason) for r in refused.collect()) == [(1, "409 id"), (2, "409 code"), (9, "404 id")]
+    assert sorted((r.id, r.code) for r in mutate.upsert(table.drop("ref"), changes, "id").collect()) == [(1, "y"), (2, "a"), (9, "q")]
