@@ -38,6 +38,8 @@ LOAD = 1_000_000
 ROWS = 200_000
 #: Bits of the filter that tells all tasks which texts have a part in a cluster, a power of two; the fuller it is, the more sets move.
 FILTER_BITS = 1 << 24
+#: Bytes of sets in a tile from which on freed memory is given back after it.
+TRIMMED = 1_000_000
 #: Units that a task remembers in order not to list them again.
 SEEN = 200_000
 #: Allowed below a bound that is computed in floating point.
@@ -227,19 +229,24 @@ def tile_links(unit: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], block:
     """
     m = len(unit)
     sizes = np.array([len(x) for x in sets], np.int64)
-    values, owner = np.concatenate(sets), np.repeat(np.arange(m, dtype=np.int32), sizes)
-    turn = np.argsort(values, kind="stable")
-    starts = np.flatnonzero(np.concatenate([[True], values[turn][1:] != values[turn][:-1]])[: len(turn)])
-    lengths = np.diff(np.concatenate([starts, [len(turn)]]))
+    values = np.concatenate(sets)
+    # a tile holds far fewer than 2^31 shingles; what is spent is freed at once, as several tasks share a machine's memory
+    turn = np.argsort(values, kind="stable").astype(np.int32)
+    values = values[turn]
+    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])[: len(turn)]).astype(np.int32)
+    del values
+    lengths = np.diff(starts, append=np.int32(len(turn)))
     group = np.empty(len(turn), np.int32)
     group[turn] = np.repeat(np.arange(len(starts), dtype=np.int32), lengths)
-    owner, at = owner[turn], np.concatenate([[0], np.cumsum(sizes)])
+    owner, at = np.repeat(np.arange(m, dtype=np.int32), sizes)[turn], np.concatenate([[0], np.cumsum(sizes)])
+    del turn
 
     def partners(x: int) -> np.ndarray:
         own = group[at[x] : at[x + 1]]
         own = own[lengths[own] > 1]
         n = lengths[own]
-        where = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        where = np.repeat(starts[own] - (np.cumsum(n, dtype=np.int32) - n), n)
+        where += np.arange(len(where), dtype=np.int32)
         both = np.bincount(owner[where], minlength=m)
         near = both >= least * (sizes + sizes[x] - both) - ROUNDING
         near &= (both > 0) & (np.bitwise_count(fp ^ fp[x]) <= max_bits)
@@ -319,6 +326,11 @@ def similar_links(docs: DataFrame, rows: DataFrame, extra: DataFrame | None, set
                 u, v = tile_links(unit, np.array(fp, np.int64).view(np.uint64), [np.frombuffer(d, np.int64) for d in data], np.array(b), now[0], now[1] == now[2], max_bits, least)
                 out[0].extend(unit[u].tolist())
                 out[1].extend(unit[v].tolist())
+                size = sum(map(len, data))
+                held.clear()
+                del b, unit, fp, data
+                if size > TRIMMED:
+                    trim()
             held.clear()
 
         for batch in batches:
