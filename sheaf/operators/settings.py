@@ -20,6 +20,15 @@ def settings(configs: DataFrame, defaults: dict[str, Any]) -> dict[str, Any]:
     return defaults | found
 
 
+#: The settings that may change while the service runs.
+RUNTIME = ("MODEL_NAME", "CHUNK_SIZE", "CHUNK_OVERLAP")
+
+
+def changed_settings(now: dict[str, Any], changes: dict[str, Any]) -> dict[str, Any]:
+    """Settings with changes of those that may change at run time, named in any case; other names are passed over."""
+    return now | {k.upper(): v for k, v in changes.items() if k.upper() in RUNTIME}
+
+
 def log_detail(query_params: Column, elapsed_ms: Column) -> Column:
     """Detail of a request log row as JSON; null parts stay."""
     return F.to_json(F.struct(query_params.alias("query_params"), elapsed_ms.alias("elapsed_ms")), {"ignoreNullFields": "false"})

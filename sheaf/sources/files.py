@@ -90,10 +90,25 @@ def read_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame([], CHUNKS), spark.createDataFrame([], VECTORS)
 
 
+def unstored(rows: DataFrame, path: str, ddl: str) -> DataFrame:
+    """Rows whose chunk_id a table does not hold; of the table only ids are read, and only those of these rows may move."""
+    spark = rows.sparkSession
+    if not exists(spark, path):
+        return rows
+    own = rows.select("chunk_id").distinct()
+    held = spark.read.schema(ddl).parquet(path).select("chunk_id").join(own, "chunk_id", "left_semi")
+    return rows.join(held, "chunk_id", "left_anti")
+
+
 def append_store(chunks: DataFrame, vectors: DataFrame, path: str) -> None:
-    """Append chunks and their vectors. Derived term tables must be built anew afterwards."""
-    chunks.select("chunk_id", "content", "metadata").write.mode("append").parquet(f"{path}/chunks")
-    vectors.select("chunk_id", F.col("vector").cast("array<float>").alias("vector")).write.mode("append").parquet(f"{path}/vectors")
+    """Append chunks and their vectors, but for those whose id is there, so that a batch that failed midway can be appended again.
+
+    Ids may be null; such rows are always appended. Derived term tables must be built anew afterwards.
+    """
+    chunks = chunks.select("chunk_id", "content", "metadata")
+    unstored(chunks, f"{path}/chunks", CHUNKS).write.mode("append").parquet(f"{path}/chunks")
+    vectors = vectors.select("chunk_id", F.col("vector").cast("array<float>").alias("vector"))
+    unstored(vectors, f"{path}/vectors", VECTORS).write.mode("append").parquet(f"{path}/vectors")
 
 
 def embed(chunks: DataFrame, encoder: Callable[[list[str]], list[list[float]]], key: str = "chunk_id", text: str = "content") -> DataFrame:

@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions.values import iso_text, kilobytes
 from .files import exists, folder_size
-from .schemas import TABLES, schema
+from .schemas import CHUNKS, TABLES, VECTORS, schema
 
 EXPORT_ROWS = 100_000
+#: The folder of a snapshot's copy of the store, and the tables of a store.
+STORE = "store"
+STORE_PARTS = {"chunks": CHUNKS, "vectors": VECTORS}
+MANIFEST = "name string, created_at timestamp, tables string, size_kb double, created_by long, has_store boolean"
+LISTING = "name string, path string, created_at timestamp, tables string, size_kb double, created_by long, has_store boolean, has_manifest boolean"
 
 
 def to_lines(rows: DataFrame) -> DataFrame:
@@ -25,19 +30,49 @@ def from_lines(lines: DataFrame, ddl: str) -> DataFrame:
     return lines.select(F.from_json("line", ddl).alias("_r")).select("_r.*")
 
 
-def backup(tables: dict[str, DataFrame], path: str, name: str | None = None) -> str:
-    """Write each table as JSON below path/name, then a manifest; returns the folder."""
+def backup(tables: dict[str, DataFrame], path: str, name: str | None = None, store: str | None = None, by: int | None = None) -> str:
+    """Write each table as JSON below path/name, a copy of the store of chunks, if any, then a manifest; returns the folder."""
     spark = next(iter(tables.values())).sparkSession
     name = name or datetime.now(timezone.utc).strftime("backup_%Y%m%d_%H%M%S")
     for table, rows in tables.items():
         to_lines(rows).write.mode("overwrite").text(f"{path}/{name}/{table}")
+    stored = bool(store) and _copy_store(spark, store, f"{path}/{name}/{STORE}")
     size = folder_size(spark, f"{path}/{name}")
-    size.select(F.lit(name).alias("name"), F.current_timestamp().alias("created_at"), F.lit(",".join(tables)).alias("tables"), kilobytes(F.col("bytes")).alias("size_kb")).coalesce(1).write.mode("overwrite").json(f"{path}/{name}/_manifest_json")
+    size.select(F.lit(name).alias("name"), F.current_timestamp().alias("created_at"), F.lit(",".join(tables)).alias("tables"), kilobytes(F.col("bytes")).alias("size_kb"), F.lit(by).cast("long").alias("created_by"), F.lit(stored).alias("has_store")).coalesce(1).write.mode("overwrite").json(f"{path}/{name}/_manifest_json")
     return f"{path}/{name}"
 
 
+def _copy_store(spark: SparkSession, store: str, path: str) -> bool:
+    """Copy both tables of a store; a store that lacks one is not copied."""
+    if not all(exists(spark, f"{store}/{part}") for part in STORE_PARTS):
+        return False
+    for part, ddl in STORE_PARTS.items():
+        spark.read.schema(ddl).parquet(f"{store}/{part}").write.mode("overwrite").parquet(f"{path}/{part}")
+    return True
+
+
+def restore_store(spark: SparkSession, folder: str, store: str) -> bool:
+    """Put a snapshot's copy in a store's place; without one, the store stays and the result is False.
+
+    The copy is written beside the store and renamed into its place once it is whole; a failure before that leaves the store as it was.
+    """
+    if not (exists(spark, folder) and _copy_store(spark, f"{folder}/{STORE}", f"{store}.restored")):
+        return False
+    new, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{store}.restored", store))
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"{store}.restored could not be renamed to {store}")
+    return True
+
+
 def restore(spark: SparkSession, folder: str, tables: list[str] | None = None) -> dict[str, DataFrame]:
-    """Tables of a snapshot, parents before children; a table that is missing is empty. Swap them in once all are read."""
+    """Tables of a snapshot, parents before children; a table that is missing is empty. Swap them in once all are read.
+
+    A folder that is not there raises an error.
+    """
+    if not exists(spark, folder):
+        raise FileNotFoundError(f"no snapshot at {folder}")
     out = {}
     for table in tables or list(TABLES):
         path = f"{folder}/{table}"
@@ -54,6 +89,23 @@ def list_backups(spark: SparkSession, path: str) -> list[str]:
     return sorted((s.getPath().getName() for s in found if s.isDirectory()), reverse=True)
 
 
+def backup_listing(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each snapshot, latest name first: what its manifest says, or, without one, what its folder shows."""
+    p = spark._jvm.org.apache.hadoop.fs.Path
+    fs = p(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    rows = []
+    for name in list_backups(spark, path):  # folders of one level
+        folder = f"{path}/{name}"
+        if exists(spark, f"{folder}/_manifest_json"):
+            m = spark.read.schema(MANIFEST).json(f"{folder}/_manifest_json").first()
+            rows.append((m.name, folder, m.created_at, m.tables, m.size_kb, m.created_by, m.has_store, True))
+        else:
+            made = datetime.fromtimestamp(fs.getFileStatus(p(folder)).getModificationTime() / 1000, timezone.utc)
+            found = ",".join(t for t in TABLES if exists(spark, f"{folder}/{t}"))
+            rows.append((name, folder, made, found, None, None, exists(spark, f"{folder}/{STORE}"), False))
+    return spark.createDataFrame(rows, LISTING)
+
+
 def export_logs(logs: DataFrame, limit: int = EXPORT_ROWS) -> DataFrame:
     """The latest logs in the seven columns of an export, with times as text."""
     rows = logs.orderBy(F.desc("id")).limit(limit)

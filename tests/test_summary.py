@@ -17,6 +17,12 @@ def test_summary(spark):
     assert summary.history_entry(spark, "f", "s", datetime(2026, 1, 2)).first().timestamp == "2026-01-02 00:00:00"
 
 
+def test_changed_settings():
+    now = {"CHUNK_SIZE": 700, "OCR_LANG": "vie"}
+    assert settings.changed_settings(now, {"chunk_size": 5, "ocr_lang": "eng", "other": 1}) == {"CHUNK_SIZE": 5, "OCR_LANG": "vie"}
+    assert settings.changed_settings(now, {}) == now and now["CHUNK_SIZE"] == 700
+
+
 def test_settings(spark):
     rows = [(1, "chunk_size", "500", "INT", True), (2, "CHUNK_SIZE", "700", "int", True), (3, "sso_enabled", "On", "bool", True), (4, "OCR_LANG", "eng", "string", False), (5, "OTHER", "1", "int", True)]
     configs = spark.createDataFrame(rows, "id long, config_key string, config_value string, data_type string, is_active boolean")

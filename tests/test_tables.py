@@ -70,6 +70,31 @@ def test_snapshot(spark, tmp_path):
     assert files.folder_size(spark, folder).first().files >= 1 and files.folder_size(spark, f"{tmp_path}/none").first().files == 0
 
 
+def test_store_in_snapshots(spark, tmp_path):
+    store, kept = str(tmp_path / "store"), str(tmp_path / "kept")
+    chunks = lambda *ids: spark.createDataFrame([(i, f"c{i}", {}) for i in ids], schemas.CHUNKS)
+    vectors = lambda *ids: spark.createDataFrame([(i, [float(i)]) for i in ids], schemas.VECTORS)
+    held = lambda: [sorted(r.chunk_id for r in t.collect()) for t in files.read_store(spark, store)]
+    files.append_store(chunks(1, 2), vectors(1, 2), store)
+    chunks(3).write.mode("append").parquet(f"{store}/chunks")  # an append that failed midway
+    files.append_store(chunks(2, 3), vectors(2, 3), store)
+    assert held() == [[1, 2, 3], [1, 2, 3]]
+    users = spark.sql("SELECT 1L id, 'u' username")
+    folder = snapshot.backup({"users": users}, kept, "b1", store, 7)
+    plain = snapshot.backup({"users": users}, kept, "b2")
+    (tmp_path / "kept" / "b0" / "users").mkdir(parents=True)
+    rows = snapshot.backup_listing(spark, kept).collect()
+    assert [(r.name, r.tables, r.created_by, r.has_store, r.has_manifest) for r in rows] == [("b2", "users", None, False, True), ("b1", "users", 7, True, True), ("b0", "users", None, False, False)]
+    assert all(r.created_at is not None for r in rows)
+    files.append_store(chunks(4), vectors(4), store)
+    assert not snapshot.restore_store(spark, plain, store) and held()[0] == [1, 2, 3, 4]
+    assert snapshot.restore_store(spark, folder, store) and held() == [[1, 2, 3], [1, 2, 3]]
+    assert not snapshot.restore_store(spark, f"{kept}/none", store)
+    with pytest.raises(FileNotFoundError):
+        snapshot.restore(spark, f"{kept}/none")
+    assert snapshot.backup_listing(spark, f"{kept}/none").count() == 0
+
+
 def test_history(spark, tmp_path):
     assert files.read_history(spark, f"{tmp_path}/none.json").count() == 0
     (tmp_path / "h.json").write_text('[{"filename": "a", "summary": "s", "timestamp": "2026-01-01 00:00:00"}]')
