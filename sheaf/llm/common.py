@@ -15,6 +15,14 @@ from pyspark.sql import functions as F
 #: Rows and bytes of one Arrow batch that goes to Python; texts can be long, so these are far below Spark's defaults.
 BATCH_ROWS = 512
 BATCH_BYTES = 8 << 20
+#: SQL: a table `crc` of one row whose list `t` has the 256 remainders of CRC-32, for crc32_sql().
+CRC32_SQL = "crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, s: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
+
+
+def crc32_sql(number: str) -> str:
+    """SQL for the CRC-32 of an integer in decimals, where the table `crc` of CRC32_SQL is joined; null for null."""
+    codes = f"list_transform(string_split(CAST({number} AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    return f"CASE WHEN {number} IS NOT NULL THEN xor(list_reduce(list_concat([4294967295], {codes}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) END"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

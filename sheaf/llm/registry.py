@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, ctw, exact_dedup, langid, licenses, neighbours, packing, simhash, substring
+from . import bpe, chat, ctw, exact_dedup, langid, licenses, neighbours, packing, retention, simhash, substring
 
-MODULES = (substring, langid, bpe, packing, ctw, licenses, exact_dedup, neighbours, chat, simhash)
+MODULES = (substring, langid, bpe, packing, ctw, licenses, exact_dedup, neighbours, chat, simhash, retention)
 
 
 def queries() -> dict:
