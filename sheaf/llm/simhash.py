@@ -20,7 +20,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import similar
@@ -321,20 +321,25 @@ def simhash_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
         by_bits = max_bits < 64
         rows = write_table(unit_rows(own, ngram, by_bits), "fingerprints")
         edges = similar.similar_links(own, rows, indexed_clusters(rows, min(INDEX_BITS, max_bits)), shingle_sets(ngram, by_bits), max_bits, min_similarity)
-    root = stars(edges)
     mark = F.col("_h") if "_h" in rows.columns else F.lit(0).cast("long")
-    first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), mark.alias("mark")))
-    values = rows.groupBy("_unit").agg(first.alias("_first"), F.count("*").alias("_n"))
-    ends = root.select(F.col("u").alias("_unit"), "root").union(root.select(F.col("root").alias("_unit"), "root")).distinct()
-    grouped = values.join(ends.hint("merge"), "_unit", "left").where("root is not null or _n > 1").withColumn("root", F.coalesce("root", "_unit"))
-    least = grouped.groupBy("root").agg(F.min("_first").alias("_least"))
-    shared = salted_lookup(grouped, least, ["root"], "_unit").select("_unit", "_least", F.lit(True).alias("_shared"))
-    out = salted_lookup(rows, shared, ["_unit"], "_id")
+    out = grouped(rows, edges, mark)
     kept = F.col("_shared").isNull() | (F.col("_least.id").eqNullSafe(F.col("_id")) & (F.col("_least.mark") == mark))
     group = F.when(F.col("_shared"), F.col("_least.id")).otherwise(F.col("_id"))
     return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), group.alias("component_id"), kept.alias("kept"), mark.alias("text_hash"))
 
 
+def grouped(rows: DataFrame, edges: DataFrame, mark: Column) -> DataFrame:
+    """Adds to rows (_id, _unit, …) of linked units, or of one that several have, _shared and _least (none, id, mark): the smallest of its group."""
+    root = stars(edges)
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), mark.alias("mark")))
+    values = rows.groupBy("_unit").agg(first.alias("_first"), F.count("*").alias("_n"))
+    ends = root.select(F.col("u").alias("_unit"), "root").union(root.select(F.col("root").alias("_unit"), "root")).distinct()
+    found = values.join(ends.hint("merge"), "_unit", "left").where("root is not null or _n > 1").withColumn("root", F.coalesce("root", "_unit"))
+    least = found.groupBy("root").agg(F.min("_first").alias("_least"))
+    shared = salted_lookup(found, least, ["root"], "_unit").select("_unit", "_least", F.lit(True).alias("_shared"))
+    return salted_lookup(rows, shared, ["_unit"], "_id")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(read_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 

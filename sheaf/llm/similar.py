@@ -7,8 +7,9 @@
    original of edited copies. All of them become members of the hub's cluster, so linked units share a cluster. Fingerprints that
    the Gray index links bring clusters too.
    Members that no other is near in size leave it.
-3. A cluster is cut into blocks of bounded size, and each two blocks meet in a tile. A task holds the sets of a tile, links
-   members to the hub first, and counts common shingles only for those that are still apart; it gives a spanning forest.
+3. A cluster is cut into blocks of bounded size. A task holds the sets of a block and links members to the hub first; only those
+   still apart, and only if enough of their shingles occur elsewhere in the block, are compared with the holders of their rarest
+   shingles. Those of a block that stay apart then meet the other blocks. A task gives a spanning forest.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -202,8 +203,8 @@ def members(docs: DataFrame, sets, order, least: float) -> DataFrame:
     return found.where((F.col("_all") >= least_shared) & (F.col("_few") * 2 >= least_shared)).select("_unit", "_hub", "_size")
 
 
-def tiled(clusters: DataFrame, least: float) -> DataFrame:
-    """Rows _unit, _tiles: of each unit the tiles (hub, i, j, own block) it goes to; the hub's set goes to all of its cluster."""
+def with_blocks(clusters: DataFrame, least: float) -> DataFrame:
+    """Rows _hub, _unit, _size, _blocks, _b: members that others are near in size to, and the block of its cluster that each is in."""
     # sizes of linked units lie in one class or in two that are next to each other
     width = -math.log(least) * 1.001 if least < 1 else 1e-6
     sized = clusters.withColumn("_k", F.floor(F.log(F.greatest(F.col("_size"), F.lit(1)).cast("double")) / width))
@@ -211,69 +212,130 @@ def tiled(clusters: DataFrame, least: float) -> DataFrame:
     around = F.explode(F.array(F.col("_k") - 1, F.col("_k"), F.col("_k") + 1))
     near = per.select("_hub", around.alias("_k"), "_m").groupBy("_hub", "_k").agg(F.sum("_m").alias("_m")).where("_m > 1")
     loads = per.groupBy("_hub").agg(F.sum("_load").alias("_load"))
-    near = near.join(loads.hint("merge"), "_hub").select("_hub", "_k", F.ceil(F.greatest(F.col("_load"), F.lit(1)) / LOAD).cast("int").alias("_blocks"))
+    near = near.join(loads.hint("merge"), "_hub").select("_hub", "_k", blocks_of("_load").alias("_blocks"))
     rows = salted_lookup(sized, near, ["_hub", "_k"], "_unit").where("_blocks is not null")
-    rows = rows.withColumn("_b", F.pmod(F.xxhash64("_unit"), F.col("_blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("_blocks") - 1)
-    tile = lambda i, j: F.struct(F.col("_hub").alias("hub"), i.cast("int").alias("i"), j.cast("int").alias("j"), F.col("_b").alias("b"))
-    own = F.transform(every, lambda k: tile(F.least(F.col("_b"), k), F.greatest(F.col("_b"), k)))
-    whole = F.flatten(F.transform(every, lambda i: F.transform(F.sequence(i, F.col("_blocks") - 1), lambda j: tile(i, j))))
-    rows = rows.select("_unit", F.when(F.col("_unit") == F.col("_hub"), whole).otherwise(own).alias("_t"))
-    return rows.groupBy("_unit").agg(F.flatten(F.collect_list("_t")).alias("_tiles"))
+    return rows.select("_hub", "_unit", "_size", "_blocks", F.pmod(F.xxhash64("_unit"), F.col("_blocks")).cast("int").alias("_b"))
 
 
-def tile_links(unit: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], block: np.ndarray, hub: int, same: bool, max_bits: int, least: float) -> tuple[list[int], list[int]]:
-    """Links (indices) that connect what the members of a tile link, given its hub's links; same: both blocks are one.
+def blocks_of(load: str) -> Column:
+    return F.ceil(F.greatest(F.col(load), F.lit(1)) / LOAD).cast("int")
 
-    Two members are linked if they share `least` of the shingles that either holds and differ in max_bits or fewer.
+
+TILE = "struct<hub:bigint,i:int,j:int,asks:boolean,linked:boolean,blocks:int>"
+
+
+def tile(hub: Column, i: Column, j: Column, asks: bool | Column, linked: bool | Column, blocks: Column) -> Column:
+    """asks: the unit is compared with all of the tile; linked: its links lead to the hub, as is known; blocks: of the cluster."""
+    flags = [x if isinstance(x, Column) else F.lit(x) for x in (asks, linked)]
+    return F.struct(hub.alias("hub"), i.cast("int").alias("i"), j.cast("int").alias("j"), flags[0].alias("asks"), flags[1].alias("linked"), blocks.alias("blocks")).cast(TILE)
+
+
+def own_tiles(members: DataFrame) -> DataFrame:
+    """Rows _unit, _tile: each member goes to its block, and the hub to all blocks."""
+    mine = tile(F.col("_hub"), F.col("_b"), F.col("_b"), True, False, F.col("_blocks"))
+    every = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda k: tile(F.col("_hub"), k, k, True, False, F.col("_blocks")))
+    return members.select("_unit", F.explode(F.when(F.col("_unit") == F.col("_hub"), every).otherwise(F.array(mine))).alias("_tile"))
+
+
+def crossing_tiles(members: DataFrame, apart: DataFrame) -> DataFrame:
+    """Rows _unit, _tile: units that are apart from their hub, in blocks of their own, meet each block of their cluster.
+
+    A member goes to as many tiles as there are blocks of such units, one for most clusters; only these go to each block.
     """
-    m = len(unit)
-    sizes = np.array([len(x) for x in sets], np.int64)
-    values = np.concatenate(sets)
-    # a tile holds far fewer than 2^31 shingles; what is spent is freed at once, as several tasks share a machine's memory
-    turn = np.argsort(values, kind="stable").astype(np.int32)
-    values = values[turn]
-    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])[: len(turn)]).astype(np.int32)
-    del values
-    lengths = np.diff(starts, append=np.int32(len(turn)))
-    group = np.empty(len(turn), np.int32)
-    group[turn] = np.repeat(np.arange(len(starts), dtype=np.int32), lengths)
-    owner, at = np.repeat(np.arange(m, dtype=np.int32), sizes)[turn], np.concatenate([[0], np.cumsum(sizes)])
-    del turn
-
-    def partners(x: int) -> np.ndarray:
-        own = group[at[x] : at[x + 1]]
-        own = own[lengths[own] > 1]
-        n = lengths[own]
-        where = np.repeat(starts[own] - (np.cumsum(n, dtype=np.int32) - n), n)
+    loads = apart.groupBy("_hub").agg(F.sum("_size").alias("_load")).select("_hub", blocks_of("_load").alias("_asking"))
+    asking = salted_lookup(apart, loads, ["_hub"], "_unit").withColumn("_a", F.pmod(F.xxhash64("_unit", F.lit("apart")), F.col("_asking")))
+    ask = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda j: tile(F.col("_hub"), F.col("_a"), j, True, False, F.col("_blocks")))
+    known = apart.select(F.col("_hub").alias("_h"), F.col("_unit").alias("_u"), F.lit(False).alias("_linked"))
+    rest = salted_lookup(members, loads, ["_hub"], "_unit").where("_asking is not null")
+    rest = rest.join(known.hint("merge"), (F.col("_hub") == F.col("_h")) & (F.col("_unit") == F.col("_u")), "left")
+    linked = F.coalesce("_linked", F.lit(True))
+    answer = F.transform(F.sequence(F.lit(0), F.col("_asking") - 1), lambda a: tile(F.col("_hub"), a, F.col("_b"), False, linked, F.col("_blocks")))
+    return asking.select("_unit", F.explode(ask).alias("_tile")).unionByName(rest.select("_unit", F.explode(answer).alias("_tile")))
+
+
+class Tile:
+    """Sets that meet in a task, and which of them share a shingle."""
+
+    def __init__(self, fp: np.ndarray, sets: list[np.ndarray], max_bits: int, least: float):
+        self.fp, self.max_bits, self.least, self.m = fp, max_bits, least, len(sets)
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        values = np.concatenate(sets)
+        # a tile holds far fewer than 2^31 shingles; what is spent is freed at once, as several tasks share a machine's memory
+        turn = np.argsort(values, kind="stable").astype(np.int32)
+        values = values[turn]
+        self.starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])[: len(turn)]).astype(np.int32)
+        del values
+        self.lengths = np.diff(self.starts, append=np.int32(len(turn)))
+        self.group = np.empty(len(turn), np.int32)
+        self.group[turn] = np.repeat(np.arange(len(self.starts), dtype=np.int32), self.lengths)
+        self.owner, self.at = np.repeat(np.arange(self.m, dtype=np.int32), self.sizes)[turn], np.concatenate([[0], np.cumsum(self.sizes)])
+        self.common = np.bincount(self.owner, weights=np.repeat(self.lengths > 1, self.lengths), minlength=self.m)
+
+    def may_link(self, x: int) -> bool:
+        """Whether so many of a set's shingles occur elsewhere in the tile that it can have a partner here."""
+        return self.sizes[x] > 0 and self.common[x] >= self.least * self.sizes[x] - ROUNDING
+
+    def holders(self, groups: np.ndarray) -> np.ndarray:
+        n = self.lengths[groups]
+        where = np.repeat(self.starts[groups] - (np.cumsum(n, dtype=np.int32) - n), n)
         where += np.arange(len(where), dtype=np.int32)
-        both = np.bincount(owner[where], minlength=m)
-        near = both >= least * (sizes + sizes[x] - both) - ROUNDING
-        near &= (both > 0) & (np.bitwise_count(fp ^ fp[x]) <= max_bits)
+        return self.owner[where]
+
+    def partners(self, x: int, of: np.ndarray) -> np.ndarray:
+        """Members linked to x, of those in the mask `of`."""
+        own = self.group[self.at[x] : self.at[x + 1]]
+        shared = own[self.lengths[own] > 1]
+        n = int(self.sizes[x])
+        # a partner has all but so few of x's shingles, so it has one of any so many and one: the rarest here
+        some = n - math.ceil(self.least * n - ROUNDING) + 1 - (n - len(shared))
+        if some <= 0:
+            return np.zeros(0, np.int64)
+        rare = shared[np.argsort(self.lengths[shared], kind="stable")[:some]]
+        near = np.zeros(self.m, bool)
+        near[self.holders(rare)] = True
+        near &= of & (self.sizes >= self.least * n - ROUNDING) & (n >= self.least * self.sizes - ROUNDING)
+        near &= np.bitwise_count(self.fp ^ self.fp[x]) <= self.max_bits
         near[x] = False
-        return near
-
-    label, u, v = np.arange(m), [], []
+        asked = np.flatnonzero(near)
+        if not len(asked):
+            return asked
+        sizes = self.sizes[asked]
+        if sizes.sum() < self.lengths[shared].sum():
+            mine = np.zeros(len(self.starts), bool)
+            mine[own] = True
+            where = np.repeat(self.at[asked] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            both = np.add.reduceat(mine[self.group[where]].astype(np.int64), np.cumsum(sizes) - sizes)
+        else:
+            both = np.bincount(self.holders(shared), minlength=self.m)[asked]
+        return asked[both >= self.least * (sizes + n - both) - ROUNDING]
+
+
+def tile_links(unit: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], hub: int, max_bits: int, least: float, asks: np.ndarray | None = None, linked: np.ndarray | None = None) -> tuple[list[int], list[int], np.ndarray]:
+    """(u, v, label): links (indices) that connect what the members of a tile link, and each member's group by then.
+
+    Two members are linked if they share `least` of the shingles that either holds and differ in max_bits or fewer. The hub's links come
+    first; with asks, only those of its mask are compared with all, and those of the mask linked are one group already.
+    """
+    held = Tile(fp, sets, max_bits, least)
+    label, u, v = np.arange(held.m), [], []
+    if linked is not None and linked.any():
+        label[linked] = np.flatnonzero(linked)[0]
     k = np.flatnonzero(unit == hub)
-    if len(k):
-        near = np.flatnonzero(partners(int(k[0])))
+    if len(k) and asks is None and held.may_link(k[0]):
+        near = held.partners(int(k[0]), np.ones(held.m, bool))
         label[near] = label[k[0]]
-        if same:
-            u, v = near.tolist(), [int(k[0])] * len(near)
+        u, v = near.tolist(), [int(k[0])] * len(near)
     main = int(np.bincount(label).argmax())
-    for x in range(m):
-        if label[x] == main:
+    for x in range(held.m) if asks is None else np.flatnonzero(asks).tolist():
+        if label[x] == main or not held.may_link(x):
             continue
-        near = partners(x) & (label != label[x])
-        if not same:
-            near &= block != block[x]
-        for y in np.flatnonzero(near).tolist():
+        for y in held.partners(x, label != label[x]).tolist():
             a, b = label[x], label[y]
             if a != b:
                 u.append(x)
                 v.append(y)
                 label[label == (b if a == main else a)] = a if a == main else b
-    return u, v
+    return u, v, label
 
 
 def likely_sets(docs: DataFrame, asked: DataFrame, sets) -> DataFrame:
@@ -304,51 +366,82 @@ def similar_links(docs: DataFrame, rows: DataFrame, extra: DataFrame | None, set
     docs: _id, _text (binary), _h (a hash of the text). rows: _id, _h, fp, _unit of each. extra: more members of clusters (_unit, _hub,
     _size). sets: from a column of texts to the shingle set and unit of each.
     """
-    spark = docs.sparkSession
-    units = rows.groupBy("_unit").agg(F.first("fp").alias("fp"), F.min(F.struct("_h", "_id")).alias("_rep"))
-    order = spark.sparkContext.broadcast(common_order(docs, sets, least, HOT))  # COMMON shingles at most
+    order = docs.sparkSession.sparkContext.broadcast(common_order(docs, sets, least, HOT))  # COMMON shingles at most
     clusters = members(docs, sets, order, least)
     if extra is not None:
         clusters = clusters.unionByName(extra).groupBy("_unit", "_hub").agg(F.max("_size").alias("_size"))
-    clusters = write_table(clusters, "near-clusters")
-    asked = write_table(tiled(clusters, least).join(units, "_unit").select("_unit", "fp", "_tiles", F.col("_rep._h").alias("_key"), F.col("_rep._id").alias("_of")), "near-asked")
+    return cluster_links(docs, rows, clusters, sets, max_bits, least)
+
+
+COMPARED = "u long, v long, _hub long, _blocks int, _size long"
+
+
+def compared(docs: DataFrame, units: DataFrame, tiles: DataFrame, sets, max_bits: int, least: float) -> DataFrame:
+    """Rows of COMPARED: links (u, v) of each tile; of units that are not linked to their hub in one of several blocks, u, hub, blocks and size."""
+    spark = docs.sparkSession
+    tiles = tiles.groupBy("_unit").agg(F.collect_list("_tile").alias("_tiles"))
+    asked = write_table(tiles.join(units, "_unit").select("_unit", "fp", "_tiles", F.col("_rep._h").alias("_key"), F.col("_rep._id").alias("_of")), "near-asked")
     found = likely_sets(docs, asked.select("_key"), sets).join(asked, (F.col("_h") == F.col("_key")) & F.col("_id").eqNullSafe(F.col("_of")))
-    rows = found.select("_unit", "fp", F.explode("_tiles").alias("_t"), "_set").select("_t.hub", "_t.i", "_t.j", "_t.b", "_unit", "fp", "_set")
-    rows = rows.repartition(parts(spark), "hub", "i", "j").sortWithinPartitions("hub", "i", "j", "_unit")
+    rows = found.select("_unit", "fp", F.explode("_tiles").alias("_t"), "_set").select("_t.hub", "_t.i", "_t.j", "_t.asks", "_t.linked", "_t.blocks", "_unit", "fp", "_set")
+    rows = rows.repartition(parts(spark), "hub", "i", "j").sortWithinPartitions("hub", "i", "j", "_unit", F.desc("asks"))
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, out = None, [], ([], [])
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, out = None, [], []
 
         def done() -> None:
             if len(held) > 1:
-                b, unit, fp, data = zip(*held, strict=True)
-                unit = np.array(unit, np.int64)
-                u, v = tile_links(unit, np.array(fp, np.int64).view(np.uint64), [np.frombuffer(d, np.int64) for d in data], np.array(b), now[0], now[1] == now[2], max_bits, least)
-                out[0].extend(unit[u].tolist())
-                out[1].extend(unit[v].tolist())
-                size = sum(map(len, data))
+                asks, linked, blocks, unit, fp, data = zip(*held, strict=True)
                 held.clear()
-                del b, unit, fp, data
-                if size > TRIMMED:
+                unit, asks = np.array(unit, np.int64), np.array(asks)
+                sets, own = [np.frombuffer(d, np.int64) for d in data], bool(asks.all())
+                u, v, label = tile_links(unit, np.array(fp, np.int64).view(np.uint64), sets, now[0], max_bits, least, None if own else asks, None if own else np.array(linked))
+                out.extend((a, b, None, None, None) for a, b in zip(unit[u].tolist(), unit[v].tolist(), strict=True))
+                if now[1] == now[2] and own and blocks[0] > 1:
+                    hub = label[np.flatnonzero(unit == now[0])]
+                    out.extend((int(unit[x]), None, now[0], blocks[0], len(sets[x])) for x in (np.flatnonzero(label != hub[0]) if len(hub) else range(len(unit))))
+                if sum(map(len, data)) > TRIMMED:
+                    del sets, data
                     trim()
             held.clear()
 
+        def made() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["u", "v", "_hub", "_blocks", "_size"])
+
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(7)]
-            for hub, i, j, b, unit, fp, data in zip(*columns, strict=True):
+            columns = [batch.column(i).to_pylist() for i in range(9)]
+            for hub, i, j, asks, linked, blocks, unit, fp, data in zip(*columns, strict=True):
                 if (hub, i, j) != now:
                     done()
                     now = (hub, i, j)
-                if not held or held[-1][1] != unit:  # a text that is there twice comes twice
-                    held.append((b, unit, fp, data))
-            if len(out[0]) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["u", "v"])
-                out = ([], [])
+                if not held or held[-1][3] != unit:  # a text that is there twice, or both asks and answers, comes twice
+                    held.append((asks, linked, blocks, unit, fp, data))
+            if len(out) > 10_000:
+                yield made()
         done()
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["u", "v"])
+        yield made()
         trim()
 
-    links = write_table(rows.mapInArrow(compared, "u long, v long").distinct(), "near-links")
-    discard(clusters)
+    out = write_table(rows.mapInArrow(compare, COMPARED).distinct(), "near-compared")
     discard(asked)
-    return links
+    return out
+
+
+def cluster_links(docs: DataFrame, rows: DataFrame, clusters: DataFrame, sets, max_bits: int, least: float) -> DataFrame:
+    """similar_links() by given clusters (_unit, _hub, _size), of which linked units share one.
+
+    Each block of a cluster is compared in itself, its hub's links first. Of clusters of several blocks, units that are still apart from
+    the hub then meet the other blocks: what is linked to the hub moves once more, however many blocks there are.
+    """
+    units = rows.groupBy("_unit").agg(F.first("fp").alias("fp"), F.min(F.struct("_h", "_id")).alias("_rep"))
+    held = write_table(with_blocks(clusters, least), "near-clusters")
+    first = compared(docs, units, own_tiles(held), sets, max_bits, least)
+    links = first.where("v is not null").select("u", "v")
+    apart = write_table(first.where("v is null").select("_hub", F.col("u").alias("_unit"), "_size", "_blocks"), "near-apart")
+    if not apart.isEmpty():
+        links = links.unionByName(compared(docs, units, crossing_tiles(held, apart), sets, max_bits, least).where("v is not null").select("u", "v"))
+    out = write_table(links.distinct(), "near-links")
+    for table in (held, first, apart):
+        discard(table)
+    return out

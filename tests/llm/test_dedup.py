@@ -267,10 +267,18 @@ def test_tile_links_connect_what_is_linked(seed, least, hub):
     near = np.array([[len(a) and len(np.intersect1d(a, b)) >= least * len(np.union1d(a, b)) - 1e-9 for b in sets] for a in sets], bool)
     unit, fp = rng.permutation(n), np.zeros(n, np.uint64)
     expected = simhash.components(n, *np.nonzero(near))
-    u, v = similar.tile_links(unit, fp, sets, np.zeros(n, int), int(unit[3]) if hub else -1, True, 64, least)
+    u, v, label = similar.tile_links(unit, fp, sets, int(unit[3]) if hub else -1, 64, least)
     assert np.array_equal(simhash.components(n, np.array(u, int), np.array(v, int)), expected) and len(u) < n
-    block = rng.integers(0, 2, n)  # links within blocks come from other tiles
-    pairs = [similar.tile_links(unit[k], fp[k], [sets[i] for i in k], block[k], int(unit[3]), same, 64, least) + (k,) for k, same in ((np.flatnonzero((block == 0) | (np.arange(n) == 3)), True), (np.flatnonzero((block == 1) | (np.arange(n) == 3)), True), (np.arange(n), False))]  # the hub is in each
+    assert np.array_equal(label[:, None] == label, expected[:, None] == expected)
+    block, pairs, apart = rng.integers(0, 2, n), [], np.zeros(n, bool)
+    for b in (0, 1):  # the hub is in each
+        k = np.flatnonzero((block == b) | (np.arange(n) == 3))
+        *found, label = similar.tile_links(unit[k], fp[k], [sets[i] for i in k], int(unit[3]), 64, least)
+        pairs.append((*found, k))
+        apart[k] |= label != label[np.flatnonzero(k == 3)]
+    for b in (0, 1):  # those apart meet each block
+        k = np.flatnonzero((block == b) | apart)
+        pairs.append((*similar.tile_links(unit[k], fp[k], [sets[i] for i in k], -1, 64, least, apart[k], ~apart[k])[:2], k))
     u, v = (np.concatenate([k[np.array(p[i], int)] for *p, k in pairs]) for i in (0, 1))
     assert near[u, v].all() and np.array_equal(simhash.components(n, u, v), expected)
 
@@ -317,3 +325,17 @@ def test_stages_keep_null_and_repeated_ids(spark):
     assert near.columns == docs.columns
     assert key(near) == [("5", "four  five six"), ("5", "seven eight"), ("5", "seven eight"), ("7", None), ("None", "one two three"), ("None", "one two three")]
     assert stages.packed(spark, docs, "").count() == len(rows) and stages.repeats(spark, docs, "").count() == len(rows)
+
+
+@pytest.mark.parametrize("apart", [0, 40])
+def test_a_cluster_of_many_blocks_moves_each_set_a_bounded_number_of_times(spark, monkeypatch, apart):
+    monkeypatch.setattr(similar, "LOAD", 5000)
+    size, n = 100, 4000
+    clusters = spark.range(n).select(F.col("id").alias("_unit"), F.lit(0).cast("long").alias("_hub"), F.lit(size).cast("long").alias("_size"))
+    held = similar.with_blocks(clusters, 0.8).cache()
+    assert held.select("_blocks").distinct().first()[0] == size * n // 5000 == 80
+    assert similar.own_tiles(held).count() == n + 79  # the hub's set goes to each block
+    still = held.where(F.col("_unit").between(1, apart)).select("_hub", "_unit", "_size", "_blocks")
+    moved = similar.crossing_tiles(held, still)
+    assert moved.count() == (n + 80 * apart if apart else 0)
+    assert moved.groupBy("_tile.hub", "_tile.i", "_tile.j").count().agg(F.max("count")).first()[0] is None or apart
