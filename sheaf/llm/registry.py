@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, ctw, exact_dedup, langid, licenses, manifest, neighbours, packing, retention, simhash, substring
+from . import bpe, chat, ctw, exact_dedup, langid, licenses, manifest, neighbours, packing, partenum, retention, simhash, substring
 
-MODULES = (substring, langid, bpe, packing, ctw, licenses, exact_dedup, neighbours, chat, simhash, manifest, retention)
+MODULES = (substring, langid, bpe, packing, ctw, licenses, exact_dedup, neighbours, chat, simhash, partenum, manifest, retention)
 
 
 def queries() -> dict:
