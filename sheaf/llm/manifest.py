@@ -19,6 +19,8 @@ from .common import CRC32_SQL, crc32_sql, discard, parts, read_table, write_tabl
 
 #: Nodes of a run, and its power of two.
 RUN, BITS = 8, 3
+#: Bytes of a hash.
+BYTES = 32
 #: Leaves that share one copy of a run.
 COPY = 512
 
@@ -30,7 +32,13 @@ def part(value: Column) -> Column:
 
 
 def digest(*inputs: Column) -> Column:
-    return F.sha2(F.concat(*inputs).cast("binary"), 256)
+    """The hash of texts that follow each other, as its 32 bytes; shown() gives its digits."""
+    return F.unhex(F.sha2(F.concat(*inputs).cast("binary"), 256))
+
+
+def shown(digests: Column) -> Column:
+    """Bytes of hashes as their digits, which is how they go into other hashes."""
+    return F.lower(F.hex(digests))
 
 
 def height(n: Column) -> Column:
@@ -63,7 +71,7 @@ def ranked(rows: DataFrame, label: str) -> DataFrame:
 def tree(leaves: DataFrame, label: str) -> tuple[DataFrame | None, DataFrame, list[DataFrame]]:
     """(runs, roots, tables to discard) of leaves (_g, _i, _n, _h).
 
-    runs: _g, _level (0: of leaves), _run, _n (leaves of the group), _hs (nodes in order); none where each group has one leaf. roots:
+    runs: _g, _level (0: of leaves), _run, _n (leaves of the group), _hs (the bytes of its nodes in order); none where each group has one leaf. roots:
     _g, _n, _root. While a group has several nodes, every RUN in a row become one; a last run may hold fewer, even one.
     """
     levels = leaves.agg(F.max(height(F.col("_n")))).first()[0] or 0
@@ -73,9 +81,9 @@ def tree(leaves: DataFrame, label: str) -> tuple[DataFrame | None, DataFrame, li
         if level == levels:
             break
         held = F.array_sort(F.collect_list(F.struct("_i", "_h")))  # RUN nodes at most
-        runs = nodes.where("_m > 1").groupBy("_g", F.shiftright("_i", BITS).alias("_run"), "_n", "_m").agg(F.transform(held, lambda x: x["_h"]).alias("_hs"))
+        runs = nodes.where("_m > 1").groupBy("_g", F.shiftright("_i", BITS).alias("_run"), "_n", "_m").agg(F.unhex(F.array_join(F.transform(held, lambda x: F.hex(x["_h"])), "")).alias("_hs"))
         found.append(write_table(runs, f"{label}-runs"))
-        nodes = found[-1].select("_g", F.col("_run").alias("_i"), "_n", digest(F.array_join("_hs", "")).alias("_h"), F.ceil(F.col("_m") / RUN).alias("_m"))
+        nodes = found[-1].select("_g", F.col("_run").alias("_i"), "_n", digest(shown(F.col("_hs"))).alias("_h"), F.ceil(F.col("_m") / RUN).alias("_m"))
     runs = [r.select("_g", F.lit(k).alias("_level"), "_run", "_n", "_hs") for k, r in enumerate(found)]
     return reduce(DataFrame.unionByName, runs) if runs else None, reduce(DataFrame.unionByName, roots), found
 
@@ -87,19 +95,19 @@ def copies(runs: DataFrame) -> DataFrame:
     return runs.withColumn("_copy", F.explode(F.sequence(F.floor(first / COPY), F.floor(last / COPY))))
 
 
-def siblings(rows: DataFrame, runs: DataFrame, levels: Column) -> DataFrame:
+def siblings(rows: DataFrame, runs: DataFrame, levels: Column, once: tuple[str, ...] = ()) -> DataFrame:
     """rows (_g, _i, …) once for each level, with _level, _left and _right: the nodes of its run before and behind its own, joined.
 
-    levels: an array of the levels of a row. runs: with _copy and _own, the row's place in a run where its leaves agree on it, else null.
+    levels: an array of the levels of a row, of which -1 alone keeps the columns of `once`. runs: with _copy and _own, the row's place in a run where its leaves agree on it, else null.
     """
     asked = rows.withColumn("_level", F.explode(levels)).withColumn("_copy", F.floor(F.col("_i") / COPY))
+    asked = asked.withColumns({c: F.when(F.col("_level") < 0, F.col(c)) for c in once})
     own = (F.col("_level") >= 0) & (F.col("_level") < height(F.col("_n")))
     asked = asked.withColumn("_run", F.when(own, F.expr(f"shiftright(_i, {BITS} * (_level + 1))")).otherwise(F.lit(0).cast("long")))
     nodes = runs.select("_g", "_level", "_run", "_copy", "_hs", "_own")
     found = asked.join(nodes, ["_g", "_level", "_run", "_copy"])
     at = F.coalesce("_own", F.expr(f"CAST(shiftright(_i, {BITS} * _level) & {RUN - 1} AS INT)"))
-    left = F.array_join(F.slice("_hs", F.lit(1), at), "")
-    right = F.array_join(F.slice("_hs", at + 2, F.lit(RUN)), "")
+    left, right = F.substring("_hs", F.lit(1), BYTES * at), F.substring("_hs", BYTES * (at + 1) + 1, F.lit(BYTES * RUN))
     return found.select(*rows.columns, "_level", left.alias("_left"), right.alias("_right"), "_hs")
 
 
@@ -116,7 +124,7 @@ def manifest(docs: DataFrame, fields: list[str], id_col: str = "doc_id", group_c
     group = F.when(F.col(group_col).isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col(group_col).cast("string")))  # - sorts before =
     leaf = digest(*[part(F.col(f)) for f in fields])
     told = digest(*[part((tampered or {}).get(f, F.col(f))) for f in fields])
-    told = F.when(F.coalesce(when, F.lit(False)), told) if tampered and when is not None else F.lit(None).cast("string")
+    told = F.when(F.coalesce(when, F.lit(False)), told) if tampered and when is not None else F.lit(None).cast("binary")
     hashed = write_table(docs.select(group.alias("_g"), F.col(id_col).alias("_id"), leaf.alias("_h"), told.alias("_told")).withColumn("_row", F.monotonically_increasing_id()), "manifest-leaves")
     leaves = ranked(hashed, "manifest")
     runs, roots, spent = tree(leaves, "manifest")
@@ -125,12 +133,12 @@ def manifest(docs: DataFrame, fields: list[str], id_col: str = "doc_id", group_c
     one = groups.select(F.lit("").alias("_g"), F.col("_g").alias("_id"), "_h", "_leaves", F.lit(0).cast("long").alias("_row"))
     top = ranked(one, "manifest-top")
     top_runs, top_root, top_spent = tree(top, "manifest-top")
-    found = top_root.select("_root").first()
+    found = top_root.select(shown(F.col("_root"))).first()
     root = found[0] if found else None
     levels = top.agg(F.max(height(F.col("_n")))).first()[0] or 0
 
     # a group's way to the root, and its subroot at level -1, are runs that all of its leaves ask for
-    tops = top.select(F.lit(-1).alias("_level"), F.col("_id").alias("_g"), "_leaves", F.array("_h").alias("_hs"), F.lit(0).alias("_own"))
+    tops = top.select(F.lit(-1).alias("_level"), F.col("_id").alias("_g"), "_leaves", F.col("_h").alias("_hs"), F.lit(0).alias("_own"))
     if levels:
         near = siblings(top, copies(top_runs).withColumn("_own", F.lit(None).cast("int")), F.sequence(F.lit(0), F.lit(levels - 1)))
         at = F.expr(f"CAST(shiftright(_i, {BITS} * _level) & {RUN - 1} AS INT)")
@@ -140,16 +148,18 @@ def manifest(docs: DataFrame, fields: list[str], id_col: str = "doc_id", group_c
     every = tops
     if runs is not None:
         every = copies(runs).select("_g", "_level", "_run", "_copy", "_hs", F.lit(None).cast("int").alias("_own")).unionByName(tops)
-    steps = siblings(leaves, write_table(every, "manifest-nodes"), F.sequence(F.lit(-1), height(F.col("_n")) + levels - 1))
+    # what a leaf is goes with its coordinate of level -1 alone
+    steps = siblings(leaves.select("_g", "_i", "_n", "_at", "_id", "_h", "_told"), write_table(every, "manifest-nodes"), F.sequence(F.lit(-1), height(F.col("_n")) + levels - 1), ("_id", "_h", "_told"))
     for table in (hashed, *spent, *top_spent, groups, top):
         discard(table)
 
-    subroot = F.max(F.when(F.col("_level") < 0, F.get("_hs", F.lit(0))))
-    step = F.when(F.col("_level") >= 0, F.struct("_level", F.col("_left").alias("l"), F.col("_right").alias("r")))
-    proofs = steps.groupBy("_at").agg(F.first("_id").alias("_id"), F.first("_h").alias("leaf"), F.first("_told").alias("_told"), subroot.alias("subroot"), F.array_sort(F.collect_list(step)).alias("_steps"))
-    proof = F.sha2(F.array_join(F.transform("_steps", lambda s: F.concat(s["l"], s["r"])), "").cast("binary"), 256)
-    folded = F.aggregate("_steps", F.coalesce("_told", "leaf"), lambda h, s: digest(s["l"], h, s["r"]))
-    out = proofs.select(F.col("_id").alias(id_col), "leaf", "subroot", F.lit(root).cast("string").alias("root"), proof.alias("proof_sha256"), folded.alias("folded_root"))
+    first = F.col("_level") < 0
+    own = F.max(F.when(first, F.struct("_id", "_h", "_told", "_hs"))).alias("_own")
+    step = F.when(~first, F.struct("_level", F.col("_left").alias("l"), F.col("_right").alias("r")))
+    proofs = steps.groupBy("_at").agg(own, F.array_sort(F.collect_list(step)).alias("_steps")).select("_own.*", "_steps")
+    proof = F.sha2(F.array_join(F.transform("_steps", lambda s: F.concat(shown(s["l"]), shown(s["r"]))), "").cast("binary"), 256)
+    folded = F.aggregate("_steps", F.coalesce("_told", "_h"), lambda h, s: digest(shown(s["l"]), shown(h), shown(s["r"])))
+    out = proofs.select(F.col("_id").alias(id_col), shown(F.col("_h")).alias("leaf"), shown(F.col("_hs")).alias("subroot"), F.lit(root).cast("string").alias("root"), proof.alias("proof_sha256"), shown(folded).alias("folded_root"))
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 

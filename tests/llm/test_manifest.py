@@ -91,7 +91,7 @@ def test_nulls_repeated_rows_and_clashing_names(spark):
 def test_no_copy_of_a_run_serves_many_leaves(spark, monkeypatch):
     monkeypatch.setattr(manifest, "COPY", 16)
     asked = []
-    monkeypatch.setattr(manifest, "siblings", (lambda f: lambda rows, runs, at: asked.append(f(rows, runs, at)) or asked[-1])(manifest.siblings))
+    monkeypatch.setattr(manifest, "siblings", (lambda f: lambda *a: asked.append(f(*a)) or asked[-1])(manifest.siblings))
     docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("en").alias("lang"), F.lit(1).alias("n_chars"), F.lit("t").alias("text"))
     assert manifest.manifest(docs, manifest.FIELDS).count() == 400
     most = asked[-1].withColumn("copy", F.floor(F.col("_i") / 16)).groupBy("_level", "copy").count().agg(F.max("count")).first()[0]
