@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from ..functions.values import preview
 
@@ -18,16 +19,34 @@ PAGE_MARK = r"--- Page (\d+) ---"
 SIZE, OVERLAP, SEPARATORS = 1000, 100, ("\n\n", "\n", " ", "")
 #: Stands before a start while a text is split; normalised texts hold no control sign.
 _MARK = "\u0001"
+#: Pieces whose places are summed in one go.
+BLOCK = 256
 
 
 def _starts(text: Column, pattern: str, group: int) -> Column:
     return F.split(F.regexp_replace(text, pattern, f"{_MARK}${group}"), _MARK)
 
 
-def _offsets(pieces: Column) -> Column:
-    """Where each piece starts, if they follow each other from 0 on."""
+def _running(lengths: Column) -> Column:
     none = F.struct(F.array().cast("array<int>").alias("a"), F.lit(0).alias("n"))
-    return F.aggregate(pieces, none, lambda x, p: F.struct(F.array_append(x["a"], x["n"]).alias("a"), (x["n"] + F.length(p)).alias("n")))["a"]
+    return F.aggregate(lengths, none, lambda x, n: F.struct(F.array_append(x["a"], x["n"]).alias("a"), (x["n"] + n).alias("n")))["a"]
+
+
+def _offsets(pieces: Column) -> Column:
+    """Where each piece starts, if they follow each other from 0 on.
+
+    Sums run within blocks of BLOCK pieces and over the blocks, since an array that grows is copied with each element.
+    """
+    lengths = F.transform(pieces, lambda p: F.length(p))
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(pieces) / BLOCK).cast("int") - 1), lambda b: F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK)))
+    blocks = F.when(F.size(pieces) > 0, blocks).otherwise(F.array().cast("array<array<int>>"))
+    bases = _running(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda x, n: x + n)))
+    return F.flatten(F.zip_with(blocks, bases, lambda b, base: F.transform(_running(b), lambda n: n + base)))
+
+
+def _placed(pieces: Column) -> Column:
+    """Pieces but for the first, each as a struct of its start and itself."""
+    return F.slice(F.zip_with(_offsets(pieces), pieces, lambda o, p: F.struct(o.alias("o"), p.alias("p"))), F.lit(2), F.size(pieces))
 
 
 def _trim(text: Column) -> Column:
@@ -46,21 +65,23 @@ def chunk_text(docs: DataFrame, text: str = "text", article: str = ARTICLE, clau
     keep = [c for c in docs.columns if c != text]
     rows = docs.where(F.col(text).isNotNull() & (F.col(text) != "")).select(*keep, F.col(text).alias("_text"), _starts(F.col(text), article, 1).alias("_parts"))
     whole = F.size("_parts") == 1
-    rows = rows.select(*keep, whole.alias("_whole"), _offsets(F.col("_parts")).alias("_o"), F.posexplode(F.when(whole, F.array("_text")).otherwise(F.slice("_parts", 2, F.size("_parts")))).alias("_a", "_article"))
-    rows = rows.withColumn("_o", F.when(F.col("_whole"), 0).otherwise(F.get("_o", F.col("_a") + 1)))
+    # places are made below the explode, once for a text; a column beside the explode would be made for each article
+    articles = F.when(whole, F.array(F.struct(F.lit(0).alias("o"), F.col("_text").alias("p")))).otherwise(_placed(F.col("_parts")))
+    rows = rows.select(*keep, whole.alias("_whole"), F.posexplode(articles).alias("_a", "_x")).select(*keep, "_whole", "_a", F.col("_x.o").alias("_o"), F.col("_x.p").alias("_article"))
     rows = rows.withColumn("_article", F.when(F.col("_whole"), F.col("_article")).otherwise(_trim(F.col("_article"))))
     header = F.regexp_extract("_article", article, 1)
     rows = rows.withColumn("_header", header).withColumn("_clauses", F.when(F.col("_whole"), F.array(F.col("_article"))).otherwise(_starts(F.col("_article"), clause, 0)))
     split = F.size("_clauses") > 1
-    rows = rows.select(*keep, "_whole", "_a", "_o", "_article", "_header", split.alias("_split"), F.when(split, _offsets(F.col("_clauses"))).alias("_p"), F.posexplode(F.when(split, F.slice("_clauses", 2, F.size("_clauses"))).otherwise(F.array("_article"))).alias("_c", "_clause"))
+    clauses = F.when(split, _placed(F.col("_clauses"))).otherwise(F.array(F.struct(F.lit(0).alias("o"), F.col("_article").alias("p"))))
+    rows = rows.select(*keep, "_whole", "_a", "_o", "_header", split.alias("_split"), F.posexplode(clauses).alias("_c", "_y")).select(*keep, "_whole", "_a", "_o", "_header", "_split", "_c", F.col("_y.o").alias("_p"), F.col("_y.p").alias("_clause"))
     body = _trim(F.col("_clause"))
     blank = F.length("_clause") - F.length(F.regexp_replace("_clause", r"(?U)\A\s+", ""))
-    start = F.col("_o") + F.when(F.col("_split"), F.get("_p", F.col("_c") + 1) + blank).otherwise(0)
+    start = F.col("_o") + F.when(F.col("_split"), F.col("_p") + blank).otherwise(0)
     rows = rows.select(
         *keep,
         F.struct("_a", "_c").alias("_at"),
         start.alias("chunk_start"),
-        F.when(F.col("_split"), F.concat("_header", F.lit("\n"), body)).otherwise(F.col("_article")).alias("content"),
+        F.when(F.col("_split"), F.concat("_header", F.lit("\n"), body)).otherwise(F.col("_clause")).alias("content"),
         F.when(~F.col("_whole"), F.regexp_extract("_header", r"(?U)\d+", 0)).alias("dieu"),
         F.when(F.col("_split"), F.regexp_extract("_clause", r"(?U)\d+", 0)).alias("khoan"),
     )
@@ -69,8 +90,6 @@ def chunk_text(docs: DataFrame, text: str = "text", article: str = ARTICLE, clau
 
 def numbered(chunks: DataFrame, key: str) -> DataFrame:
     """chunk_index 0, 1, 2 … within each document, in place of chunk_at."""
-    from pyspark.sql import Window
-
     index = F.row_number().over(Window.partitionBy(key).orderBy("chunk_at")) - 1
     return chunks.withColumn("chunk_index", index).drop("chunk_at")
 
@@ -79,20 +98,27 @@ def chunk_metadata(docs: DataFrame, key: str, text: str = "text", **patterns: st
     """Chunks with index, page, first line in the page and a preview.
 
     Page and line are those of chunk_start: after the last page mark before it (page 1 without one), counting lines from
-    the mark's next. A chunk carries where pages and lines start, not the text.
+    the mark's next. The starts of a document's chunks, pages and lines are put in order by one window over the document, so the
+    work grows with their number alone.
     """
     rows = docs.select(key, F.col(text).alias("_text"))
-    pieces = F.split(F.regexp_replace("_text", f"({PAGE_MARK})", f"{_MARK}$1"), _MARK)
-    numbers = F.regexp_extract_all("_text", F.lit(PAGE_MARK), F.lit(1))
-    lines = _offsets(F.transform(F.split("_text", "\n"), lambda x: F.concat(x, F.lit("\n"))))
-    marks = F.transform(F.slice(_offsets(pieces), 2, F.size(numbers) + 1), lambda at, i: F.struct(at.alias("at"), F.get(numbers, i).cast("int").alias("page")))
-    chunks = numbered(chunk_text(rows.select(key, "_text", marks.alias("_marks"), lines.alias("_lines")), "_text", **patterns), key)
-    last = F.element_at(F.filter("_marks", lambda m: m["at"] < F.col("chunk_start")), -1)
-    chunks = chunks.withColumn("_mark", F.when(F.exists("_marks", lambda m: m["at"] < F.col("chunk_start")), last))
-    # lines of the page: those that start behind the mark, but for the mark's own next
-    own = F.size(F.filter("_lines", lambda x: (x <= F.col("chunk_start")) & (x > F.coalesce(F.col("_mark.at"), F.lit(0)))))
-    line = F.greatest(own + F.when(F.col("_mark").isNull(), 1).otherwise(0), F.lit(1))
-    return chunks.select(key, "chunk_index", F.coalesce(F.col("_mark.page"), F.lit(1)).alias("page_number"), line.alias("start_line"), "dieu", "khoan", preview(F.col("content")).alias("content_preview"))
+    chunks = chunk_text(rows, "_text", **patterns)
+    chunks = chunks.select(key, F.col("chunk_start").alias("_start"), F.lit(1).alias("_kind"), F.lit(None).cast("int").alias("_page"), "chunk_at", "dieu", "khoan", preview(F.col("content")).alias("content_preview"))
+
+    def events(starts: Column, kind: int, page: Column) -> DataFrame:
+        found = rows.where("_text is not null").select(key, F.explode(starts).alias("_e")).select(key, F.col("_e.o").alias("_start"), F.lit(kind).alias("_kind"), page.alias("_page"))
+        return found.select(*[F.col(f.name) if f.name in found.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in chunks.schema])
+
+    lines = _placed(F.transform(F.split("_text", "\n"), lambda x: F.concat(x, F.lit("\n"))))
+    marks = _placed(F.split(F.regexp_replace("_text", f"({PAGE_MARK})", f"{_MARK}$1"), _MARK))
+    page = F.regexp_extract(F.col("_e.p"), PAGE_MARK, 1).cast("int")
+    # at one place a line's start comes before a chunk's, and a mark, which counts only behind it, last
+    every = events(lines, 0, F.lit(None).cast("int")).unionByName(chunks).unionByName(events(marks, 2, page))
+    so_far = Window.partitionBy(key).orderBy("_start", "_kind", "chunk_at").rowsBetween(Window.unboundedPreceding, 0)
+    every = every.withColumn("_lines", F.count_if(F.col("_kind") == 0).over(so_far)).withColumn("chunk_index", F.count_if(F.col("_kind") == 1).over(so_far).cast("int") - 1)
+    every = every.withColumn("_before", F.last(F.when(F.col("_kind") == 2, F.col("_lines")), True).over(so_far)).withColumn("_page", F.last("_page", True).over(so_far))
+    line = F.greatest(F.when(F.col("_before").isNull(), F.col("_lines") + 1).otherwise(F.col("_lines") - F.col("_before")), F.lit(1)).cast("int")
+    return every.where("_kind = 1").select(key, "chunk_index", F.coalesce("_page", F.lit(1)).alias("page_number"), line.alias("start_line"), "dieu", "khoan", "content_preview")
 
 
 def join_pages(pages: DataFrame, key: str, number: str, text: str, marked: bool = True) -> DataFrame:

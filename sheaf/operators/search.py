@@ -22,9 +22,31 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 FAR = 3.4028234663852886e38
 
 
+#: Folders of saved postings, by a hash of the term.
+SHARDS = 64
+
+
+def shard_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(SHARDS)).cast("int")
+
+
+def raw_idf(n: Column, df: Column) -> Column:
+    return F.log(n - df + 0.5) - F.log(df + 0.5)
+
+
+def count_terms(chunks: DataFrame, key: str, text: str, tokenize: Callable[[Column], Column]) -> DataFrame:
+    """Rows id, length, runs (term, tf): the terms of each chunk, counted within its row by the lengths of runs in sorted tokens."""
+    rows = chunks.select(F.col(key).alias("id"), F.array_sort(tokenize(F.col(text))).alias("_t"))
+    # where a run of equal tokens starts, with the end of the row as the last
+    edges = F.filter(F.transform("_t", lambda t, i: F.when((i == 0) | (t != F.get("_t", i - 1)), i)), lambda i: i.isNotNull())
+    rows = rows.select("id", F.size("_t").alias("length"), "_t", edges.alias("_e"))
+    runs = F.transform("_e", lambda e, i: F.struct(F.get("_t", e).alias("term"), (F.coalesce(F.get("_e", i + 1), F.col("length")) - e).cast("long").alias("tf")))
+    return rows.select("id", "length", runs.alias("runs"))
+
+
 @dataclass(frozen=True)
 class KeywordIndex:
-    """postings (id, term, tf, length), terms (term, df, idf) and corpus (n, avg_length): the last has one row."""
+    """postings (id, term, tf, length, and shard where they are saved), terms (term, df, idf) and corpus (n, avg_length): the last has one row."""
 
     postings: DataFrame
     terms: DataFrame
@@ -36,15 +58,11 @@ class KeywordIndex:
 
         Terms are counted within their row, by the lengths of runs in sorted tokens, so that only (term, chunk) pairs leave it.
         """
-        rows = chunks.select(F.col(key).alias("id"), F.array_sort(tokenize(F.col(text))).alias("_t"))
-        corpus = rows.agg(F.count("*").alias("n"), (F.sum(F.size("_t")) / F.count("*")).alias("avg_length"))
-        # where a run of equal tokens starts, with the end of the row as the last
-        edges = F.filter(F.transform("_t", lambda t, i: F.when((i == 0) | (t != F.get("_t", i - 1)), i)), lambda i: i.isNotNull())
-        rows = rows.select("id", F.size("_t").alias("length"), "_t", edges.alias("_e"))
-        runs = F.transform("_e", lambda e, i: F.struct(F.get("_t", e).alias("term"), (F.coalesce(F.get("_e", i + 1), F.col("length")) - e).cast("long").alias("tf")))
-        postings = rows.select("id", "length", F.explode(runs).alias("_r")).select("id", "_r.term", "length", "_r.tf")
+        rows = count_terms(chunks, key, text, tokenize)
+        corpus = rows.agg(F.count("*").alias("n"), (F.sum("length") / F.count("*")).alias("avg_length"))
+        postings = rows.select("id", "length", F.explode("runs").alias("_r")).select("id", "_r.term", "length", "_r.tf")
         raw = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus))  # one row
-        raw = raw.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw_idf"))
+        raw = raw.select("term", "df", raw_idf(F.col("n"), F.col("df")).alias("raw_idf"))
         mean = raw.agg(F.avg("raw_idf").alias("mean_idf"))
         terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw_idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw_idf")).alias("idf"))
         return cls(postings, terms, corpus)
@@ -54,10 +72,11 @@ class KeywordIndex:
         return KeywordIndex(self.postings.persist(), self.terms.persist(), self.corpus.persist())
 
     def save(self, path: str) -> KeywordIndex:
-        """Write the tables, postings in folders by a hash of the term, and read them from there."""
+        """Write the tables, postings sorted by term in folders by its hash, and read them from there."""
         spark = self.postings.sparkSession
-        self.postings.withColumn("shard", F.pmod(F.xxhash64("term"), F.lit(64))).write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings")
-        saved = spark.read.parquet(f"{path}/postings").drop("shard")
+        saved = self.postings.drop("shard").withColumn("shard", shard_of(F.col("term")))
+        saved.repartition("shard").sortWithinPartitions("shard", "term", "id").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings")
+        saved = spark.read.parquet(f"{path}/postings")
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
         self.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
         return KeywordIndex(saved, spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/corpus"))
@@ -65,7 +84,7 @@ class KeywordIndex:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> KeywordIndex:
         """The tables of save()."""
-        return cls(spark.read.parquet(f"{path}/postings").drop("shard"), spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/corpus"))
+        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/corpus"))
 
     def unpersist(self) -> None:
         for table in (self.postings, self.terms, self.corpus):
@@ -75,8 +94,13 @@ class KeywordIndex:
 def bm25_scores(index: KeywordIndex, query: list[str]) -> DataFrame:
     """Raw scores (id, score) of chunks that hold a query term; a term counts as often as the query repeats it."""
     spark = index.postings.sparkSession
-    asked = _terms(spark, query).join(index.terms, "term").select("term", "times", "idf")
-    hits = index.postings.join(F.broadcast(asked), "term").crossJoin(F.broadcast(index.corpus))  # as many terms as the query; one row
+    # named as well as joined, so that files and folders without these terms are not read
+    named = F.col("term").isin(list(query))
+    asked = _terms(spark, query).join(index.terms.where(named), "term").select("term", "times", "idf")
+    postings = index.postings.where(named)
+    if "shard" in postings.columns:
+        postings = postings.where(F.col("shard").isin([shard_of(F.lit(t)) for t in query])).drop("shard")
+    hits = postings.join(F.broadcast(asked), "term").crossJoin(F.broadcast(index.corpus))  # as many terms as the query; one row
     weight = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
     # summed in the order of the terms, whatever order rows come in: equal chunks get equal scores
     parts = F.array_sort(F.collect_list(F.struct("term", weight.alias("w"))))

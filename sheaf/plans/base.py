@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.versions import shared_dir
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -77,3 +83,14 @@ def standin(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def standins(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
     return {n: standin(spark, sf_dir, n) for n in names}
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder below the one that all executors share; only in local mode, where none is set, a temporary one."""
+    root = shared_dir(spark)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="sheaf-scratch-")
+        atexit.register(shutil.rmtree, root, True)
+    return f"{root}/{label}-{uuid.uuid4().hex}"

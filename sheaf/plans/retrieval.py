@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import answer, search
 from ..operators.search import KeywordIndex
-from .base import query, table
+from ..operators.segments import SegmentedIndex
+from .base import query, scratch, table
 
 QUERY = ("the", "ndre", "of", "the", "Dingsda")
 _ASKED = ", ".join(f"('{w}')" for w in QUERY)
@@ -53,6 +54,19 @@ def q_bm25_topk(spark, sf_dir):
     return search.bm25_topk(_index(spark, sf_dir), list(QUERY), 10).withColumn("score", F.round("score", 6))
 
 
+@query("q_index_append", _BM25_SQL + " SELECT id, round(score, 6) AS score, kw_rank FROM kw")
+def q_index_append(spark, sf_dir):
+    """The same rows as by a fresh build, from an index that grew by three batches, one of them sent twice, lost a seventh and got it back."""
+    index = SegmentedIndex(spark, scratch(spark, "index"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    for part in (0, 1, 2, 1):
+        index.append(docs.where(F.pmod("doc_id", F.lit(3)) == part), f"part {part}", "doc_id", "text")
+    gone = docs.where(F.pmod("doc_id", F.lit(7)) == 0)
+    index.remove(gone, "gone", "doc_id")
+    index.append(gone, "back", "doc_id", "text")
+    return search.bm25_topk(index.index(), list(QUERY), 10).withColumn("score", F.round("score", 6))
+
+
 @query("q_vector_search", f"WITH {_NEAR_SQL} SELECT id, round(distance, 6) AS distance FROM near")
 def q_vector_search(spark, sf_dir):
     vectors, asked = _vectors(spark, sf_dir)

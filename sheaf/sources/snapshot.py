@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.values import iso_text, kilobytes
 from .files import exists, folder_size
 from .schemas import CHUNKS, TABLES, VECTORS, schema
+from .versions import Warehouse, delete, rename
 
 EXPORT_ROWS = 100_000
 #: The folder of a snapshot's copy of the store, and the tables of a store.
@@ -54,18 +55,41 @@ def _copy_store(spark: SparkSession, store: str, path: str) -> bool:
 def restore_store(spark: SparkSession, folder: str, store: str) -> bool:
     """Put a snapshot's copy in a store's place; without one, the store stays and the result is False.
 
-    The copy is written beside the store and renamed into its place once it is whole; a failure before that leaves the store as it was.
+    The copy is written beside the store. The store is set aside, the copy takes its name, and only then the old one is deleted; if the
+    copy can't take it, the old one gets it back. Between the two renames the store is missing: for a change that readers see at
+    once, and for tables, use restore_into().
     """
     if not (exists(spark, folder) and _copy_store(spark, f"{folder}/{STORE}", f"{store}.restored")):
         return False
-    new, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{store}.restored", store))
-    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise OSError(f"{store}.restored could not be renamed to {store}")
+    aside = f"{store}.replaced"
+    if not exists(spark, store) and exists(spark, aside):  # an earlier call ended between its renames
+        rename(spark, aside, store)
+    delete(spark, aside)
+    there = exists(spark, store)
+    if there:
+        rename(spark, store, aside)
+    try:
+        rename(spark, f"{store}.restored", store)
+    except OSError:
+        if there:
+            rename(spark, aside, store)
+        raise
+    delete(spark, aside)
     return True
 
 
+def restore_into(warehouse: Warehouse, folder: str, tables: list[str] | None = None) -> int:
+    """Put a snapshot's tables, and its store where it holds one, in the place of a warehouse's, all in one version; returns it.
+
+    A failure before the last step leaves the version that was current whole.
+    """
+    spark = warehouse.spark
+    made = restore(spark, folder, tables)
+    if all(exists(spark, f"{folder}/{STORE}/{part}") for part in STORE_PARTS):
+        made |= {part: spark.read.schema(ddl).parquet(f"{folder}/{STORE}/{part}") for part, ddl in STORE_PARTS.items()}
+    return warehouse.replace(made)
+
+
 def restore(spark: SparkSession, folder: str, tables: list[str] | None = None) -> dict[str, DataFrame]:
     """Tables of a snapshot, parents before children; a table that is missing is empty. Swap them in once all are read.
 

@@ -1,4 +1,5 @@
 import re
+import time
 import unicodedata
 
 import pytest
@@ -7,7 +8,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sheaf.functions import values
-from sheaf.functions.text import normalize_text
+from sheaf.functions.text import normalize_text, tokens
+from sheaf.operators import chunking
 from sheaf.operators.chunking import chunk_metadata, chunk_text, numbered, split_recursively
 
 CASES = [
@@ -97,3 +99,26 @@ def test_debug_flag(spark, value, flag):
 def test_small_functions(spark):
     row = spark.range(1).select(values.gigabytes(F.lit(3 * 2**30)), values.kilobytes(F.lit(1536)), values.iso_text(F.lit("2026-01-02 03:04:05.000600").cast("timestamp_ntz")), values.is_setting(F.lit("chunk_size")), values.keep_or_replace(F.lit(""), F.lit("x"))).first()
     assert list(row) == [3.0, 1.5, "2026-01-02T03:04:05.000600", True, "x"]
+
+
+def test_chunks_of_many_articles_are_made_once_each(spark):
+    """10,000 articles: places are summed below the explode, so neither time nor plan grows with their square."""
+    text = "--- Page 7 ---\n" + "\n".join(f"Điều {i}. x\n1. a {i}\n2. b" for i in range(10_000))
+    docs = spark.createDataFrame([(1, text)], "k long, text string")
+    began = time.time()
+    rows = chunking.chunk_metadata(docs, "k").collect()
+    assert time.time() - began < 60 and len(rows) == 20_000
+    last = max(rows, key=lambda r: r.chunk_index)
+    assert (last.chunk_index, last.page_number, last.start_line, last.dieu, last.khoan) == (19_999, 7, 30_000, "9999", "2")
+    plan = chunking.chunk_text(docs)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan.split("Generate")[0]
+    assert "array_append" not in above
+
+
+def test_a_long_text_goes_through_all_text_operators(spark):
+    text = "Mở đầu\n" + "từ " * 300_000 + "\nĐiều 1. x\n1. y"
+    docs = spark.createDataFrame([(1, text)], "k long, text string")
+    assert [r.content for r in chunking.chunk_text(docs).collect()] == ["Điều 1.\n1. y"]
+    assert docs.select(F.size(tokens(F.col("text"))).alias("n")).first().n == 300_000 + 7
+    assert len(docs.select(normalize_text(F.col("text")).alias("t")).first().t) == len(text) - 1
+    assert chunking.recursive_split(docs, "k").count() > 800
