@@ -29,12 +29,17 @@ SHARP = 4.0
 UNKNOWN = "und"
 #: Texts of one matrix product.
 BATCH = 64
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[b for b in range(128) if not 97 <= _FOLD[b] <= 122]] = 32
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a sign of Unicode category L; numbers such as a superscript or a Roman numeral sign are none, nor are marks."""
+    return bool(text) and any(m.group().isalpha() for m in _WORDLIKE.finditer(text))
+
+
 def presence(text: bytes) -> np.ndarray:
     """Sorted codes of the n-grams that a text holds; A-Z in lower case, other ASCII signs as space."""
     data = _FOLD[np.frombuffer(text, np.uint8)].astype(np.int32)
@@ -103,7 +108,7 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text; UNKNOWN and 0 for a text without a letter. Of languages with one value the first by name is taken."""
-        lettered = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.languages else []
+        lettered = [i for i, t in enumerate(texts) if has_letter(t)] if self.languages else []
         names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if lettered:
             value = self.kernel([presence(texts[i].encode()) for i in lettered]) @ self.weights
@@ -167,7 +172,7 @@ def lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([bool(t and _LETTER.search(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([has_letter(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(kept, docs.schema)
 

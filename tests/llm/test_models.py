@@ -196,3 +196,21 @@ def test_chi_square(p, m):
     steps = np.linspace(0, x, 20001)[1:] - x / 40000
     density = np.exp((m / 2 - 1) * np.log(steps) - steps / 2 - m / 2 * math.log(2) - math.lgamma(m / 2))
     assert density.sum() * x / 20000 == pytest.approx(p, abs=0.02)
+
+
+LETTERLESS = ["²³", "½ 12", "Ⅷ", "́̈", "① ㊂", "__ 9", "\U0001f600", ""]
+
+
+def test_letters_are_those_of_category_l(spark):
+    """The rule of prediction is that of fitting, which Spark's \\p{L} is."""
+    import unicodedata
+
+    from sheaf.llm import langid
+
+    assert not any(map(langid.has_letter, [None, *LETTERLESS])) and all(map(langid.has_letter, ["ª", "ʰ", "²a", "日", "ǅ", "½é"]))
+    signs = [chr(c) for c in range(0x3000) if not 0xD800 <= c < 0xE000]
+    assert [langid.has_letter(c) for c in signs] == [unicodedata.category(c).startswith("L") for c in signs]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*LETTERLESS, "some words here", "more words"])], "doc_id long, text string, lang string")
+    found = langid.identify(docs, langid.fit(docs, F.lit(True)), "text").collect()
+    assert [r.lang_pred for r in sorted(found, key=lambda r: r.doc_id)] == ["und"] * len(LETTERLESS) + ["en"] * 2
+    assert langid.lettered(docs).count() == 2
