@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import matches_any, matches_any_accentless
+from .ranks import RankedTable
+from .trigrams import TrigramIndex
 
 MAX_PAGE = 100
 DEFAULT_PAGE = 20
@@ -56,11 +58,20 @@ def predicate(spec: ListSpec, search: str | None = None, since: Any = None, unti
     return reduce(lambda a, b: a & b, [f for f in found if f is not None], F.lit(True))
 
 
-def page(tables: dict[str, DataFrame], spec: ListSpec, number: int = 1, size: int = DEFAULT_PAGE, **filters: Any) -> DataFrame:
-    """One page, largest order keys first; related rows are joined to the page alone."""
+def page(tables: dict[str, DataFrame], spec: ListSpec, number: int = 1, size: int = DEFAULT_PAGE, trigrams: TrigramIndex | None = None, ranked: RankedTable | None = None, **filters: Any) -> DataFrame:
+    """One page, largest order keys first; related rows are joined to the page alone.
+
+    trigrams: an index over the table's searched columns, which brings the rows that `search` is held against. ranked: the table in the
+    listing's order, for pages far behind the first.
+    """
     if number < 1 or not 1 <= size <= MAX_PAGE:
         raise ValueError(f"pages count from 1 and hold 1 to {MAX_PAGE} rows")
-    rows = tables[spec.table].where(predicate(spec, **filters)).orderBy(*[F.col(c).desc() for c in spec.order]).offset((number - 1) * size).limit(size)
+    if ranked is not None:
+        if ranked.order != spec.order or not ranked.descending:
+            raise ValueError(f"the ranked table must be in the order of {spec.order}, largest first")
+        return label(ranked.slice((number - 1) * size, size, predicate(spec, **filters) if filters else None), tables, spec, few=True)
+    rows = tables[spec.table] if trigrams is None else trigrams.narrow(tables[spec.table], filters.get("search"))
+    rows = rows.where(predicate(spec, **filters)).orderBy(*[F.col(c).desc() for c in spec.order]).offset((number - 1) * size).limit(size)
     return label(rows, tables, spec, few=True)
 
 
@@ -79,9 +90,10 @@ def label(rows: DataFrame, tables: dict[str, DataFrame], spec: ListSpec, few: bo
     return rows.select(*spec.columns) if spec.columns else rows
 
 
-def total(tables: dict[str, DataFrame], spec: ListSpec, **filters: Any) -> DataFrame:
+def total(tables: dict[str, DataFrame], spec: ListSpec, trigrams: TrigramIndex | None = None, **filters: Any) -> DataFrame:
     """How many rows the filters admit: one row, one column."""
-    return tables[spec.table].where(predicate(spec, **filters)).agg(F.count("*").alias("total"))
+    rows = tables[spec.table] if trigrams is None else trigrams.narrow(tables[spec.table], filters.get("search"))
+    return rows.where(predicate(spec, **filters)).agg(F.count("*").alias("total"))
 
 
 def child_counts(parents: DataFrame, children: DataFrame, key: str, ref: str, name: str) -> DataFrame:

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from dataclasses import replace
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from ..functions import values
 from ..operators import listing
 from ..operators.listing import LISTINGS
+from ..operators.ranks import RankedTable
+from ..operators.trigrams import TrigramIndex
 from ..sources.snapshot import export_logs, from_lines, to_lines
-from .base import query, standin, standins, table
+from .base import query, scratch, standin, standins, table
 
 SINCE, UNTIL = "2024-01-05 00:00:00", "2024-12-31 00:00:00"
 
@@ -23,6 +26,49 @@ def _times():
 _RANGE = "created_at >= TIMESTAMP '2024-01-05 00:00:00' AND created_at <= TIMESTAMP '2024-12-31 00:00:00'"
 
 
+#: Patterns with and without wildcards, one of them without three signs in a row.
+_PATTERNS = ("Brass", "st__l", "BRAND#1%x", "dd%ed", "1", "no such thing")
+
+
+@query("q_trigram_search", " UNION ALL ".join(f"SELECT '{x}' AS pattern, id FROM system_functions WHERE name ILIKE '%{x}%' OR code ILIKE '%{x}%' OR module ILIKE '%{x}%'" for x in _PATTERNS))
+def q_trigram_search(spark, sf_dir):
+    """Substring search over three columns by an index of trigrams, which took the table in two batches."""
+    rows = standin(spark, sf_dir, "system_functions")
+    spec = LISTINGS["system_functions"]
+    index = TrigramIndex(spark, scratch(spark, "trigrams"), spec.search)
+    for part in (0, 1):
+        index.append(rows.where(F.col("id") % 2 == part))
+    found = [index.narrow(rows, x).where(listing.predicate(spec, search=x)).select(F.lit(x).alias("pattern"), "id") for x in _PATTERNS]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+RANGE = 1000  # rows of a range, so that there are several at each size
+
+
+def _deep(where: str) -> str:
+    """The page that starts three quarters down."""
+    return f"""SELECT id, status, title FROM (SELECT *, row_number() OVER (ORDER BY id DESC) AS r, count(*) OVER () AS n FROM work_assignment_documents WHERE {where}) AS t
+        WHERE r > n * 3 // 4 // 20 * 20 AND r <= n * 3 // 4 // 20 * 20 + 20"""
+
+
+def _deep_page(spark, sf_dir, **filters):
+    spec = replace(LISTINGS["work_assignment_documents"], columns=("id", "status", "title"), labels=())
+    rows = standin(spark, sf_dir, "work_assignment_documents")
+    ranked = RankedTable.build(rows, scratch(spark, "ranked"), spec.order, range_rows=RANGE)
+    n = sum(c for _, c in ranked.counts(listing.predicate(spec, **filters) if filters else None))
+    return listing.page({}, spec, n * 3 // 4 // 20 + 1, 20, ranked=ranked, **filters)
+
+
+@query("q_deep_page", _deep("TRUE"))
+def q_deep_page(spark, sf_dir):
+    return _deep_page(spark, sf_dir)
+
+
+@query("q_deep_page_filtered", _deep("status = 'O'"))
+def q_deep_page_filtered(spark, sf_dir):
+    return _deep_page(spark, sf_dir, status="O")
+
+
 def _lists(name: str, stem: str, tables: tuple[str, ...], columns: tuple[str, ...], filters, page_sql: str, where_sql: str, order: tuple[str, ...] = ("id",), number: int = 2, size: int = 10):
     """A listing's page and count under q_list_<stem> and q_count_<stem>."""
     spec = replace(LISTINGS[name], columns=columns, order=order)
