@@ -6,7 +6,7 @@ import unicodedata
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,6 +56,15 @@ def matches_any_accentless(pattern: str | None, *columns: Column) -> Column | No
     return matches_any(plain, *[strip_marks(c) for c in columns])
 
 
+#: How the tables compare texts: case, accents and trailing spaces aside.
+COLLATION = "UNICODE_CI_AI_RTRIM"
+
+
 def same_text(a: Column, b: Column) -> Column:
     """Equality that ignores case, accents and trailing spaces."""
-    return F.collate(a, "UNICODE_CI_AI_RTRIM") == F.collate(b, "UNICODE_CI_AI_RTRIM")
+    return F.collate(a, COLLATION) == F.collate(b, COLLATION)
+
+
+def collated(rows: DataFrame, column: str) -> Column:
+    """A column as a key of groups, joins and windows: texts by the tables' collation, others as they are."""
+    return F.collate(F.col(column), COLLATION) if isinstance(rows.schema[column].dataType, T.StringType) else F.col(column)

@@ -62,13 +62,11 @@ def _rules(tables: Tables, name: str) -> mutate.Rules:
 
 
 
-def _mismatched(tables: Tables, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(changes, refused): users whose position belongs to another department than theirs are refused before all else."""
-    if "position_id" not in changes.columns or "department_id" not in changes.columns:
-        return changes, changes.limit(0).withColumn("reason", F.lit("400 position_id"))
-    wrong = position_conflicts(changes.select("id", "position_id", "department_id"), tables["positions"], "position_id", "department_id", "id", "department_id")
+def _mismatched(tables: Tables, changes: DataFrame, judged: DataFrame) -> DataFrame:
+    """Adds _late: the reason of users whose position belongs to another department than theirs, by the rows of `judged`."""
+    wrong = position_conflicts(judged.select("id", "position_id", "department_id"), tables["positions"], "position_id", "department_id", "id", "department_id")
     marked = changes.join(wrong.select(F.col("id").alias("_wrong")).distinct(), F.col("id") == F.col("_wrong"), "left")
-    return marked.where("_wrong is null").drop("_wrong"), marked.where("_wrong is not null").drop("_wrong").withColumn("reason", F.lit("400 position_id"))
+    return marked.withColumn("_late", F.when(F.col("_wrong").isNotNull(), F.lit("400 position_id"))).drop("_wrong")
 
 
 def create(tables: Tables, name: str, rows: DataFrame, now: Column, actor: int | None = None) -> tuple[Tables, DataFrame]:
@@ -84,37 +82,31 @@ def create(tables: Tables, name: str, rows: DataFrame, now: Column, actor: int |
         elif f.name in defaults:
             value = F.coalesce(value, defaults[f.name])
         rows = rows.withColumn(f.name, value.cast(f.dataType))
-    rows, early = _mismatched(tables, rows) if name == "users" else (rows, None)
-    out, refused = mutate.insert(table, rows.select(*table.columns), _rules(tables, name))
-    if early is not None:
-        refused = refused.unionByName(early.select(*refused.columns))
+    rows, late = rows.select(*table.columns), None
+    if name == "users" and {"position_id", "department_id"} <= set(table.columns):
+        rows, late = _mismatched(tables, rows, rows), "_late"
+    out, refused = mutate.insert(table, rows, _rules(tables, name), late)
     return tables | {name: out}, refused
 
 
 def change(tables: Tables, name: str, changes: DataFrame, now: Column, actor: int | None = None) -> tuple[Tables, DataFrame]:
     """New values by id; null leaves a value as it is, but for the columns that a table clears. Rows that change get the time."""
     e, table = ENTITIES[name], tables[name]
-    early = None
+    late = None
     if name == "users" and {"position_id", "department_id"} & set(changes.columns):
         # judged with the values that stay
         old = table.select(F.col("id").alias("_key"), F.col("position_id").alias("_p"), F.col("department_id").alias("_d"))
         both = changes.join(old, F.col("id") == F.col("_key"), "left")
         for c, kept in (("position_id", "_p"), ("department_id", "_d")):
             both = both.withColumn(c, F.coalesce(F.col(c), F.col(kept)) if c in changes.columns else F.col(kept))
-        _, wrong = _mismatched(tables, both.select("id", "position_id", "department_id"))
-        marked = changes.join(wrong.select(F.col("id").alias("_wrong")).distinct(), F.col("id") == F.col("_wrong"), "left")
-        early = marked.where("_wrong is not null").drop("_wrong").withColumn("reason", F.lit("400 position_id"))
-        changes = marked.where("_wrong is null").drop("_wrong")
+        changes, late = _mismatched(tables, changes, both), "_late"
     stamps = {"updated_at": now} if "updated_at" in table.columns else {}
     if e.actor_on_change and e.actor in table.columns:
         stamps[e.actor] = F.lit(actor)
     for c, v in stamps.items():
         changes = changes.withColumn(c, v.cast(table.schema[c].dataType))
-    out, refused = mutate.update(table, changes, _rules(tables, name), tuple(c for c in e.clears if c in changes.columns))
-    refused = refused.drop(*stamps)
-    if early is not None:
-        refused = refused.unionByName(early.select(*refused.columns))
-    return tables | {name: out}, refused
+    out, refused = mutate.update(table, changes, _rules(tables, name), tuple(c for c in e.clears if c in changes.columns), late)
+    return tables | {name: out}, refused.drop(*stamps)
 
 
 def remove(tables: Tables, name: str, keys: DataFrame) -> tuple[Tables, DataFrame]:
@@ -124,7 +116,11 @@ def remove(tables: Tables, name: str, keys: DataFrame) -> tuple[Tables, DataFram
         raise ValueError(f"rows of {name} are never deleted")
     guards = tuple((tables[t], c) for t, c in e.guards if t in tables and c in tables[t].columns)
     out, refused = mutate.delete(tables[name], keys, "id", guards)
-    changed = {name: out} | {t: mutate.cascade(tables[t], out, c) for t, c in e.children if t in tables}
+    removed = tables[name].select("id").join(out.select("id"), "id", "left_anti")
+    changed = {name: out}
+    for t, c in e.children:
+        if t in tables:
+            changed[t] = mutate.without_children(changed.get(t, tables[t]), removed, c)
     return tables | changed, refused
 
 

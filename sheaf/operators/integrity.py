@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import collated
 from ..functions.values import keep_or_replace
 
 
@@ -39,16 +40,17 @@ def position_conflicts(users: DataFrame, positions: DataFrame, position: str, de
 
 
 def duplicates(rows: DataFrame, *keys: str) -> DataFrame:
-    """Keys that occur more than once, with how often; keys with a null part are free."""
+    """Keys that occur more than once by the tables' collation, with how often; keys with a null part are free. Of twins the least is shown."""
     for k in keys:
         rows = rows.where(F.col(k).isNotNull())
-    return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    found = rows.groupBy(*[collated(rows, k).alias(f"_k_{k}") for k in keys]).agg(*[F.min(k).alias(k) for k in keys], F.count("*").alias("n"))
+    return found.where("n > 1").select(*keys, "n")
 
 
 def taken(changes: DataFrame, rows: DataFrame, value: str, key: str) -> DataFrame:
-    """Changes whose value another row (of another key) has already."""
-    other = rows.select(F.col(value).alias("_value"), F.col(key).alias("_key"))
-    return changes.join(other, (F.col(value) == F.col("_value")) & (~F.col(key).eqNullSafe(F.col("_key"))), "left_semi")
+    """Changes whose value another row (of another key) has already, by the tables' collation."""
+    other = rows.select(collated(rows, value).alias("_value"), F.col(key).alias("_key"))
+    return changes.join(other, (collated(changes, value) == F.col("_value")) & (~F.col(key).eqNullSafe(F.col("_key"))), "left_semi")
 
 
 def resolve_identities(claims: DataFrame, users: DataFrame) -> DataFrame:
@@ -57,14 +59,13 @@ def resolve_identities(claims: DataFrame, users: DataFrame) -> DataFrame:
     Adds user_id (null: not provisioned), matched_by and the email to store: the claim's unless empty, else the user's. The
     three columns are unique in users but may be null.
     """
-    out = claims
+    out = claims.withColumn("_row", F.monotonically_increasing_id())
     for by in ("sso_subject", "username", "email"):
-        found = users.where(F.col(by).isNotNull() & (F.col(by) != "")).select(F.col(by).alias(f"_{by}"), F.col("user_id").alias(f"_id_{by}"), F.col("email").alias(f"_email_{by}"))
-        # a claim without a value stays where it is: a null key is not dealt to the task of an equal one
-        out = out.withColumn("_asked", F.nullif(F.col(by), F.lit("")))
-        some = out.where("_asked is not null").join(found, F.col("_asked") == F.col(f"_{by}"), "left")
-        none = out.where("_asked is null").select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema])
-        out = some.unionByName(none).drop("_asked")
+        found = users.where(F.col(by).isNotNull() & (F.col(by) != "")).select(F.col(by).alias(f"_{by}"), F.lit(0).cast("long").alias(f"_salt_{by}"), F.col("user_id").alias(f"_id_{by}"), F.col("email").alias(f"_email_{by}"))
+        # a claim without a value is dealt by its number, so that such claims don't meet in the task of a null key
+        asked = F.nullif(F.col(by), F.lit(""))
+        out = out.withColumn("_asked", F.coalesce(asked, F.lit(""))).withColumn("_salt", F.when(asked.isNull(), F.col("_row") + 1).otherwise(0))
+        out = out.join(found, (F.col("_asked") == F.col(f"_{by}")) & (F.col("_salt") == F.col(f"_salt_{by}")), "left")
     ids = [F.col(f"_id_{by}") for by in ("sso_subject", "username", "email")]
     how = F.when(ids[0].isNotNull(), "sso_subject").when(ids[1].isNotNull(), "username").when(ids[2].isNotNull(), "email")
     old = F.when(ids[0].isNotNull(), F.col("_email_sso_subject")).when(ids[1].isNotNull(), F.col("_email_username")).otherwise(F.col("_email_email"))

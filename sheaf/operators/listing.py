@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import matches_any, matches_any_accentless
+from ..functions.text import matches_any, matches_any_accentless, same_text
 from .ranks import RankedTable
 from .trigrams import TrigramIndex
 
@@ -35,7 +35,7 @@ class ListSpec:
     table: str
     search: tuple[str, ...] = ()
     equal: tuple[str, ...] = ()  # ids and flags: null means no filter
-    equal_text: tuple[str, ...] = ()  # texts: null and empty mean no filter
+    equal_text: tuple[str, ...] = ()  # texts, by the tables' collation: null and empty mean no filter
     like: tuple[str, ...] = ()
     span: str | None = None
     labels: tuple[Label, ...] = ()
@@ -51,7 +51,7 @@ def predicate(spec: ListSpec, search: str | None = None, since: Any = None, unti
     find = matches_any if accents else matches_any_accentless
     found = [find(search, *[F.col(c) for c in spec.search]) if spec.search else None]
     found += [F.col(c) == filters[c] for c in spec.equal if filters.get(c) is not None]
-    found += [F.col(c) == filters[c] for c in spec.equal_text if filters.get(c)]
+    found += [same_text(F.col(c), F.lit(filters[c])) for c in spec.equal_text if filters.get(c)]
     found += [find(filters[c], F.col(c)) for c in spec.like if filters.get(c)]
     if spec.span:
         found += [F.col(spec.span) >= since if since is not None else None, F.col(spec.span) <= until if until is not None else None]

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..functions.text import collated
+
 
 @dataclass(frozen=True)
 class Rules:
@@ -29,12 +31,20 @@ def _refuse_marked(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
 
 
-def _missing(changes: DataFrame, rules: Rules) -> tuple[DataFrame, list[Column]]:
-    reasons = []
+def _lost(changes: DataFrame, rules: Rules, own: bool, late: str | None) -> DataFrame:
+    """Adds _lost: the first reference that leads nowhere, in the order of the rules; own: a parent may not be the row itself. Then `late`."""
+    reasons, parent = [], rules.parent if own and rules.parent in changes.columns else None
     for i, (column, table, key) in enumerate(rules.refs):
         changes = changes.join(table.select(F.col(key).alias(f"_ref{i}")).distinct(), F.col(column) == F.col(f"_ref{i}"), "left")
+        if column == parent:
+            reasons.append(F.when(F.col(parent) == F.col(rules.key), f"400 {parent}"))
+            parent = None
         reasons.append(F.when(F.col(column).isNotNull() & F.col(f"_ref{i}").isNull(), f"404 {column}"))
-    return changes, reasons
+    if parent:
+        reasons.append(F.when(F.col(parent) == F.col(rules.key), f"400 {parent}"))
+    if late:
+        reasons.append(F.col(late))
+    return changes.withColumn("_lost", F.coalesce(*reasons, F.lit(None).cast("string"))).drop(*[f"_ref{i}" for i in range(len(rules.refs))])
 
 
 def _first(changes: DataFrame, key: str) -> DataFrame:
@@ -44,50 +54,59 @@ def _first(changes: DataFrame, key: str) -> DataFrame:
 
 
 def _taken(changes: DataFrame, table: DataFrame, rules: Rules) -> DataFrame:
-    """Adds `reason` where a unique value is another row's, or an earlier change's of those without a reason; a null is free.
+    """Adds to `reason` where a unique value is another row's, or that of a change that is made and has a smaller key; a null is free.
 
-    Columns are settled in turn, so a change that is refused holds no value. Rows without a value are not dealt by it.
+    Values are compared as the tables' collation does. Columns are settled in turn, so a change that is refused holds no value. Rows
+    without a value are not dealt by it.
     """
     for column in rules.unique:
         if column not in changes.columns:
             continue
-        own = table.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_u")).agg(F.min(rules.key).alias("_owner"), F.max(rules.key).alias("_other"))
-        live = F.col("reason").isNull() & F.col(column).isNotNull()
-        rest, rows = changes.where(~live), changes.where(live).join(own, F.col(column) == F.col("_u"), "left")
+        own = table.where(F.col(column).isNotNull()).groupBy(collated(table, column).alias("_u")).agg(F.min(rules.key).alias("_owner"), F.max(rules.key).alias("_other"))
+        value = F.when(F.col("reason").isNull(), collated(changes, column))
+        rows = changes.withColumn("_value", value).join(own, F.col("_value") == F.col("_u"), "left")
         clash = F.coalesce((F.col("_owner") != F.col(rules.key)) | (F.col("_other") != F.col(rules.key)), F.lit(False))
         rows = rows.withColumn("_clash", clash)
-        nth = F.row_number().over(Window.partitionBy(column).orderBy("_clash", rules.key))
-        rows = rows.withColumn("reason", F.when(F.col("_clash") | (nth > 1), f"409 {column}"))
-        changes = rest.unionByName(rows.select(*rest.columns))
+        alone = F.when(F.col("_value").isNull(), F.col(rules.key))
+        winner = F.min(F.when(~F.col("_clash") & F.col("_lost").isNull(), F.col(rules.key))).over(Window.partitionBy("_value", alone))
+        second = F.col("_value").isNotNull() & F.coalesce(F.col(rules.key) > winner, F.lit(False))
+        rows = rows.withColumn("reason", F.coalesce("reason", F.when(F.col("_clash") | second, f"409 {column}")))
+        changes = rows.select(*changes.columns)
     return changes
 
 
-def insert(table: DataFrame, changes: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
+def _judged(table: DataFrame, changes: DataFrame, rules: Rules, new: bool, late: str | None) -> tuple[DataFrame, DataFrame]:
+    """(changes that can be made, refused ones)."""
+    shown = [c for c in changes.columns if c != late]
+    held = table.select(F.col(rules.key).alias("_held")).distinct()
+    checked = _lost(_first(changes, rules.key).join(held, F.col(rules.key) == F.col("_held"), "left"), rules, not new, late)
+    there = F.col("_held").isNotNull()
+    early = [F.when(F.col(rules.key).isNull(), f"400 {rules.key}"), F.when(there, f"409 {rules.key}") if new else F.when(~there, f"404 {rules.key}"), F.when(F.col("_again"), f"409 {rules.key}")]
+    judged = _taken(checked.select(*shown, "_lost", F.coalesce(*early).alias("reason")), table, rules)
+    return _refuse_marked(judged.select(*shown, F.coalesce("reason", "_lost").alias("reason")))
+
+
+def insert(table: DataFrame, changes: DataFrame, rules: Rules, late: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(new table, refused changes with a reason).
 
-    A change is refused if its key is there already or comes again, if a reference leads nowhere, or if a unique value is taken;
-    the first that applies is the reason. Refused changes hold no value: of the others with one value the smallest key wins.
+    A change is refused if its key is null, is there already or comes again, if a unique value is taken, if a reference leads nowhere, or
+    for what the column `late` says; the first that applies is the reason. Refused changes hold no value: of the others with one value
+    the smallest key wins.
     """
-    held = table.select(F.col(rules.key).alias("_held")).distinct()
-    checked, lost = _missing(_first(changes, rules.key).join(held, F.col(rules.key) == F.col("_held"), "left"), rules)
-    early = F.coalesce(F.when(F.col("_held").isNotNull() | F.col("_again"), f"409 {rules.key}"), *lost, F.lit(None).cast("string"))
-    ok, refused = _refuse_marked(_taken(checked.select(*changes.columns, early.alias("reason")), table, rules))
+    ok, refused = _judged(table, changes, rules, True, late)
     return table.unionByName(ok.select(*table.columns)), refused
 
 
-def update(table: DataFrame, changes: DataFrame, rules: Rules, clears: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def update(table: DataFrame, changes: DataFrame, rules: Rules, clears: tuple[str, ...] = (), late: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Changes hold the key and new values; null leaves a value as it is, but for the columns in `clears`.
 
-    One change of a key is made; others of that key, changes of rows that are not there, of references that lead nowhere and of
-    unique values that are taken are refused. A value that a change gives up is free only afterwards.
+    One change of a key is made; others of that key, changes of rows that are not there, of unique values that are taken, of references
+    that lead nowhere, and those with a reason in the column `late` are refused, for the first of these. A value that a change gives up
+    is free only afterwards.
     """
     rules = Rules(rules.key, tuple(c for c in rules.unique if c in changes.columns), tuple(r for r in rules.refs if r[0] in changes.columns), rules.parent)
-    held = table.select(F.col(rules.key).alias("_held")).distinct()
-    checked, lost = _missing(_first(changes, rules.key).join(held, F.col(rules.key) == F.col("_held"), "left"), rules)
-    own = [F.when(F.col(rules.parent) == F.col(rules.key), f"400 {rules.parent}")] if rules.parent in changes.columns else []
-    early = F.coalesce(F.when(F.col("_held").isNull(), f"404 {rules.key}"), F.when(F.col("_again"), f"409 {rules.key}"), *own, *lost)
-    ok, refused = _refuse_marked(_taken(checked.select(*changes.columns, early.alias("reason")), table, rules))
-    names = [c for c in changes.columns if c != rules.key]
+    ok, refused = _judged(table, changes, rules, False, late)
+    names = [c for c in changes.columns if c not in (rules.key, late)]
     new = ok.select(F.col(rules.key).alias("_key"), F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in names])
     rows = table.join(new, F.col(rules.key) == F.col("_key"), "left")
     for c in names:
@@ -111,6 +130,11 @@ def cascade(children: DataFrame, parents: DataFrame, ref: str, key: str = "id")
     return children.join(parents.select(F.col(key).alias("_key")), F.col(ref) == F.col("_key"), "left_semi").unionByName(children.where(F.col(ref).isNull()))
 
 
+def without_children(children: DataFrame, removed: DataFrame, ref: str, key: str = "id") -> DataFrame:
+    """Children but for those of the removed parents; what hung on no parent before stays."""
+    return children.join(removed.select(F.col(key).alias("_key")), F.col(ref) == F.col("_key"), "left_anti")
+
+
 def replace_links(links: DataFrame, changes: DataFrame, owner: str) -> DataFrame:
     """All links of the owners in changes give way to theirs."""
     return links.join(changes.select(owner).distinct(), owner, "left_anti").select(*links.columns).unionByName(changes.select(*links.columns))

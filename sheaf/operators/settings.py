@@ -36,4 +36,4 @@ def log_detail(query_params: Column, elapsed_ms: Column) -> Column:
 
 def logged(requests: DataFrame, quiet: tuple[str, ...]) -> DataFrame:
     """Requests that are logged: all but those of quiet paths."""
-    return requests.where(~F.col("path").isin(*quiet)) if quiet else requests
+    return requests.where(~F.coalesce(F.col("path").isin(*quiet), F.lit(False))) if quiet else requests

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import integrity, mutate
-from .base import query, standin, standins
+from ..operators import entities, integrity, mutate
+from ..streaming.sessions import SESSIONS, follow_sessions, login_rows_of
+from ..streaming.sinks import BatchSink
+from .base import query, scratch, standin, standins, table
 
 
 @query("q_in_use_units", "SELECT id, name FROM issuing_units AS u WHERE EXISTS (SELECT 1 FROM departments AS d WHERE d.issuing_unit_id = u.id AND d.id < 12)")
@@ -67,6 +69,25 @@ def q_login_sessions(spark, sf_dir):
     return integrity.close_sessions(rows.where("id % 2 = 0").select("id", "session_id", "login_at"), closed)
 
 
+_OPEN_AND_CLOSED = """
+    SELECT o.id, o.session_id, o.login_at, c.logout_at FROM (SELECT * FROM login_history WHERE id % 2 = 0) AS o
+    LEFT JOIN (SELECT concat('s', CAST(id - id % 3 AS STRING)) AS session_id, max(login_at) AS logout_at FROM login_history WHERE id % 2 = 1 GROUP BY ALL) AS c ON o.session_id = c.session_id"""
+
+
+@query("q_login_sessions_stream", _OPEN_AND_CLOSED)
+def q_login_sessions_stream(spark, sf_dir):
+    """The rows of q_login_sessions from a stream of opens and closes, by keyed state."""
+    events = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events*.parquet")
+    shut = F.col("event_id") % 2 == 1
+    named = F.when(shut, F.col("event_id") - F.col("event_id") % 3).otherwise(F.col("event_id"))
+    rows = stream.select(F.concat(F.lit("s"), named.cast("string")).alias("session_id"), F.when(shut, "close").otherwise("open").alias("event"), F.col("event_id").alias("id"), F.col("ts").alias("at"))
+    folder = scratch(spark, "sessions")
+    sink = BatchSink(spark, f"{folder}/rows", "all", SESSIONS)
+    follow_sessions(rows, sink, f"{folder}/checkpoint").awaitTermination()
+    return login_rows_of(sink).select("id", "session_id", "login_at", "logout_at")
+
+
 def _new_departments(spark, sf_dir):
     d = standin(spark, sf_dir, "departments")
     return d, d.select((F.col("id") + 20).alias("id"), F.expr("CASE WHEN id % 6 = 0 THEN code ELSE concat('X', CAST(id % 9 AS STRING)) END").alias("code"), "name", F.expr("CASE WHEN id % 5 = 1 THEN 77 ELSE issuing_unit_id END").alias("issuing_unit_id"), F.lit(None).cast("long").alias("parent_id"), "is_active")
@@ -75,10 +96,15 @@ def _new_departments(spark, sf_dir):
 _NEW = """SELECT id + 20 AS id, CASE WHEN id % 6 = 0 THEN code ELSE concat('X', CAST(id % 9 AS STRING)) END AS code, CASE WHEN id % 5 = 1 THEN 77 ELSE issuing_unit_id END AS issuing_unit_id FROM departments"""
 
 
-@query("q_insert_rejects", f"""
-    WITH early AS (SELECT *, CASE WHEN id IN (SELECT id FROM departments) THEN '409 id' WHEN issuing_unit_id NOT IN (SELECT id FROM issuing_units) THEN '404 issuing_unit_id' END AS why FROM ({_NEW}) AS n),
-    late AS (SELECT e.id, e.code, CASE WHEN o.id IS NOT NULL OR row_number() OVER (PARTITION BY e.code ORDER BY o.id IS NOT NULL, e.id) > 1 THEN '409 code' END AS why FROM early AS e LEFT JOIN departments AS o ON e.code = o.code WHERE e.why IS NULL)
-    SELECT id, code, why AS reason FROM early WHERE why IS NOT NULL UNION ALL SELECT id, code, why FROM late WHERE why IS NOT NULL""")
+def _rejects(new: str, table: str, unique: str, refs: str) -> str:
+    """SQL for the refused rows (id, reason) of new rows; refs: a CASE for references that lead nowhere, or for what comes after them."""
+    same = lambda c: f"lower(strip_accents(rtrim({c})))"  # noqa: E731  what the tables' collation compares
+    return f"""SELECT id, coalesce(early, CASE WHEN clash OR id > min(id) FILTER (early IS NULL AND NOT clash AND lost IS NULL) OVER (PARTITION BY u, early IS NULL) THEN '409 {unique}' END, lost) AS reason FROM (
+        SELECT n.id, {same(f"n.{unique}")} AS u, CASE WHEN n.id IN (SELECT id FROM {table}) THEN '409 id' END AS early, {same(f"n.{unique}")} IN (SELECT {same(unique)} FROM {table}) AS clash, {refs} AS lost FROM ({new}) AS n) AS r
+        QUALIFY reason IS NOT NULL"""
+
+
+@query("q_insert_rejects", "SELECT r.id, n.code, reason FROM (" + _rejects(_NEW, "departments", "code", "CASE WHEN n.issuing_unit_id NOT IN (SELECT id FROM issuing_units) THEN '404 issuing_unit_id' END") + f") AS r JOIN ({_NEW}) AS n ON r.id = n.id")
 def q_insert_rejects(spark, sf_dir):
     d, new = _new_departments(spark, sf_dir)
     rules = mutate.Rules(unique=("code",), refs=(("issuing_unit_id", standin(spark, sf_dir, "issuing_units"), "id"),))
@@ -128,3 +154,54 @@ def q_replace_links(spark, sf_dir):
 def q_toggle(spark, sf_dir):
     users = standin(spark, sf_dir, "users").select("id", "is_active")
     return mutate.toggle(users, users.where("id % 4 = 0").select("id"), "is_active", own=8)
+
+
+#: New rows with twins by case, accent and trailing blank among themselves and in the table, references that lead nowhere, and ids that are there.
+_NEW_POSITIONS = """SELECT CASE WHEN id % 17 = 0 THEN id ELSE id + 100000 END AS id, CASE id % 4 WHEN 0 THEN concat(lower(code), '  ') WHEN 1 THEN concat('É', CAST(id % 50 AS STRING)) WHEN 2 THEN concat('e', CAST(id % 50 AS STRING), ' ') ELSE concat('n', CAST(id AS STRING)) END AS code,
+    name, CASE WHEN id % 5 = 0 THEN 777 ELSE department_id END AS department_id FROM positions"""
+_NEW_USERS = """SELECT id + 1000000 AS id, CASE WHEN id % 9 = 0 THEN upper(username) ELSE concat('new', CAST(id % 700 AS STRING)) END AS username, permission_group_id,
+    CASE WHEN id % 8 = 0 THEN 99 ELSE department_id END AS department_id, CASE WHEN id % 6 = 0 THEN 5000 WHEN id % 2 = 0 THEN NULL ELSE position_id END AS position_id FROM users"""
+_USER_REFS = """CASE WHEN n.department_id NOT IN (SELECT id FROM departments) THEN '404 department_id' WHEN n.position_id NOT IN (SELECT id FROM positions) THEN '404 position_id'
+    WHEN n.department_id <> (SELECT p.department_id FROM positions AS p WHERE p.id = n.position_id) THEN '400 position_id' END"""
+
+
+@query("q_entity_create", "SELECT 'positions' AS entity, id, reason FROM (" + _rejects(_NEW_POSITIONS.replace("STRING", "VARCHAR"), "positions", "code", "CASE WHEN n.department_id NOT IN (SELECT id FROM departments) THEN '404 department_id' END")
+       + ") AS p UNION ALL SELECT 'users', id, reason FROM (" + _rejects(_NEW_USERS.replace("STRING", "VARCHAR"), "users", "username", _USER_REFS) + ") AS u")
+def q_entity_create(spark, sf_dir):
+    """Refused new positions and users, by the rules of their tables."""
+    t = standins(spark, sf_dir, "positions", "users", "departments", "permission_groups")
+    t["users"] = t["users"].select("id", "username", "permission_group_id", "department_id", "position_id")
+    out = []
+    for name, sql in (("positions", _NEW_POSITIONS), ("users", _NEW_USERS)):
+        new = spark.sql(sql.replace(f"FROM {name}", "FROM {rows}"), rows=t[name])
+        out.append(entities.create(t, name, new, F.lit("2026-01-01").cast("timestamp_ntz"))[1].select(F.lit(name).alias("entity"), "id", "reason"))
+    return out[0].unionByName(out[1])
+
+
+@query("q_entity_remove", """
+    SELECT 'departments' AS what, id, CASE WHEN id > 24 THEN '404 id' ELSE '400 in use' END AS reason FROM (SELECT id FROM departments UNION ALL SELECT id + 20 FROM departments WHERE id + 20 > 24) AS d
+    WHERE id > 24 OR id IN (SELECT parent_id FROM departments WHERE parent_id IS NOT NULL) OR id IN (SELECT department_id FROM positions) OR id IN (SELECT department_id FROM users)
+    UNION ALL SELECT 'items left', count(*), CAST(sum(part_id) AS VARCHAR) FROM (SELECT *, CASE WHEN id % 10 = 3 THEN NULL ELSE work_document_id END AS w FROM work_items) AS i
+    WHERE w IS NULL OR w NOT IN (SELECT id FROM work_assignment_documents WHERE status = 'F')""")
+def q_entity_remove(spark, sf_dir):
+    """Departments that may not go, and the items that are left when documents go: those of others, and those of none."""
+    t = standins(spark, sf_dir, "departments", "positions", "users", "work_assignment_documents", "work_items")
+    t["work_items"] = t["work_items"].withColumn("work_document_id", F.expr("CASE WHEN id % 10 <> 3 THEN work_document_id END"))
+    asked = t["departments"].select("id").unionByName(t["departments"].where("id + 20 > 24").select((F.col("id") + 20).alias("id")))
+    alone = {n: t[n] for n in ("departments", "positions", "users")}
+    refused = entities.remove(alone, "departments", asked)[1].select(F.lit("departments").alias("what"), "id", "reason")
+    left = entities.remove({n: t[n] for n in ("work_assignment_documents", "work_items")}, "work_assignment_documents", t["work_assignment_documents"].where("status = 'F'").select("id"))[0]["work_items"]
+    return refused.unionByName(left.agg(F.lit("items left").alias("what"), F.count("*").alias("id"), F.sum("part_id").cast("string").alias("reason")))
+
+
+@query("q_taken", f"""
+    WITH claims AS ({_CLAIMS} FROM users) SELECT c.claim_id, c.username FROM claims AS c WHERE EXISTS (SELECT 1 FROM users AS u WHERE lower(rtrim(u.username)) = lower(rtrim(c.username)) AND u.id <> c.claim_id)
+    UNION ALL SELECT id, concat(username, ' ') FROM users WHERE id % 4 = 1""")
+def q_taken(spark, sf_dir):
+    """Names of other users, among claims and among names that differ by a trailing blank from another's."""
+    users = standin(spark, sf_dir, "users")
+    claims = spark.sql(f"{_CLAIMS} FROM {{users}}", users=users).select("claim_id", "username")
+    late = users.where("id % 4 = 1").select((F.col("id") + 5_000_000).alias("claim_id"), F.concat(F.lower("username"), F.lit(" ")).alias("username"))
+    found = integrity.taken(claims.unionByName(late), users.withColumnRenamed("id", "claim_id"), "username", "claim_id")
+    small = F.col("claim_id") >= 5_000_000
+    return found.select(F.when(small, F.col("claim_id") - 5_000_000).otherwise(F.col("claim_id")).alias("claim_id"), F.when(small, F.replace("username", F.lit("customer"), F.lit("Customer"))).otherwise(F.col("username")).alias("username"))

@@ -14,6 +14,7 @@ from ..operators.listing import LISTINGS
 from ..operators.ranks import RankedTable
 from ..operators.trigrams import TrigramIndex
 from ..sources.snapshot import export_logs, from_lines, to_lines
+from ..streaming.requests import RequestLog
 from .base import query, scratch, standin, standins, table
 
 SINCE, UNTIL = "2024-01-05 00:00:00", "2024-12-31 00:00:00"
@@ -190,6 +191,28 @@ def q_log_elapsed(spark, sf_dir):
     return rows.groupBy("action").agg(F.count("*").alias("requests"), F.avg("_e").alias("mean_elapsed_ms"), F.max("_e").alias("max_elapsed_ms"))
 
 
+@query("q_request_log", """
+    SELECT action, user_id % 5 AS who, count(*) AS requests, sum(round(value * 1000, 2)) AS total_ms, sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS asked FROM (
+        SELECT *, concat('GET /', event_type) AS action FROM events WHERE event_id % 10 <> 0 AND event_id % 17 <> 3) AS r GROUP BY ALL""")
+def q_request_log(spark, sf_dir):
+    """What the log says of requests that a stream wrote, one batch of it twice; a tenth is quiet, and a seventeenth can't be logged."""
+    events = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events*.parquet")
+
+    def requests(rows):
+        path = F.when(F.col("event_id") % 10 == 0, "/health").otherwise(F.concat(F.lit("/"), "event_type"))
+        query_text = F.when(F.col("event_id") % 17 == 3, F.lit("{no")).otherwise(F.col("props"))
+        return rows.select(F.col("event_id").alias("id"), F.lit("GET").alias("method"), path.alias("path"), query_text.alias("query"), F.col("user_id").cast("string").alias("subject"), F.lit("10.0.0.1").alias("ip_address"), F.lit(200).alias("status_code"), F.col("value").alias("elapsed"), F.col("ts").alias("at"))
+
+    folder = scratch(spark, "requests")
+    log = RequestLog(spark, folder)
+    log.start(requests(stream), f"{folder}/checkpoint").awaitTermination()
+    log.write(requests(events), 0)  # the first batch, which held all, comes again
+    detail = F.from_json("detail", "query_params map<string,string>, elapsed_ms double")
+    rows = log.logs().select("action", (F.col("user_id") % 5).alias("who"), detail.alias("d"))
+    return rows.groupBy("action", "who").agg(F.count("*").alias("requests"), F.sum("d.elapsed_ms").alias("total_ms"), F.sum(F.col("d.query_params")["k"].cast("long")).alias("asked"))
+
+
 @query("q_api_key_preview", "SELECT s_suppkey AS id, sha256(s_name) AS key_hash, concat(substr(sha256(s_name), 1, 8), '...') AS key_preview FROM supplier")
 def q_api_key_preview(spark, sf_dir):
     rows = standin(spark, sf_dir, "api_keys").select("id", values.sha256_hex(F.col("name")).alias("key_hash"))

@@ -3,7 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from sheaf.operators import entities
+from sheaf.operators import entities, mutate
 from sheaf.sources.schemas import schema
 
 
@@ -93,3 +93,50 @@ def test_login_rows(spark):
     attempts = spark.createDataFrame([(1, "a", None, "s", None), (2, "b", "sso", "t", "inactive")], "user_id long, username string, login_type string, session_id string, reason string")
     rows = entities.login_rows(attempts.withColumn("at", now()).withColumn("ip_address", F.lit("::1"))).collect()
     assert [(r.user_id, r.login_type, r.status, r.detail) for r in rows] == [(1, "local", "success", None), (None, "sso", "failed", "inactive")]
+
+
+def units(spark, rows):
+    return spark.createDataFrame(rows, "id long, code string, name string, parent_id long")
+
+
+def test_reasons_come_in_order_and_twins_are_refused(spark):
+    """Key, then taken values, then references; refused changes hold no value; values are compared as the tables' collation does."""
+    table = units(spark, [(1, "Aé", "x", None), (2, "B", "y", 1)])
+    rules = mutate.Rules(unique=("code",), refs=(("parent_id", table, "id"),), parent="parent_id")
+    new = units(spark, [(None, "q", "n", None), (None, "r", "n", None), (1, "z", "n", None), (3, "aE ", "n", 99), (4, "new", "n", 99), (5, "NEW", "n", 1), (6, "new ", "n", None), (7, "néw", "n", 99), (8, None, "n", None), (9, None, "n", 99)])
+    out, refused = mutate.insert(table, new, rules)
+    assert sorted((r.id or 0, r.reason) for r in refused.collect()) == [(0, "400 id"), (0, "400 id"), (1, "409 id"), (3, "409 code"), (4, "404 parent_id"), (6, "409 code"), (7, "409 code"), (9, "404 parent_id")]
+    assert sorted(r.id for r in out.collect()) == [1, 2, 5, 8]
+    changes = units(spark, [(1, "b", None, 1), (2, "b ", None, 2), (50, "k", None, None)])
+    refused = {r.id: r.reason for r in mutate.update(table, changes, rules)[1].collect()}
+    assert refused == {1: "409 code", 2: "400 parent_id", 50: "404 id"}
+
+
+def test_parents_are_judged_after_earlier_references(spark):
+    table = spark.createDataFrame([(1, "a", 1, None)], "id long, code string, unit_id long, parent_id long")
+    rules = mutate.Rules(refs=(("unit_id", spark.range(1, 2).toDF("id"), "id"), ("parent_id", table, "id")), parent="parent_id")
+    changes = spark.createDataFrame([(1, None, 9, 1)], table.schema)
+    assert [r.reason for r in mutate.update(table, changes, rules)[1].collect()] == ["404 unit_id"]
+
+
+def test_children_of_none_and_of_others_stay(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "id long, document_code string")
+    items = spark.createDataFrame([(1, 1), (2, 2), (3, None), (4, 77)], "id long, work_document_id long")
+    tables, refused = entities.remove({"work_assignment_documents": docs, "work_items": items}, "work_assignment_documents", spark.range(1, 2).toDF("id"))
+    assert sorted(r.id for r in tables["work_items"].collect()) == [2, 3, 4] and refused.count() == 0
+
+
+def test_plans_do_not_double_with_unique_columns(spark, tmp_path):
+    """One scan of the changes for all unique columns, one of the claims for all ways to a user."""
+    from sheaf.operators.integrity import resolve_identities
+
+    spark.range(5).selectExpr("id", "'a' AS a", "'b' AS b", "'c' AS c").write.parquet(str(tmp_path / "changes"))
+    spark.range(5).selectExpr("id + 9 AS id", "'x' AS a", "'y' AS b", "'z' AS c").write.parquet(str(tmp_path / "rows"))
+    changes, rows = spark.read.parquet(str(tmp_path / "changes")), spark.read.parquet(str(tmp_path / "rows"))
+    _, refused = mutate.insert(rows, changes, mutate.Rules(unique=("a", "b", "c")))
+    plan = refused._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 + 1 + 3  # the changes, the table's keys, and its values of each column
+    claims = changes.selectExpr("id AS claim_id", "a AS sso_subject", "b AS username", "c AS email")
+    people = rows.selectExpr("id AS user_id", "a AS sso_subject", "b AS username", "c AS email")
+    plan = resolve_identities(claims, people)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 + 3
