@@ -37,13 +37,22 @@ def raw_idf(n: Column, df: Column) -> Column:
 def count_terms(chunks: DataFrame, key: str, text: str, tokenize: Callable[[Column], Column]) -> DataFrame:
     """Rows id, length, runs (term, tf): the terms of each chunk, counted within its row by the lengths of runs in sorted tokens."""
     rows = chunks.select(F.col(key).alias("id"), F.array_sort(tokenize(F.col(text))).alias("_t"))
-    # where a run of equal tokens starts, with the end of the row as the last
-    edges = F.filter(F.transform("_t", lambda t, i: F.when((i == 0) | (t != F.get("_t", i - 1)), i)), lambda i: i.isNotNull())
-    rows = rows.select("id", F.size("_t").alias("length"), "_t", edges.alias("_e"))
-    runs = F.transform("_e", lambda e, i: F.struct(F.get("_t", e).alias("term"), (F.coalesce(F.get("_e", i + 1), F.col("length")) - e).cast("long").alias("tf")))
+    # where a run of equal tokens starts. Columns are named twice in each step: what stands once in a lambda is made for each element
+    starts = F.transform("_t", lambda t, i: F.when((i == 0) | (t != F.get("_t", i - 1)), F.struct(i.alias("i"), t.alias("t"))))
+    rows = rows.select("id", F.size("_t").alias("length"), F.filter(starts, lambda x: x.isNotNull()).alias("_e"))
+    runs = F.transform("_e", lambda e, i: F.struct(e["t"].alias("term"), (F.coalesce(F.get("_e", i + 1)["i"], F.col("length")) - e["i"]).cast("long").alias("tf")))
     return rows.select("id", "length", runs.alias("runs"))
 
 
+def postings_of(counted: DataFrame) -> DataFrame:
+    """Rows id, term, length, tf of count_terms().
+
+    An inner explode would let Spark ask whether there are runs below the steps that make them, and so make them anew for each element.
+    """
+    rows = counted.select("id", "length", F.explode_outer("runs").alias("_r")).where("_r is not null")
+    return rows.select("id", "_r.term", "length", "_r.tf")
+
+
 @dataclass(frozen=True)
 class KeywordIndex:
     """postings (id, term, tf, length, and shard where they are saved), terms (term, df, idf) and corpus (n, avg_length): the last has one row."""
@@ -60,7 +69,7 @@ class KeywordIndex:
         """
         rows = count_terms(chunks, key, text, tokenize)
         corpus = rows.agg(F.count("*").alias("n"), (F.sum("length") / F.count("*")).alias("avg_length"))
-        postings = rows.select("id", "length", F.explode("runs").alias("_r")).select("id", "_r.term", "length", "_r.tf")
+        postings = postings_of(rows)
         raw = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus))  # one row
         raw = raw.select("term", "df", raw_idf(F.col("n"), F.col("df")).alias("raw_idf"))
         mean = raw.agg(F.avg("raw_idf").alias("mean_idf"))

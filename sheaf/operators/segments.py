@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..sources.versions import Versions
-from .search import EPSILON, SHARDS, KeywordIndex, count_terms, raw_idf, shard_of
+from .search import EPSILON, SHARDS, KeywordIndex, count_terms, postings_of, raw_idf, shard_of
 
 #: The tables of a segment: what they hold is said by the DDL of each, {id} being the type of the chunks' key.
 POSTINGS = "id {id}, term string, length int, tf long, shard int"
@@ -84,8 +84,7 @@ class SegmentedIndex:
     def _finish(self, counted: DataFrame, kind: str, folder: str, base: int, held: dict, batch: str, instead: bool) -> bool:
         path = f"{self.versions.path}/{folder}"
         counted.select("id", "length").write.parquet(f"{path}/chunks")
-        postings = counted.select("id", F.explode("runs").alias("_r"), "length").select("id", "_r.term", "length", "_r.tf")
-        postings = postings.withColumn("shard", shard_of(F.col("term")))
+        postings = postings_of(counted).withColumn("shard", shard_of(F.col("term")))
         postings.repartition("shard").sortWithinPartitions("shard", "term", "id").write.partitionBy("shard").parquet(f"{path}/postings")
         self.spark.read.schema(POSTINGS.format(id=kind)).parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{path}/terms")
         n, length = self.spark.read.schema(CHUNKS.format(id=kind)).parquet(f"{path}/chunks").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()

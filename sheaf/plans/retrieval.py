@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import answer, nearest, search
+from ..operators.blocks import BlockIndex
 from ..operators.search import KeywordIndex
 from ..operators.segments import SegmentedIndex
 from .base import query, scratch, table
@@ -67,6 +68,23 @@ def q_index_append(spark, sf_dir):
     return search.bm25_topk(index.index(), list(QUERY), 10).withColumn("score", F.round("score", 6))
 
 
+#: Questions by number, and the SQL of what each asks for.
+QUERIES_ASKED = (QUERY, ("ndre", "of"), ("the",), ("Dingsda", "none at all"), ("of", "of", "and", "the", "ndre"))
+_MANY_SQL = _BM25_SQL[: _BM25_SQL.index("    q AS (")] + f"""
+    q AS (SELECT query_id, w, count(*) AS times FROM (VALUES {", ".join(f"({i}, '{w}')" for i, q in enumerate(QUERIES_ASKED) for w in q)}) v(query_id, w) GROUP BY ALL),
+    sc AS (SELECT query_id, tf.doc_id, list_reduce(list(times * idf * f * 2.5::DOUBLE / (f + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)) ORDER BY w), lambda a, b: a + b) AS s FROM q JOIN idf USING (w) JOIN tf USING (w) JOIN dl ON dl.doc_id = tf.doc_id, st GROUP BY query_id, tf.doc_id),
+    best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS kw_rank FROM sc QUALIFY kw_rank <= 10)
+    SELECT query_id, doc_id AS id, round(s / max(s) OVER (PARTITION BY query_id), 6) AS score, kw_rank FROM best WHERE s > 0"""
+
+
+@query("q_bm25_topk_many", _MANY_SQL)
+def q_bm25_topk_many(spark, sf_dir):
+    """The ten best documents of several questions at once, from blocks of postings with early stop."""
+    index = KeywordIndex.build(table(spark, sf_dir, "documents"), "doc_id", "text").save(scratch(spark, "index"))
+    asked = spark.createDataFrame([(i, list(q)) for i, q in enumerate(QUERIES_ASKED)], "query_id int, terms array<string>")
+    return BlockIndex.build(index, scratch(spark, "blocks")).search(asked, 10).withColumn("score", F.round("score", 6))
+
+
 @query("q_vector_search", f"WITH {_NEAR_SQL} SELECT id, round(distance, 6) AS distance FROM near")
 def q_vector_search(spark, sf_dir):
     vectors, asked = _vectors(spark, sf_dir)
