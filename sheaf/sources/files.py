@@ -90,23 +90,39 @@ def read_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame([], CHUNKS), spark.createDataFrame([], VECTORS)
 
 
-def unstored(rows: DataFrame, path: str, ddl: str) -> DataFrame:
-    """Rows whose chunk_id a table does not hold; of the table only ids are read, and only those of these rows may move."""
+def unstored(rows: DataFrame, path: str, ddl: str, value: str | None = None) -> DataFrame:
+    """Rows, one for each chunk_id, that a table does not hold; ids may be null, and such rows are all kept.
+
+    value: an id that stands for two values of this column, among the rows or here and there, is an error: ids are
+    hashes, and the later chunk would be lost without a word. Of the table the ids are read, and the values only where ids are there
+    already, as after a batch that failed midway.
+    """
     spark = rows.sparkSession
-    if not exists(spark, path):
-        return rows
-    own = rows.select("chunk_id").distinct()
-    held = spark.read.schema(ddl).parquet(path).select("chunk_id").join(own, "chunk_id", "left_semi")
-    return rows.join(held, "chunk_id", "left_anti")
+    keyed = rows.where("chunk_id is not null")
+    mark = F.sha2(F.col(value).cast("binary"), 256).alias("_mark") if value else F.lit(None).alias("_mark")
+    marked = keyed.select("chunk_id", mark)
+    if exists(spark, path):
+        own = keyed.select("chunk_id").distinct()
+        held = spark.read.schema(ddl).parquet(path).join(own, "chunk_id", "left_semi")
+        if value and not held.select("chunk_id").isEmpty():
+            marked = marked.unionByName(held.select("chunk_id", mark))
+        rows = rows.join(held.select("chunk_id"), "chunk_id", "left_anti")
+    if value:
+        torn = marked.groupBy("chunk_id").agg(F.min("_mark").alias("a"), F.max("_mark").alias("b")).where("a <> b").select("chunk_id").head(1)
+        if torn:
+            raise ValueError(f"a chunk_id stands for more than one {value}: {torn[0].chunk_id}")
+    once = rows.where("chunk_id is not null").dropDuplicates(["chunk_id"])
+    return once.unionByName(rows.where("chunk_id is null"))
 
 
 def append_store(chunks: DataFrame, vectors: DataFrame, path: str) -> None:
-    """Append chunks and their vectors, but for those whose id is there, so that a batch that failed midway can be appended again.
+    """Append chunks and their vectors, each id once, but for those that are there, so that a batch that failed midway can be appended again.
 
-    Ids may be null; such rows are always appended. Derived term tables must be built anew afterwards.
+    Ids may be null; such rows are always appended. Nothing is written if an id stands for two contents. Vectors aren't compared: an
+    encoder may give a chunk another one each time, and the first stays. Derived term tables must be built anew afterwards.
     """
-    chunks = chunks.select("chunk_id", "content", "metadata")
-    unstored(chunks, f"{path}/chunks", CHUNKS).write.mode("append").parquet(f"{path}/chunks")
+    chunks = unstored(chunks.select("chunk_id", "content", "metadata"), f"{path}/chunks", CHUNKS, "content")
+    chunks.write.mode("append").parquet(f"{path}/chunks")
     vectors = vectors.select("chunk_id", F.col("vector").cast("array<float>").alias("vector"))
     unstored(vectors, f"{path}/vectors", VECTORS).write.mode("append").parquet(f"{path}/vectors")
 

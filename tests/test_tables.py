@@ -70,6 +70,22 @@ def test_snapshot(spark, tmp_path):
     assert files.folder_size(spark, folder).first().files >= 1 and files.folder_size(spark, f"{tmp_path}/none").first().files == 0
 
 
+def test_an_append_holds_each_id_once_and_refuses_two_contents(spark, tmp_path):
+    store = str(tmp_path / "store")
+    chunks = lambda *rows: spark.createDataFrame([(i, c, {}) for i, c in rows], schemas.CHUNKS)
+    vectors = lambda *ids: spark.createDataFrame([(i, [float(n)]) for n, i in enumerate(ids)], schemas.VECTORS)
+    files.append_store(chunks((1, "a"), (1, "a"), (2, "b"), (None, "x"), (None, "x")), vectors(1, 1, 2, None), store)
+    kept, points = files.read_store(spark, store)
+    assert sorted((r.chunk_id or 0, r.content) for r in kept.collect()) == [(0, "x"), (0, "x"), (1, "a"), (2, "b")]
+    assert sorted(r.chunk_id or 0 for r in points.collect()) == [0, 1, 2]
+    for bad in (((2, "other"), (3, "c")), ((4, "d"), (4, "e"))):
+        with pytest.raises(ValueError, match="more than one content"):
+            files.append_store(chunks(*bad), vectors(*[i for i, _ in bad]), store)
+        assert files.read_store(spark, store)[0].count() == 4
+    files.append_store(chunks((2, "b"), (3, None)), vectors(2, 3), store)
+    assert files.read_store(spark, store)[0].count() == 5
+
+
 def test_store_in_snapshots(spark, tmp_path):
     store, kept = str(tmp_path / "store"), str(tmp_path / "kept")
     chunks = lambda *ids: spark.createDataFrame([(i, f"c{i}", {}) for i in ids], schemas.CHUNKS)
