@@ -10,17 +10,26 @@ from ..streaming.sinks import BatchSink
 from .base import query, scratch, standin, standins, table
 
 
-@query("q_in_use_units", "SELECT id, name FROM issuing_units AS u WHERE EXISTS (SELECT 1 FROM departments AS d WHERE d.issuing_unit_id = u.id AND d.id < 12)")
+@query("q_in_use_units", "SELECT id, name FROM issuing_units AS u WHERE EXISTS (SELECT 1 FROM issuing_units AS c WHERE c.parent_id = u.id)")
 def q_in_use_units(spark, sf_dir):
-    t = standins(spark, sf_dir, "issuing_units", "departments")
-    return integrity.in_use(t["issuing_units"], "id", (t["departments"].where("id < 12"), "issuing_unit_id")).select("id", "name")
+    """Units that other units hang on."""
+    t = standins(spark, sf_dir, "issuing_units")
+    return integrity.in_use(t["issuing_units"], "id", (t["issuing_units"], "parent_id")).select("id", "name")
 
 
-@query("q_deletable_units", "SELECT id, name FROM departments AS u WHERE NOT EXISTS (SELECT 1 FROM departments AS d WHERE d.parent_id = u.id) AND NOT EXISTS (SELECT 1 FROM positions AS p WHERE p.department_id = u.id AND p.is_active AND p.id % 7 = 0)")
+@query("q_deletable_units", "SELECT id, name FROM departments AS u WHERE NOT EXISTS (SELECT 1 FROM departments AS d WHERE d.parent_id = u.id) AND NOT EXISTS (SELECT 1 FROM positions AS p WHERE p.department_id = u.id AND NOT p.is_active)")
 def q_deletable_units(spark, sf_dir):
-    """Departments without children and without any of the active positions whose number is a multiple of seven: some are left at each size."""
+    """Departments without children and without positions that were given up."""
     t = standins(spark, sf_dir, "departments", "positions")
-    return integrity.deletable(t["departments"], "id", (t["departments"], "parent_id"), (t["positions"].where("is_active and id % 7 = 0"), "department_id")).select("id", "name")
+    return integrity.deletable(t["departments"], "id", (t["departments"], "parent_id"), (t["positions"].where("not is_active"), "department_id")).select("id", "name")
+
+
+@query("q_deletable_functions", """SELECT id, name FROM system_functions AS f WHERE NOT EXISTS (SELECT 1 FROM permission_group_functions AS p WHERE p.function_id = f.id)
+    AND NOT EXISTS (SELECT 1 FROM work_items AS w WHERE w.part_id = f.id AND w.status = 'R')""")
+def q_deletable_functions(spark, sf_dir):
+    """Functions that no group may use and no returned item names."""
+    t = standins(spark, sf_dir, "system_functions", "permission_group_functions", "work_items")
+    return integrity.deletable(t["system_functions"], "id", (t["permission_group_functions"], "function_id"), (t["work_items"].where("status = 'R'"), "part_id")).select("id", "name")
 
 
 @query("q_missing_refs", """

@@ -13,11 +13,11 @@ from .base import query, table
 
 #: Documents hold no articles, so lines get headers by their number; and some noise to be cleaned.
 _LINED = """SELECT doc_id, array_join(transform(split(text, '\n'), (l, i) -> CASE WHEN i % 7 = 2 THEN concat('Điều ', i, '. ', l) WHEN i % 7 = 4 THEN concat(i, '. ', l) WHEN i % 7 = 6 THEN concat('Khoản ', i, ' ', l) ELSE l END), '\n') AS text FROM {docs}"""
-_LINED_SQL = """SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l, i: CASE WHEN (i - 1) % 7 = 2 THEN 'Điều ' || (i - 1) || '. ' || l WHEN (i - 1) % 7 = 4 THEN (i - 1) || '. ' || l WHEN (i - 1) % 7 = 6 THEN 'Khoản ' || (i - 1) || ' ' || l ELSE l END), chr(10)) AS text FROM documents WHERE text <> ''"""
+_LINED_SQL = """SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l, i: CASE WHEN (i - 1) % 7 = 2 THEN 'Điều ' || (i - 1) || '. ' || l WHEN (i - 1) % 7 = 4 THEN (i - 1) || '. ' || l WHEN (i - 1) % 7 = 6 THEN 'Khoản ' || (i - 1) || ' ' || l ELSE l END), chr(10)) AS text FROM documents"""
 
 
 def _lined(spark, sf_dir):
-    return spark.sql(_LINED, docs=table(spark, sf_dir, "documents").where("text <> ''"))
+    return spark.sql(_LINED, docs=table(spark, sf_dir, "documents"))
 
 
 _CHUNKS_SQL = f"""
@@ -25,7 +25,7 @@ _CHUNKS_SQL = f"""
     {{steps}}
 """
 _CHUNK_STEPS = r"""
-    parts AS (SELECT doc_id, text, string_split(regexp_replace(text, '(?mi)^(Điều\s+\d+[:.]?)', chr(1) || '\1', 'g'), chr(1)) AS a FROM lined),
+    parts AS (SELECT doc_id, text, string_split(regexp_replace(text, '(?mi)^(Điều\s+\d+[:.]?)', chr(1) || '\1', 'g'), chr(1)) AS a FROM lined WHERE text <> ''),
     articles AS (SELECT doc_id, text, true AS whole, 1 AS an, 0 AS ao, text AS article FROM parts WHERE len(a) = 1
                  UNION ALL SELECT doc_id, text, false, i, coalesce(list_sum(list_transform(a[:i - 1], lambda x: len(x))), 0), trim(a[i], chr(10) || ' ' || chr(13) || chr(9)) FROM (SELECT *, unnest(range(2, len(a) + 1)) AS i FROM parts WHERE len(a) > 1)),
     clauses AS (SELECT *, CASE WHEN whole THEN '' ELSE regexp_extract(article, '(?mi)^(Điều\s+\d+[:.]?)', 1) END AS header,
