@@ -24,12 +24,11 @@ def q_deletable_units(spark, sf_dir):
     return integrity.deletable(t["departments"], "id", (t["departments"], "parent_id"), (t["positions"].where("not is_active"), "department_id")).select("id", "name")
 
 
-@query("q_deletable_functions", """SELECT id, name FROM system_functions AS f WHERE NOT EXISTS (SELECT 1 FROM permission_group_functions AS p WHERE p.function_id = f.id)
-    AND NOT EXISTS (SELECT 1 FROM work_items AS w WHERE w.part_id = f.id AND w.status = 'R')""")
+@query("q_deletable_functions", "SELECT id, name FROM system_functions AS f WHERE NOT EXISTS (SELECT 1 FROM permission_group_functions AS p WHERE p.function_id = f.id)")
 def q_deletable_functions(spark, sf_dir):
-    """Functions that no group may use and no returned item names."""
-    t = standins(spark, sf_dir, "system_functions", "permission_group_functions", "work_items")
-    return integrity.deletable(t["system_functions"], "id", (t["permission_group_functions"], "function_id"), (t["work_items"].where("status = 'R'"), "part_id")).select("id", "name")
+    """Functions that no group may use."""
+    t = standins(spark, sf_dir, "system_functions", "permission_group_functions")
+    return integrity.deletable(t["system_functions"], "id", (t["permission_group_functions"], "function_id")).select("id", "name")
 
 
 @query("q_missing_refs", """
