@@ -27,8 +27,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Splits text before the merges, as the tokenizer's file asks for.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Buckets in which the pieces of one length are numbered.
-BUCKETS = 256
+#: Pieces of one length that are numbered by one task, in the mean.
+BUCKET_ROWS = 5_000
 
 
 def byte_signs() -> dict[str, int]:
@@ -161,17 +161,18 @@ def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int
 def pack(items: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ()) -> DataFrame:
     """Add sequence_id and offset to rows with a column `length` (long, 1 to capacity), packing each row into one sequence.
 
-    order: columns that tell rows of one length apart; rows alike in them may change places. items is read twice
+    order: columns that tell rows of one length apart; rows alike in them may change places. items is read three times
     and should be a written table. A row whose length is null or out of range raises an error.
     """
     spark = items.sparkSession
-    bucket = F.pmod(F.xxhash64(*order) if order else F.xxhash64("length", F.monotonically_increasing_id()), F.lit(BUCKETS)).cast("int")
-    rows = items.withColumn("_bucket", bucket)
-    # at most capacity x BUCKETS rows
-    counted = rows.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
-    histogram = {r[0]: r[1] for r in counted.groupBy("length").agg(F.sum("_n")).collect()}
+    histogram = {r[0]: r[1] for r in items.groupBy("length").count().collect()}  # a row for each length
     if any(x is None or not 0 < x <= capacity for x in histogram):
         raise ValueError(f"lengths must be from 1 to {capacity}")
+    # a length has a bucket for each BUCKET_ROWS of its pieces, so that full pieces, a large share of all, are spread as rare ones are not
+    buckets = F.array(*[F.lit(-(-histogram.get(x, 1) // BUCKET_ROWS)).cast("long") for x in range(capacity + 1)])
+    mixed = F.xxhash64(*order) if order else F.xxhash64("length", F.monotonically_increasing_id())
+    rows = items.withColumn("_bucket", F.pmod(mixed, F.get(buckets, F.col("length").cast("int"))))
+    counted = rows.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     plan, first, used = [], 0, dict.fromkeys(histogram, 0)
     for times, taken in plan_bins(histogram, capacity):
         at = 0

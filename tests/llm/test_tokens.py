@@ -8,6 +8,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from trouble import documents, empty, texts
 
@@ -103,6 +104,19 @@ def test_fullest_is_fullest(counts, room):
     assert all(k <= counts[x] for x, k in taken.items())
 
 
+def test_numbering_is_spread_by_the_pieces_of_a_length(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_ROWS", 10)
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, 8).otherwise(F.col("id") % 7 + 1).cast("long").alias("length"))
+    out = packing.pack(rows, 8, ("id",))
+    found = out.collect()
+    assert sorted(r.id for r in found) == list(range(3000))
+    by = defaultdict(list)
+    for r in found:
+        by[r.sequence_id].append((r.offset, r.length))
+    assert all(sum(n for _, n in own) <= 8 and [o for o, _ in sorted(own)] == [0, *np.cumsum([n for _, n in sorted(own)])[:-1]] for own in by.values())
+    assert sorted(by) == list(range(len(by)))
+
+
 def test_lengths_out_of_range(spark):
     with pytest.raises(ValueError):
         packing.pack(spark.createDataFrame([(2000,)], "length long"), 1024)
