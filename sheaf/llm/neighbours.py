@@ -6,6 +6,9 @@ distance, leaf by leaf, and verifies their true distance. Squared projected dist
 chi-square law, so the search stops once a vector nearer than the k-th best so far would be as far in projection as what
 comes next with a probability of 1 - sure at most. A query starts in its own cell and carries its k-th best to the others;
 those that the same test rules out never get it.
+
+Of equal vectors a query can only be answered with those of the k + 1 smallest ids (its own may be one), so no others are indexed: ids of one
+vector are ranked where they are read first, so that a vector that a third of all rows have never meets in one task.
 """
 
 from __future__ import annotations
@@ -195,6 +198,16 @@ def fitted(data: DataFrame, m: int, seed: int, block: int) -> Plan:
     return Plan({d: np.stack(p) for d, p in sample.items()}, rate, m, seed, block)
 
 
+def foremost(data: DataFrame, n: int) -> DataFrame:
+    """Of the rows (id, v) of one vector those of the n smallest ids, each once.
+
+    A filter on a rank: Spark drops what can't stay before it shuffles as well as after.
+    """
+    rank = F.dense_rank().over(Window.partitionBy("_h", "v").orderBy("id"))
+    kept = data.withColumn("_h", F.xxhash64("v")).withColumn("_rank", rank).where(F.col("_rank") <= n)
+    return kept.dropDuplicates(["_h", "v", "id"]).select("id", "v")
+
+
 def searched(rows: DataFrame, k: int, m: int, bound: float, seed: int) -> DataFrame:
     """Up to k nearest of each query in each block (query_id, near, score) for rows d, cell, sub, q, id, v, kth: vectors, and after them queries."""
     key = ["d", "cell", "sub"]
@@ -235,13 +248,15 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_c
 
     queries has the same columns as vectors. A query passes over rows of its own id; rows that repeat an id count
     once, by the smallest vector of a cell and the nearest of several cells. Rows without an id, or whose vector is null, empty, zero,
-    or holds null or non-finite components take no part. All rows are indexed; the cells alone are fitted on a sample. Empty tables
+    or holds null or non-finite components take no part. All rows are indexed, but for those whose vector k + 1 smaller ids have, which can't be
+    among the k nearest of any query; the cells alone are fitted on a sample. Empty tables
     give an empty result; other columns are ignored.
     """
     spark = vectors.sparkSession
     small_batches(spark)
     ok = valid(vec_col) & F.col(id_col).isNotNull()
-    data = vectors.where(ok).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    data = vectors.where(ok).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
+    data = write_table(foremost(data, k + 1), "near-vectors").select("id", F.col("v").cast("array<double>").alias("v"))
     asked = queries.where(ok).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).groupBy("id").agg(F.min("v").alias("v"))
     plan = fitted(data, m, seed, block)
     bound, sent = chi_square_quantile(sure, m), spark.sparkContext.broadcast(plan)  # cells are bounded by the sample

@@ -167,6 +167,27 @@ def test_neighbours_trouble(spark):
     assert neighbours.nearest_neighbours(nothing, nothing).count() == 0 == neighbours.nearest_neighbours(table, nothing).count()
 
 
+def test_neighbours_of_a_vector_that_many_rows_have(spark):
+    rng = np.random.default_rng(3)
+    hub = [1.0, 2.0, 0.0, -3.0]
+    rows = [(i, hub if i % 3 else [float(x) for x in rng.standard_normal(4) * 3]) for i in range(3000)] + [(1, hub)] * 40
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    kept = neighbours.foremost(table.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 11)
+    assert sorted(r.id for r in kept.where(F.col("v") == F.array(*map(F.lit, hub))).collect()) == [i for i in range(17) if i % 3]
+    assert kept.count() == 1000 + 11
+    # the limit stands below the shuffle as well as above
+    plan = kept._jdf.queryExecution().optimizedPlan().toString() + kept._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan[plan.index("Exchange") :]
+    found = neighbours.nearest_neighbours(table, table.where("vec_id % 100 = 0 or vec_id = 2"), block=100).collect()
+    ids, x = np.arange(3000), np.array([r[1] for r in rows[:3000]])
+    for q in {r.query_id for r in found}:
+        dist = np.sqrt(np.cumsum((x - x[q]) ** 2, axis=1)[:, -1])
+        order = np.lexsort((ids, dist))
+        expected = order[order != q][:10].tolist()
+        assert [r.vec_id for r in sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)] == expected
+    assert {r.query_id for r in found} == {2, *range(0, 3000, 100)}
+
+
 def test_neighbours_prune_cells(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "CELL", 4)
     rng = np.random.default_rng(3)
