@@ -92,3 +92,14 @@ def test_a_replayed_batch_adds_nothing_and_a_partial_one_is_not_read(spark, tmp_
     with pytest.raises(Exception, match="down"):
         log.write(broken, 2)
     assert log.logs().count() == 2
+
+
+def test_sessions_are_kept_in_a_bounded_number_of_groups(spark, tmp_path):
+    """Python is called for each group, not for each session."""
+    rows = [(f"s{i}", e, i if e == "open" else None, at(i % 50 + (e == "close"))) for i in range(1, sessions.BUCKETS * 4) for e in ("open", "close")[: 1 + i % 2]]
+    sink = sinks.BatchSink(spark, str(tmp_path / "out"), "s", sessions.SESSIONS)
+    feed(spark, tmp_path, 0, rows, sessions.EVENTS)
+    followed = sessions.follow_sessions(stream(spark, tmp_path, sessions.EVENTS), sink, f"{tmp_path}/checkpoint")
+    followed.awaitTermination()
+    assert sorted((r.id, r.session_id, r.login_at, r.logout_at) for r in sessions.login_rows_of(sink).collect()) == expected(spark, [rows])
+    assert 0 < max(o["numRowsTotal"] for p in followed.recentProgress for o in p["stateOperators"]) <= sessions.BUCKETS
