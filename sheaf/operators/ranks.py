@@ -11,9 +11,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window
 
-#: Rows of a range, on average.
-RANGE_ROWS = 200_000
+#: Rows of a range, on average; ranges, each a task and a folder that the driver hears of, up to which they are made as small as asked for; and the
+#: rows up to which they grow in place of their number.
+RANGE_ROWS, RANGES, RANGE_MOST = 200_000, 1024, 2_000_000
 
 
 @dataclass(frozen=True)
@@ -31,9 +33,13 @@ class RankedTable:
 
     @classmethod
     def build(cls, rows: DataFrame, path: str, order: tuple[str, ...], descending: bool = True, range_rows: int = RANGE_ROWS) -> RankedTable:
-        """Write rows in order. The order should end with a unique column: rows alike in all of it stay in one range."""
+        """Write rows in order. The order should end with a unique column: rows alike in all of it stay in one range.
+
+        range_rows is kept while that makes no more than RANGES ranges; beyond, ranges hold more rows, up to RANGE_MOST.
+        """
         made = cls(rows.sparkSession, path, tuple(order), T.StructType([*rows.schema, T.StructField("_range", T.IntegerType())]), descending)
-        n = max(1, -(-rows.count() // range_rows))
+        count = rows.count()
+        n = max(1, min(-(-count // range_rows), max(RANGES, -(-count // RANGE_MOST))))
         placed = rows.repartitionByRange(n, *made._by()).withColumn("_range", F.spark_partition_id())
         placed.sortWithinPartitions("_range", *made._by()).write.mode("overwrite").partitionBy("_range").parquet(f"{path}/rows")
         made.rows().groupBy("_range").agg(F.count("*").alias("_rows")).coalesce(1).write.mode("overwrite").parquet(f"{path}/counts")
@@ -48,7 +54,10 @@ class RankedTable:
         return sorted((r[0], r[1]) for r in found.select("_range", "_rows").collect())
 
     def slice(self, offset: int, size: int, where: Column | None = None) -> DataFrame:
-        """`size` rows from `offset` on, in order; only the ranges that hold them are read."""
+        """`size` rows from `offset` on, in order; only the ranges that hold them are read.
+
+        Rows are numbered within their range, so that no more than the page leaves it.
+        """
         before, read = 0, []
         for number, n in self.counts(where):
             if before + n > offset and before < offset + size:
@@ -57,5 +66,6 @@ class RankedTable:
         rows = self.rows().where(F.col("_range").isin([r for r, _ in read]))
         if where is not None:
             rows = rows.where(where)
-        first = read[0][1] if read else offset
-        return rows.drop("_range").orderBy(*self._by()).offset(offset - first).limit(size)
+        before = F.coalesce(*[F.when(F.col("_range") == r, F.lit(n)) for r, n in read], F.lit(0))
+        at = before + F.row_number().over(Window.partitionBy("_range").orderBy(*self._by()))
+        return rows.withColumn("_at", at).where((F.col("_at") > offset) & (F.col("_at") <= offset + size)).drop("_range", "_at").orderBy(*self._by())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions.text import matches_any
 from sheaf.operators import listing, trigrams
+from sheaf.operators import ranks
 from sheaf.operators.ranks import RankedTable
 from sheaf.operators.trigrams import TrigramIndex, literal_runs, pattern_grams
 
@@ -92,3 +93,13 @@ def test_pages_over_ranges(spark, tmp_path):
         assert [tuple(r) for r in ranked.slice(offset, size).collect()] == expected[offset : offset + size]
         assert [tuple(r) for r in ranked.slice(offset, size, F.col("a") != 2).collect()] == [r for r in expected if r[0] != 2][offset : offset + size]
     assert RankedTable.build(table.limit(0), str(tmp_path / "b"), ("id",)).counts() == []
+
+
+def test_ranges_grow_in_place_of_their_number(spark, tmp_path, monkeypatch):
+    """A page comes from ranges numbered within themselves, however many rows were asked for in a range."""
+    monkeypatch.setattr(ranks, "RANGES", 4)
+    ranked = RankedTable.build(spark.range(1000).select("id"), str(tmp_path), ("id",), range_rows=10)
+    assert len(ranked.counts()) == 4
+    page = ranked.slice(600, 20)
+    assert [r.id for r in page.collect()] == list(range(399, 379, -1))
+    assert "TakeOrdered" not in page._jdf.queryExecution().executedPlan().toString()  # which sends all rows before the page
