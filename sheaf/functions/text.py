@@ -6,23 +6,35 @@ import unicodedata
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import small_batches
+
 
 @F.pandas_udf(T.StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Canonical composition; Spark has no function for it."""
+def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+def nfc(text: Column) -> Column:
+    """Canonical composition; Spark has no function for it. Texts go to Python in small batches."""
+    small_batches(SparkSession.active())
+    return _nfc(text)
+
+
 @F.pandas_udf(T.StringType())
-def strip_marks(text: pd.Series) -> pd.Series:
-    """Text without combining marks, for accent-insensitive search with wildcards."""
+def _strip_marks(text: pd.Series) -> pd.Series:
     return text.map(lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn"), na_action="ignore")
 
 
+def strip_marks(text: Column) -> Column:
+    """Text without combining marks, for accent-insensitive search with wildcards."""
+    small_batches(SparkSession.active())
+    return _strip_marks(text)
+
+
 def tidy(text: Column) -> Column:
     """Control signs go (but line feed, return and tab), blanks become one space, line breaks one line feed, ends are trimmed."""
     text = F.regexp_replace(text, r"[\p{C}&&[^\n\r\t]]", "")

@@ -12,9 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes of one Arrow batch that goes to Python; texts can be long, so these are far below Spark's defaults.
-BATCH_ROWS = 512
-BATCH_BYTES = 8 << 20
+from ..functions.batches import BATCH_BYTES, BATCH_ROWS, small_batches  # noqa: F401  operators take them from here
+
 #: SQL: a table `crc` of one row whose list `t` has the 256 remainders of CRC-32, for crc32_sql().
 CRC32_SQL = "crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, s: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
 
@@ -68,14 +67,6 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches to BATCH_ROWS rows and BATCH_BYTES bytes at most in this session; a longer row goes alone."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = spark.conf.get(key).rstrip("b")
-        if not now.isdigit() or not 0 < int(now) <= most:
-            spark.conf.set(key, str(most))
-
-
 def parts(spark: SparkSession) -> int:
     """Partitions of an explicit shuffle: the session's setting."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

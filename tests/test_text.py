@@ -122,3 +122,9 @@ def test_a_long_text_goes_through_all_text_operators(spark):
     assert docs.select(F.size(tokens(F.col("text"))).alias("n")).first().n == 300_000 + 7
     assert len(docs.select(normalize_text(F.col("text")).alias("t")).first().t) == len(text) - 1
     assert chunking.recursive_split(docs, "k").count() > 800
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    normalize_text(F.col("t"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512
