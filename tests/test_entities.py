@@ -140,3 +140,12 @@ def test_plans_do_not_double_with_unique_columns(spark, tmp_path):
     people = rows.selectExpr("id AS user_id", "a AS sso_subject", "b AS username", "c AS email")
     plan = resolve_identities(claims, people)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == 1 + 3
+
+
+def test_children_of_none_are_not_dealt_by_their_null(spark):
+    """They would all go to one task."""
+    children = spark.range(0, 400, 1, 4).select("id", F.expr("CASE WHEN id % 10 = 0 THEN id END").alias("p"))
+    plan = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString()
+    left = mutate.without_children(children, spark.range(0, 200, 20), "p")
+    assert sorted(r.id for r in left.collect()) == [i for i in range(400) if not (i % 20 == 0 and i < 200)]
+    assert plan(left).startswith("Union")  # those of none pass by the join
