@@ -31,7 +31,7 @@ _HYBRID_SQL = f"""{_BM25_SQL}, {_NEAR_SQL},
 
 
 def _index(spark, sf_dir):
-    return KeywordIndex.build(table(spark, sf_dir, "documents"), "doc_id", "text").persist()
+    return KeywordIndex.build(table(spark, sf_dir, "documents"), "doc_id", "text").keep_counts()
 
 
 def _vectors(spark, sf_dir):
@@ -80,7 +80,7 @@ _MANY_SQL = _BM25_SQL[: _BM25_SQL.index("    q AS (")] + f"""
 @query("q_bm25_topk_many", _MANY_SQL)
 def q_bm25_topk_many(spark, sf_dir):
     """The ten best documents of several questions at once, from blocks of postings with early stop."""
-    index = KeywordIndex.build(table(spark, sf_dir, "documents"), "doc_id", "text").save(scratch(spark, "index"))
+    index = KeywordIndex.build(table(spark, sf_dir, "documents"), "doc_id", "text").keep_counts()
     asked = spark.createDataFrame([(i, list(q)) for i, q in enumerate(QUERIES_ASKED)], "query_id int, terms array<string>")
     return BlockIndex.build(index, scratch(spark, "blocks")).search(asked, 10).withColumn("score", F.round("score", 6))
 
