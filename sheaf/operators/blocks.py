@@ -8,7 +8,7 @@ bm25_topk(), ties included.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +16,8 @@ from pyspark.sql import Window
 
 from .search import B, K1, KeywordIndex, shard_of
 
+#: Terms of queries up to which the blocks that they name are read alone.
+NAMED = 10_000
 #: Chunks of a window, and windows of a query that are searched first.
 WINDOW = 256
 FIRST = 4
@@ -41,17 +43,24 @@ class BlockIndex:
     def build(cls, index: KeywordIndex, path: str) -> BlockIndex:
         """Write blocks below a path, sorted by term in folders by its hash."""
         spark = index.postings.sparkSession
-        chunks = index.postings.select("id", "length").distinct()
+        index.counted().write.mode("overwrite").parquet(f"{path}/counted")  # once: ranges are found by a sample
         # places in the order of lengths: windows are runs of them within a partition
-        placed = chunks.repartitionByRange("length", "id").sortWithinPartitions("length", "id").withColumn("_at", F.monotonically_increasing_id())
-        placed.select("id", F.floor(F.col("_at") / WINDOW).alias("window")).write.mode("overwrite").parquet(f"{path}/windows")
-        windows = spark.read.parquet(f"{path}/windows")
+        placed = spark.read.parquet(f"{path}/counted").repartitionByRange("length", "id").sortWithinPartitions("length", "id").withColumn("_at", F.monotonically_increasing_id())
+        postings = placed.select("id", "length", F.floor(F.col("_at") / WINDOW).alias("window"), F.explode("runs").alias("_r")).select("id", "length", "window", "_r.term", "_r.tf")
         held = F.array_sort(F.collect_list(F.struct("id", "tf", "length")))  # WINDOW at most
-        blocks = index.postings.select("id", "term", "tf", "length").join(windows, "id").groupBy("term", "window").agg(F.max("tf").alias("best_tf"), F.min("length").alias("least_length"), held.alias("held"))
-        blocks = blocks.withColumn("shard", shard_of(F.col("term")))
-        blocks.repartition("shard").sortWithinPartitions("shard", "term", "window").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/blocks")
+        # postings move once: blocks are made where their folder is written
+        blocks = postings.withColumn("shard", shard_of(F.col("term"))).repartition("shard").groupBy("shard", "term", "window").agg(F.max("tf").alias("best_tf"), F.min("length").alias("least_length"), held.alias("held"))
+        blocks.sortWithinPartitions("shard", "term", "window").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/blocks")
         return cls(spark, spark.read.parquet(f"{path}/blocks"), index.terms, index.corpus)
 
+    def of(self, queries: DataFrame) -> BlockIndex:
+        """This index with the blocks of the terms of queries alone, named so that no other files are read, if they are few."""
+        words = [r[0] for r in queries.select(F.explode("terms").alias("t")).where("t is not null").distinct().limit(NAMED + 1).collect()]
+        if len(words) > NAMED:
+            return self
+        shards = [r[0] for r in self.spark.createDataFrame([(w,) for w in words], "t string").select(shard_of(F.col("t"))).distinct().collect()]
+        return replace(self, blocks=self.blocks.where(F.col("shard").isin(shards) & F.col("term").isin(words)))
+
     def asked(self, queries: DataFrame) -> DataFrame:
         """Rows query_id, term, weight of queries (query_id, terms); a term counts as often as the query repeats it."""
         words = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
@@ -86,8 +95,9 @@ class BlockIndex:
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         """The k best chunks of each query: query_id, id, score (over the query's greatest), kw_rank; those above 0, ties by id."""
         asked = self.asked(queries)
-        first, rest = self.plan(asked, k)
-        found = _best(self.scores(asked, first.unionByName(rest)), k)
+        some = self.of(queries)
+        first, rest = some.plan(asked, k)
+        found = _best(some.scores(asked, first.unionByName(rest)), k)
         top = F.max("score").over(Window.partitionBy("query_id"))
         return found.where("score > 0").select("query_id", "id", (F.col("score") / top).alias("score"), "kw_rank")
 
