@@ -50,7 +50,7 @@ def normalize_text(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Words between white space. A segmenter for another language may take its place."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda t: t != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), "")
 
 
 def matches_any(pattern: str | None, *columns: Column) -> Column | None:

@@ -1,6 +1,10 @@
+from collections import Counter
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from sheaf.operators import segments
 from sheaf.operators.search import KeywordIndex, bm25_topk
 from sheaf.operators.segments import SegmentedIndex
 from sheaf.sources import versions
@@ -81,3 +85,32 @@ def test_saved_index_gives_the_same(spark, tmp_path):
     saved = index.save(str(tmp_path / "i"))
     assert found(saved) == found(index) == found(KeywordIndex.load(spark, str(tmp_path / "i")))
     assert saved.postings.agg(F.count("*")).first()[0] == index.postings.count()
+
+
+def test_an_append_keeps_a_row_for_a_term_of_many_chunks(spark, tmp_path, monkeypatch):
+    s, rows = SegmentedIndex(spark, str(tmp_path)), [(i, " ".join(WORDS) if i else "") for i in range(300)]
+    s.append(chunks(spark, rows).coalesce(2), "a")
+    held = spark.read.parquet(*map(str, tmp_path.glob("data/segment-*/blocks")))
+    words = held.where("term is not null")
+    assert words.agg(F.sum("n")).first()[0] == 299 * len(WORDS) and words.count() <= 2 * len(WORDS)  # two tasks
+    assert held.where("term is null").agg(F.sum("n")).first()[0] == 300  # the empty one too
+    monkeypatch.setattr(segments, "SENT_IDS", 0)  # ids that go meet the postings by a shuffle
+    s.remove(chunks(spark, rows[:100]).select("chunk_id"), "b")
+    assert tables(s.index()) == tables(fresh(spark, rows[100:]))
+
+
+def test_blocks_hold_every_token_within_their_bounds(monkeypatch):
+    monkeypatch.setattr(segments, "BLOCK_TOKENS", 40)
+    monkeypatch.setattr(segments, "BLOCK_CHUNKS", 9)
+    texts = {i: t.split() for i, t in ROWS}
+    batches = [pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array([len(texts[i]) for i in k], pa.int32()), pa.array([texts[i] for i in k], pa.list_(pa.string()))], ["id", "length", "_t"]) for k in ([], *(list(texts)[x : x + 3] for x in range(0, 80, 3)))]
+    made = list(segments._invert(iter(batches)))
+    assert len(made) > 8
+    found, held = Counter(), []
+    for rows in (b.to_pylist() for b in made):
+        assert [r["term"] for r in rows[:-1]] == sorted({r["term"] for r in rows[:-1]}) and rows[-1]["term"] is None
+        assert all(r["n"] == len(r["ids"]) == len(r["lengths"]) == len(r["tfs"]) <= 11 for r in rows)
+        held += zip(rows[-1]["ids"], rows[-1]["lengths"], strict=True)
+        found.update({(i, r["term"], n): tf for r in rows[:-1] for i, n, tf in zip(r["ids"], r["lengths"], r["tfs"], strict=True)})
+    assert sorted(held) == [(i, len(t)) for i, t in texts.items()]
+    assert found == Counter((i, w, len(t)) for i, t in texts.items() for w in t)
