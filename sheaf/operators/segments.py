@@ -31,7 +31,7 @@ TERMS = "term string, df long"
 GONE = "id {id}"
 CHUNK_FOLDERS = 16
 #: Tokens and chunks of which a task makes blocks at once; those of one more Arrow batch may join them.
-BLOCK_TOKENS, BLOCK_CHUNKS = 1 << 20, 1 << 13
+BLOCK_TOKENS, BLOCK_CHUNKS = 1 << 21, 1 << 13
 #: Removed ids up to which they are sent to all tasks; more meet the postings by a shuffle.
 SENT_IDS = 1_000_000
 
