@@ -141,7 +141,11 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([presence(t).tobytes() for t in batch.column(2).to_pylist()], pa.binary())], ["lang", "_mark", "codes"])
 
     found = sorted((r["lang"], r["_mark"], bytes(r["codes"])) for r in drawn.drop("_rank").mapInArrow(seen, "lang string, _mark long, codes binary").collect())
-    return Model([np.frombuffer(c, np.int32) for _, _, c in found], [lang for lang, _, _ in found], landmarks)
+    model = Model([np.frombuffer(c, np.int32) for _, _, c in found], [lang for lang, _, _ in found], landmarks)
+    del found
+    Slots.clear()  # of the driver
+    trim()
+    return model
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

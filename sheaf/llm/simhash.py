@@ -219,6 +219,12 @@ def links(values: DataFrame, max_bits: int, group: int | None = None) -> DataFra
     return dealt.mapInArrow(linked, "u long, v long").distinct()
 
 
+def each(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """Rows (u, v) of the named pairs of columns, all made of each row: a union would have the plan of rows once for each pair."""
+    made = F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs])
+    return rows.select(F.explode(made).alias("_e")).select("_e.*")
+
+
 def stars(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """Columns u, root: each linked value but the smallest of its group, with that smallest value.
 
@@ -234,10 +240,10 @@ def stars(edges: DataFrame, rounds: int = 50) -> DataFrame:
     pairs = write_table(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     before = state(pairs)
     for _ in range(rounds):
-        both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = each(pairs, ("u", "v"), ("v", "u"))
         large = salted_lookup(both, least(both), ["u"], "v").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         found = salted_lookup(large, least(large), ["u"], "v")
-        small = found.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(found.select("u", F.col("m").alias("v"))).distinct()
+        small = each(found, ("v", "m"), ("u", "m")).where("u <> v").distinct()
         done, pairs = pairs, write_table(small, "stars")
         after = state(pairs)
         discard(done)
@@ -333,8 +339,9 @@ def grouped(rows: DataFrame, edges: DataFrame, mark: Column) -> DataFrame:
     root = stars(edges)
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), mark.alias("mark")))
     values = rows.groupBy("_unit").agg(first.alias("_first"), F.count("*").alias("_n"))
-    ends = root.select(F.col("u").alias("_unit"), "root").union(root.select(F.col("root").alias("_unit"), "root")).distinct()
+    ends = each(root, ("u", "root"), ("root", "root")).select(F.col("u").alias("_unit"), F.col("v").alias("root")).distinct()
     found = values.join(ends.hint("merge"), "_unit", "left").where("root is not null or _n > 1").withColumn("root", F.coalesce("root", "_unit"))
+    found = write_table(found, "groups")  # read twice
     least = found.groupBy("root").agg(F.min("_first").alias("_least"))
     shared = salted_lookup(found, least, ["root"], "_unit").select("_unit", "_least", F.lit(True).alias("_shared"))
     return salted_lookup(rows, shared, ["_unit"], "_id")

@@ -370,7 +370,10 @@ def similar_links(docs: DataFrame, rows: DataFrame, extra: DataFrame | None, set
     clusters = members(docs, sets, order, least)
     if extra is not None:
         clusters = clusters.unionByName(extra).groupBy("_unit", "_hub").agg(F.max("_size").alias("_size"))
-    return cluster_links(docs, rows, clusters, sets, max_bits, least)
+    held = write_table(clusters, "near-members")  # read several times, and each time its whole plan would be in the reader's
+    out = cluster_links(docs, rows, held, sets, max_bits, least)
+    discard(held)
+    return out
 
 
 COMPARED = "u long, v long, _hub long, _blocks int, _size long"

@@ -339,3 +339,17 @@ def test_a_cluster_of_many_blocks_moves_each_set_a_bounded_number_of_times(spark
     moved = similar.crossing_tiles(held, still)
     assert moved.count() == (n + 80 * apart if apart else 0)
     assert moved.groupBy("_tile.hub", "_tile.i", "_tile.j").count().agg(F.max("count")).first()[0] is None or apart
+
+
+def test_no_plan_of_near_dedup_holds_the_steps_before_it(spark, monkeypatch):
+    seen = {}
+    for module in (simhash, similar, stages):
+
+        def written(df, label, *by, write=module.write_table):
+            seen[label] = max(seen.get(label, 0), df._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+            return write(df, label, *by)
+
+        monkeypatch.setattr(module, "write_table", written)
+    stages.near(spark, documents(spark, ROWS), "").count()
+    assert {"near-clusters", "stars", "near-dropped"} <= seen.keys()
+    assert max(seen.values()) <= 20, seen  # what is read several times is a table; the driver holds all of a plan

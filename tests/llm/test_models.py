@@ -33,6 +33,11 @@ def test_language_trouble(spark):
     assert langid.identify(empty(spark), model).count() == 0
 
 
+def test_driver_gives_back_the_table_of_a_fit(spark):
+    assert langid.fit(documents(spark, [(i, t) for i, t in enumerate(texts())]).withColumn("lang", F.lit("a")), F.lit(True)).languages
+    assert langid.Slots.table is None  # 67 MB
+
+
 def test_presence_kernel():
     a, b = langid.presence(b"Abc, abd"), langid.presence(b"abcabd")
     grams = lambda t: {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
